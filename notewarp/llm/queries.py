@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewarp.llm import turns
+from notewarp.llm import split, turns
 from notewarp.session import table
 
 
+def _items(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, root, "notes"), table(spark, root, "transcript_segments"), table(spark, root, "size_limits")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """(note_id, item_kind, cut_kind) of every item over its limit."""
+    return split.split_report(*_items(spark, root)).select("note_id", "item_kind", "cut_kind")
+
+
+def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """All pieces of the items over their limits."""
+    return split.pieces(*_items(spark, root))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """(note_id, first_segment_id, last_segment_id) of every speaker turn."""
     return turns.speaker_turns(table(spark, root, "transcript_segments")).select("note_id", "first_segment_id", "last_segment_id")
@@ -18,5 +32,13 @@ def p3_turns(spark: SparkSession, root: str) -> DataFrame:
     return turns.speaker_turns(table(spark, root, "transcript_segments")).drop("voice")
 
 
-QUERIES = {"p3_found": p3_found, "p3_turns": p3_turns}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
+ORACLE: dict[str, str] = {
+    "p2_found": r"""
+WITH n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),
+d AS (SELECT note_id, start_time, regexp_replace(lower(text), '\s+', '', 'g') AS k, arg_min(text, segment_id) AS t, min(segment_id) AS s FROM transcript_segments GROUP BY 1, 2, 3),
+x AS (SELECT 'summary' AS item_kind, id AS note_id, t FROM n
+      UNION ALL SELECT 'transcript', note_id, string_agg(t, chr(10) ORDER BY start_time, s) FROM d GROUP BY note_id)
+SELECT note_id, item_kind, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '\s+'), lambda w: length(w))) > max_size THEN 'inside_word' ELSE 'natural' END AS cut_kind
+FROM x JOIN size_limits USING (item_kind) WHERE length(t) > max_size""",
+}

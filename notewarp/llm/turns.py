@@ -237,7 +237,7 @@ def same_person(spellings: Counter) -> dict[str, str]:
     # spellings of somebody whose full name the note never has: longer ones take in shorter ones
     anchors: list[tuple] = []
     for s, p in sorted(loose.items(), key=lambda x: (-len(" ".join(x[1])), x[1], x[0])):
-        a = next((a for a in anchors if a == p or (p and a and (p[0] == a[0] or (len(p[0]) == 1 and a[0][0] == p[0]) or distance(p[0], a[0], 1) <= 1) and (len(p) == 1 or len(a) == 1 or p[-1][0] == a[-1][0]))), None)
+        a = next((a for a in anchors if a == p or (p and a and (p[0] == a[0] or (len(p[0]) == 1 and a[0][0] == p[0]) or (len(a[0]) == 1 and p[0][0] == a[0]) or distance(p[0], a[0], 1) <= 1) and (len(p) == 1 or len(a) == 1 or p[-1][0] == a[-1][0]))), None)
         if a is None:
             anchors.append(p)
         result[s] = " ".join(a or p)
