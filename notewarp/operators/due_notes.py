@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewarp.operators.merkle import changed
-from notewarp.session import cut
 
 #: Attempts after which a version is given up.
 MAX_ATTEMPTS = 5
@@ -65,6 +64,5 @@ def note_state(feed: DataFrame, queue: DataFrame, *, max_attempts: int = MAX_ATT
 
 def due_notes(feed: DataFrame, queue: DataFrame, *, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(note_id, version_us) of each note to process, once: the leaves in which newest and settled versions differ."""
-    state = cut(note_state(feed, queue, max_attempts=max_attempts))
-    rows = changed(state, key="key", current="newest", saved="settled")
+    rows = changed(note_state(feed, queue, max_attempts=max_attempts), key="key", current="newest", saved="settled")
     return rows.select(F.col("key").alias("note_id"), F.col("newest").cast("long").alias("version_us"))

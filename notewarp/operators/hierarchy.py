@@ -15,16 +15,18 @@ below one have `in_cycle` true. Empty tables give empty results. Extra columns a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from notewarp.session import cut
+from notewarp.session import cut, cut_counted, drop
 
 #: Rounds of doubling are bounded by the bits of a row count.
 MAX_ROUNDS = 64
 #: Peeling goes on while a round takes off at least one in so many of the remaining nodes.
-PEEL_SHARE = 16
+PEEL_SHARE = 3
 #: Siblings in one chained group, about.
 GROUP_SIBLINGS = 50_000
 _WHITE = r"^[\s ]+|[\s ]+$"
@@ -43,38 +45,36 @@ def clean_links(links: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return known.select("id").join(usable, "id", "left")
 
 
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """(id, to) with every pointer followed once more; pointers that lead outside are gone."""
+    step = pointers.select(F.col("id").alias("to"), F.col("to").alias("next"))
+    return pointers.join(step, "to").select("id", F.col("next").alias("to"))
+
+
 def loop_nodes(nodes: DataFrame) -> DataFrame:
     """Ids that lie on a loop."""
-    core = cut(nodes.filter("parent is not null"))
-    left = core.count()
+    core, left = cut_counted(nodes.filter("parent is not null"))
     while left:
-        inner = cut(core.join(core.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"))
-        now = inner.count()
+        inner, now = cut_counted(core.join(core.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"))
+        drop(core)
         core, taken, left = inner, left - now, now
         if taken * PEEL_SHARE < left + taken:
             break
     if not left:
         return core.select("id")
-    # doubling: a pointer that leaves the core belongs to a chain; if no pointer leaves in a round, only loops hold the rest
-    jump = core.select("id", F.col("parent").alias("to"))
-    caught = left
+    # pointers out of the core belong to chains; once a round loses none, only loops and what hangs below them is left.
+    # The tails below loops go the same way: once the set of nodes that pointers reach stops shrinking, a jump permutes it.
+    jump, caught = cut_counted(core.select("id", F.col("parent").alias("to")))
+    reached = -1
     for _ in range(MAX_ROUNDS):
-        step = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jump = cut(jump.join(step, "to").select("id", F.col("next").alias("to")))
-        now = jump.count()
-        if now == caught:
-            break
-        caught = now
-    # a tail below a loop is left the same way: once the set of nodes that pointers reach stops shrinking, a jump permutes it
-    reached = 0
-    for _ in range(MAX_ROUNDS):
-        image = cut(jump.select(F.col("to").alias("id")).distinct())
-        now = image.count()
-        if now == reached:
-            return image
-        reached = now
-        step = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jump = cut(jump.join(step, "to").select("id", F.col("next").alias("to")))
+        further, now = cut_counted(_jumped(jump))
+        drop(jump)
+        jump, stable, caught = further, now == caught, now
+        if stable:
+            image, now = cut_counted(jump.select(F.col("to").alias("id")).distinct())
+            if now == reached:
+                return image
+            reached = now
     raise AssertionError("more rounds than a row count has bits")
 
 
@@ -111,30 +111,38 @@ def euler_tour(nodes: DataFrame) -> DataFrame:
     return enter.unionByName(leave)
 
 
-def rank_list(tour: DataFrame) -> DataFrame:
-    """(node, is_exit, entries, levels, last): sums over the rest of the list, the element itself included, and the list's last node."""
+def _ranked_further(ranked: DataFrame) -> DataFrame:
+    """Every element's pointer followed once more, with the sums on the way; elements at the end of their list stay."""
+    ahead = ranked.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("entries").alias("e2"), F.col("levels").alias("l2"), F.col("last").alias("last2"))
+    done = F.col("to").isNull()
+    return ranked.join(ahead, "to", "left").select(
+        "at",
+        F.col("to2").alias("to"),
+        (F.col("entries") + F.coalesce("e2", F.lit(0))).alias("entries"),
+        (F.col("levels") + F.coalesce("l2", F.lit(0))).alias("levels"),
+        F.when(done, F.col("last")).otherwise(F.col("last2")).alias("last"),
+    )
+
+
+def rank_list(tour: DataFrame, n_nodes: int) -> DataFrame:
+    """(node, is_exit, entries, levels, last): sums over the rest of the list, the element itself included, and the list's last node.
+
+    Two jumps a round; `n_nodes` bounds the length of a list and so the number of rounds.
+    """
     key = F.struct("node", "is_exit")
     ranked = cut(
         tour.select(
-            F.xxhash64("node", "is_exit").alias("h"),
             key.alias("at"),
             F.when(F.col("next_node").isNotNull(), F.struct(F.col("next_node").alias("node"), F.col("next_is_exit").alias("is_exit"))).alias("to"),
             F.when(F.col("is_exit"), 0).otherwise(1).cast("long").alias("entries"),
             F.when(F.col("is_exit"), -1).otherwise(1).cast("long").alias("levels"),
         )
-        .drop("h")
         .withColumn("last", F.when(F.col("to").isNull(), F.col("at.node")))
     )
-    # finished elements are set aside: a round only moves those whose end isn't known, and looks up the elements they point to
-    for _ in range(MAX_ROUNDS):
-        waiting = ranked.filter("to is not null")
-        if waiting.isEmpty():
-            break
-        ahead = ranked.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("entries").alias("e2"), F.col("levels").alias("l2"), F.col("last").alias("last2"))
-        moved = waiting.join(ahead, "to").select(
-            "at", F.col("to2").alias("to"), (F.col("entries") + F.col("e2")).alias("entries"), (F.col("levels") + F.col("l2")).alias("levels"), F.col("last2").alias("last")
-        )
-        ranked = cut(ranked.filter("to is null").unionByName(moved))
+    for _ in range(math.ceil(math.log(2 * max(n_nodes, 1) + 1, 4)) + 1):
+        further = cut(_ranked_further(_ranked_further(ranked)))
+        drop(ranked)
+        ranked = further
     return ranked.select("at.node", "at.is_exit", "entries", "levels", "last")
 
 
@@ -144,10 +152,10 @@ def hierarchy(links: DataFrame, *, id_col: str = "id", parent_col: str = "parent
     All nodes below u, and no others, have u.root and an `enter` in the interval (u.enter, u.leave]. For nodes in or below a loop
     `root` is the loop node they hang from, and depth and n_below count within the cut tree.
     """
-    nodes = cut(clean_links(links, id_col, parent_col))
+    nodes, n_nodes = cut_counted(clean_links(links, id_col, parent_col))
     loops = loop_nodes(nodes).withColumn("on_loop", F.lit(True))
     forest = cut(nodes.join(loops, "id", "left").select("id", F.col("parent").alias("link"), F.when(F.col("on_loop").isNull(), F.col("parent")).alias("parent"), F.coalesce("on_loop", F.lit(False)).alias("on_loop")))
-    ranked = rank_list(euler_tour(forest.select("id", "parent")))
+    ranked = rank_list(euler_tour(forest.select("id", "parent")), n_nodes)
     per_node = ranked.groupBy("node").agg(
         F.max(F.when(~F.col("is_exit"), F.col("entries"))).alias("from_enter"),
         F.max(F.when(F.col("is_exit"), F.col("entries"))).alias("from_exit"),

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewarp.session import cut
+from notewarp.session import cut, cut_counted
 
 #: Children of an inner node.
 FANOUT = 16
@@ -83,7 +83,8 @@ def differing_leaves(leaf_level: DataFrame, depth: int, left: str, right: str) -
 def changed(records: DataFrame, *, key: str, current: str, saved: str, depth: int | None = None) -> DataFrame:
     """Rows of `records` (one per key) whose `current` digest column differs from `saved`; both are strings, null where absent."""
     if depth is None:
-        depth = depth_for(records.count())
+        records, count = cut_counted(records)
+        depth = depth_for(count)
     tree = cut(leaves(records, depth, key=key, sides={"now": current, "old": saved}))
     touched = differing_leaves(tree, depth, "now", "old").withColumnRenamed("node", "__leaf")
     rows = records.withColumn("__leaf", range_of(F.col(key), depth)).join(touched, "__leaf", "left_semi").drop("__leaf")
@@ -116,7 +117,7 @@ class MerkleStore:
         """Keys of `records` (key, digest) that are new, changed or gone: (key, digest, saved_digest, change)."""
         now = records.filter("key is not null").groupBy("key").agg(F.max(F.coalesce("digest", F.lit(""))).alias("digest"))
         old = self.saved().withColumnRenamed("digest", "saved_digest")
-        both = cut(now.join(old, "key", "full_outer"))
+        both = now.join(old, "key", "full_outer")
         rows = changed(both, key="key", current="digest", saved="saved_digest")
         kind = F.when(F.col("saved_digest").isNull(), "added").when(F.col("digest").isNull(), "removed").otherwise("changed")
         return rows.withColumn("change", kind)
@@ -131,8 +132,8 @@ class MerkleStore:
             raise RuntimeError(f"version {base} is in force, the output was computed from {expected}")
         version = base + 1
         target = f"{self.path}/v{version}"
-        now = cut(records.filter("key is not null").groupBy("key").agg(F.max(F.coalesce("digest", F.lit(""))).alias("digest")))
-        depth = depth_for(now.count())
+        now, count = cut_counted(records.filter("key is not null").groupBy("key").agg(F.max(F.coalesce("digest", F.lit(""))).alias("digest")))
+        depth = depth_for(count)
         output.write.mode("overwrite").parquet(f"{target}/output")
         now.write.mode("overwrite").parquet(f"{target}/records")
         leaves(now, depth, sides={"now": "digest"}).write.mode("overwrite").parquet(f"{target}/tree")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings for a cluster job; a caller's own settings win.
 CLUSTER_CONF = {
@@ -29,22 +33,61 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of `spark.checkpoint.dir`; make one only for a local master without it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; a temporary one is made only for a local master that sets none."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = context.getConf().get("spark.checkpoint.dir")
+    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        context.setCheckpointDir(configured)
-        return
-    master = context.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
+        return configured.rstrip("/")
+    defined = context._jsc.sc().getCheckpointDir()
+    if defined.isDefined():
+        return defined.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="notewarp-checkpoint-"))
+    made = tempfile.mkdtemp(prefix="notewarp-")
+    atexit.register(shutil.rmtree, made, True)
+    context.setCheckpointDir(made)
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+#: Folders written by `cut` in this process, by the id of the DataFrame's path.
+_written: list[str] = []
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write `df` as a table in the shared folder; it read back, and its number of rows.
+
+    Lineage ends here and lost executors cost nothing that was written. The rows are counted by the write itself.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    _written.append(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back, seen.get["n"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there: lineage ends, lost executors don't matter."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df`, written to and read from the shared folder."""
+    return cut_counted(df)[0]
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables behind results of `cut` that nothing will read again."""
+    for frame in frames:
+        path = getattr(frame, "_cut_path", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(frame.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that `cut` has written in this process; results not yet read are lost."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
