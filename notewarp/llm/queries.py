@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewarp.llm import split, turns
+from notewarp.llm import spam, split, turns
 from notewarp.session import table
 
 
@@ -32,7 +32,12 @@ def p3_turns(spark: SparkSession, root: str) -> DataFrame:
     return turns.speaker_turns(table(spark, root, "transcript_segments")).drop("voice")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id of keyword-stuffed pages, link lists and tag dumps."""
+    return spam.spam_pages(table(spark, root, "documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
 ORACLE: dict[str, str] = {
     "p2_found": r"""
 WITH n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),

@@ -35,16 +35,33 @@ COMMON_RATE = 1e-4
 #: A page's word is its keyword if it makes up this share of the page, so many times the language's rate, at least so often.
 KEYWORD_SHARE, KEYWORD_TIMES, KEYWORD_LEAST = 0.012, 4.0, 3
 #: Spreads from the median at which a feature is extreme.
-EXTREME = 2.0
+EXTREME = 1.5
 MIN_TOKENS = 8
 
 # Words that also stand inside noun phrases and so don't prove a sentence.
 NOUN_WORDS = frozenset("the a an of and & le la les l un une de des du d et der die das den dem ein eine und el los las una del y e o u".split())
+# Words that hold sentences together; those inside noun phrases ("la liste de") are left out.
+SENTENCE_WORDS = {
+    "en": "to is that for it we was not with you i in on are have be if when as at by this can will so but before after because although since who what until while despite given were did does would could let us them then still".split(),
+    "de": "ist nicht wir ich zu für mit auf war es wer im in am wird hat wurde weil was bis als noch sich nach haben obwohl dann trotz wegen solange damit bevor mehr niemand kannst können".split(),
+    "fr": "est pas nous je pour avec que sur qui on a il ne dans ce au aux par plus car si sont comme rien faute après avant malgré tant parce afin bien peux".split(),
+    "es": "es no por para con que en se lo al ya más qué hasta son como sin porque hay ello quien después aunque mientras pesar antes cuando falta puedes".split(),
+}
+# Of those, words that also stand in the names of products and offers.
+OFFER_WORDS = frozenset("to in on con en pas par sin no a al so plus".split())
 _LINK = re.compile(r"<a\s[^>]*>|</a>|\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"(?<!\w)#\w+")
 _TOKEN = re.compile(r"[^\W_]+")
 _STRETCH = re.compile(r"\n+|[.!?…]+\s+|\s[»·|/•;>]\s")
-_LANGUAGES = {lang: tuple(words) for lang, words in LANGUAGE_WORDS.items()}
+_LANGUAGES = {lang: tuple({*LANGUAGE_WORDS[lang], *words}) for lang, words in SENTENCE_WORDS.items()}
+_BONDS = tuple({w for words in SENTENCE_WORDS.values() for w in words})
+_SURE = frozenset(_BONDS) - OFFER_WORDS - NOUN_WORDS
+#: A page counts as prose for the rates with this share, and so many different, of the words that hold sentences together.
+PROSE_SHARE, PROSE_DIFFERENT = 0.08, 5
+#: A word proves a sentence if its rate in prose is so many times its rate on other pages, of all languages and of its own.
+PROOF_TIMES, OWN_PROOF_TIMES = 8.0, 2.0
+#: With this share of sure bonding words half a page can't be without sentences: the exact check is not needed.
+CERTAIN_SHARE = 0.12
 
 
 def language(counts: Counter) -> str:
@@ -58,14 +75,22 @@ def page_words(text: str) -> Counter:
     return Counter(_TOKEN.findall(text.lower()))
 
 
+def bonds(counts: Counter) -> tuple[int, int]:
+    """How many words of a page hold sentences together, and how many different ones."""
+    hits = [n for w in _BONDS if (n := counts.get(w))]
+    return sum(hits), len(hits)
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: dict[str, Counter] = {}
+    total: dict[tuple[str, bool], Counter] = {}
     for pdf in batches:
         for text in pdf["text"]:
             counts = page_words(text)
-            lang = language(counts)
-            if lang != "?":
-                total.setdefault(lang, Counter()).update(counts)
+            held, different = bonds(counts)
+            prose = different >= PROSE_DIFFERENT and held >= PROSE_SHARE * counts.total()
+            into = total.setdefault((language(counts), prose), Counter())
+            for w, n in counts.items():
+                into[w] += n
         # a task holds a bounded number of words
         if sum(map(len, total.values())) > 500_000:
             yield _flush(total)
@@ -73,23 +98,36 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _flush(total)
 
 
-def _flush(total: dict[str, Counter]) -> pd.DataFrame:
-    return pd.DataFrame([(lang, w, n) for lang, counts in total.items() for w, n in counts.items()], columns=["lang", "word", "n"])
-
-
-def language_rates(pages: DataFrame) -> dict[str, dict[str, float]]:
-    """Language -> word -> rate, over all pages; at most 1 / COMMON_RATE words a language come to the driver."""
-    counts = cut(pages.select("text").mapInPandas(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(n * COMMON_RATE))]) if totals else None
-    rates: dict[str, dict[str, float]] = {lang: {} for lang in totals}
-    if totals:
-        for r in counts.filter(F.col("n") >= least[F.col("lang")]).toLocalIterator():
-            rates[r.lang][r.word] = r.n / totals[r.lang]
-    return rates
-
-
-def unlike_prose(text: str, keywords: set[str], common: set[str]) -> int:
+def _flush(total: dict[tuple[str, bool], Counter]) -> pd.DataFrame:
+    return pd.DataFrame([(lang, prose, w, n) for (lang, prose), counts in total.items() for w, n in counts.items()], columns=["lang", "prose", "word", "n"])
+
+
+def language_rates(pages: DataFrame) -> tuple[dict[str, dict[str, float]], set[str]]:
+    """Language -> word -> rate in prose, and the words that prove a sentence, from all pages.
+
+    Only words above COMMON_RATE come to the driver: at most 1 / COMMON_RATE a language.
+    """
+    counted = pages.select("text").mapInPandas(_count, "lang string, prose boolean, word string, n long")
+    in_prose = F.when(F.col("prose"), F.col("n")).otherwise(0)
+    counts = cut(counted.groupBy("lang", "word").agg(F.sum(in_prose).alias("n"), F.sum(F.col("n") - in_prose).alias("other")))
+    totals = {r.lang: (r.n, r.other) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("other").alias("other")).collect()}
+    rates: dict[str, dict[str, float]] = {}
+    others = counts.groupBy("word").agg(F.sum("other").alias("elsewhere"))
+    all_other = max(1, sum(o for _, o in totals.values()))
+    known = [lang for lang, (n, _) in totals.items() if n]
+    if not known:
+        return {}, set()
+    least = F.create_map(*[x for lang in known for x in (F.lit(lang), F.lit(totals[lang][0] * COMMON_RATE))])
+    common = counts.filter(F.col("lang").isin(known)).filter(F.col("n") >= least[F.col("lang")]).join(others, "word")
+    proof: set[str] = set()
+    for r in common.toLocalIterator():
+        rates.setdefault(r.lang, {})[r.word] = r.n / totals[r.lang][0]
+        if rates[r.lang][r.word] >= max(PROOF_TIMES * r.elsewhere / all_other, OWN_PROOF_TIMES * r.other / max(1, totals[r.lang][1])):
+            proof.add(r.word)
+    return rates, proof - NOUN_WORDS
+
+
+def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
     """Characters in links and in stretches that have none of the words sentences are made of."""
     amiss = 0
     for stretch in _STRETCH.split(text):
@@ -97,7 +135,7 @@ def unlike_prose(text: str, keywords: set[str], common: set[str]) -> int:
             continue
         bare = _LINK.sub(" ", stretch) if "/" in stretch or "www." in stretch or "WWW." in stretch else stretch
         words = _TOKEN.findall((_TAG.sub(" ", bare) if "#" in bare else bare).lower())
-        proof = sum(1 for w in words if w in common and w not in keywords)
+        proof = sum(1 for w in words if w in _SURE or (w in proof_words and w not in keywords))
         if proof and proof >= 0.12 * len(words):
             amiss += len(stretch) - len(bare)
         else:
@@ -105,7 +143,7 @@ def unlike_prose(text: str, keywords: set[str], common: set[str]) -> int:
     return amiss
 
 
-def page_features(text: str, rates: dict[str, dict[str, float]], common: set[str]) -> tuple[int, str, float, float, list[int], list[int]]:
+def page_features(text: str, rates: dict[str, dict[str, float]], proof_words: set[str]) -> tuple[int, str, float, float, list[int], list[int]]:
     """(words, language, divergence, share unlike prose, distinct frequencies, words of each) of one page."""
     counts = page_words(text)
     total = sum(counts.values())
@@ -120,16 +158,15 @@ def page_features(text: str, rates: dict[str, dict[str, float]], common: set[str
         if n >= KEYWORD_LEAST and n >= most and n >= KEYWORD_TIMES * total * p:
             keywords.add(w)
     by = sorted(Counter(counts.values()).items(), reverse=True)
-    share = unlike_prose(text, keywords, common) / max(1, len(text))
+    certain = sum(counts[w] for w in _SURE if w in counts) >= CERTAIN_SHARE * total
+    share = 0.0 if certain else unlike_prose(text, keywords, proof_words) / max(1, len(text))
     return total, lang, surprise / max(1, total), share, [f for f, _ in by], [n for _, n in by]
 
 
-def _features(rates: dict[str, dict[str, float]]):
-    common = {w for words in rates.values() for w in words} - NOUN_WORDS
-
+def _features(rates: dict[str, dict[str, float]], proof_words: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, *page_features(t, rates, common)) for d, t in zip(pdf["doc_id"], pdf["text"])]
+            rows = [(d, *page_features(t, rates, proof_words)) for d, t in zip(pdf["doc_id"], pdf["text"])]
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "lang", "divergence", "share", "freqs", "sizes"])
 
     return run
@@ -138,8 +175,8 @@ def _features(rates: dict[str, dict[str, float]]):
 def page_curves(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, lang, divergence, share, slope, residual) of every page with a text."""
     pages = documents.filter("doc_id is not null and text is not null and length(text) > 0").select("doc_id", "text")
-    rates = language_rates(pages)
-    made = cut(pages.mapInPandas(_features(rates), "doc_id long, n_words int, lang string, divergence double, share double, freqs array<int>, sizes array<int>"))
+    rates, proof_words = language_rates(pages)
+    made = cut(pages.mapInPandas(_features(rates, proof_words), "doc_id long, n_words int, lang string, divergence double, share double, freqs array<int>, sizes array<int>"))
     once = made.withColumn("pick", F.struct("n_words", "share", "freqs"))
     points = once.select("doc_id", "n_words", "lang", "divergence", "share", F.explode(F.arrays_zip("freqs", "sizes")).alias("p")).select("doc_id", "n_words", "lang", "divergence", "share", F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"))
     through = W.partitionBy("doc_id").orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, W.currentRow)
