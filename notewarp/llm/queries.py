@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewarp.llm import spam, split, turns
+from notewarp.llm import mixing, packing, spam, split, turns
 from notewarp.session import table
 
 
@@ -32,12 +32,32 @@ def p3_turns(spark: SparkSession, root: str) -> DataFrame:
     return turns.speaker_turns(table(spark, root, "transcript_segments")).drop("voice")
 
 
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Where every document goes, in containers of both sizes."""
+    return packing.containers(table(spark, root, "documents"), table(spark, root, "size_limits"))
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers of each size are."""
+    return packing.fill_report(p7_containers(spark, root), table(spark, root, "size_limits"))
+
+
+def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"))[0]
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"))[1]
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """doc_id of keyword-stuffed pages, link lists and tag dumps."""
     return spam.spam_pages(table(spark, root, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
 ORACLE: dict[str, str] = {
     "p2_found": r"""
 WITH n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),

@@ -122,18 +122,18 @@ def _longest_word(text) -> F.Column:
 
 def oversized(notes: DataFrame, segments: DataFrame, limits: DataFrame) -> DataFrame:
     """Blocks of all items over their limit: item_kind, note_id, block, offset, before, text, longest_word, max_size, overlap_size."""
-    limits = limits.filter("item_kind is not null").groupBy("item_kind").agg(F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap_size"))
+    # only the two kinds of this project are read: the broadcast has at most two rows
+    limits = limits.filter("item_kind in ('summary', 'transcript')").groupBy("item_kind").agg(F.max("max_size").alias("max_size"), F.max("overlap_size").alias("overlap_size"))
     current = notes.filter("id is not null").groupBy(F.col("id").alias("note_id")).agg(F.max_by(F.coalesce("summary_text", F.lit("")), F.struct("updated_at", "detail_no")).alias("text"))
     summaries = (
         current.withColumn("item_kind", F.lit("summary"))
-        .join(F.broadcast(limits.limit(1000)), "item_kind")
+        .join(F.broadcast(limits), "item_kind")
         .filter("char_length(text) > max_size")
         .select("item_kind", "note_id", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"), F.lit("").alias("before"), "text", _longest_word(F.col("text")).alias("longest_word"), "max_size", "overlap_size")
     )
     rows = cut(distinct_segments(segments).select("note_id", "segment_id", "start_time", "text", F.char_length("text").alias("size")))
     large = rows.groupBy("note_id").agg((F.sum("size") + F.count("*") - 1).alias("total"))
-    limit = limits.filter("item_kind = 'transcript'").limit(1)
-    large = large.join(F.broadcast(limit), F.col("total") > F.col("max_size")).select("note_id", "max_size", "overlap_size")
+    large = large.withColumn("item_kind", F.lit("transcript")).join(F.broadcast(limits), "item_kind").filter("total > max_size").select("note_id", "max_size", "overlap_size")
     rows = rows.join(large, "note_id").withColumn("bucket", F.coalesce(F.expr(f"unix_seconds(start_time) div {BUCKET_S}"), F.lit(2**62)))
     rows = rows.withColumn("at", F.coalesce("start_time", F.lit("9999-12-31").cast("timestamp")))
     rows = running_total(rows, "note_id", "bucket", ["at", "segment_id"], F.col("size") + 1, "through")
