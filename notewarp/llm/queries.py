@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewarp.llm import mixing, packing, spam, split, turns
-from notewarp.session import table
+from notewarp.llm import link, mixing, packing, spam, split, turns
+from notewarp.session import cut, table
 
 
 def _items(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -32,6 +32,16 @@ def p3_turns(spark: SparkSession, root: str) -> DataFrame:
     return turns.speaker_turns(table(spark, root, "transcript_segments")).drop("voice")
 
 
+def p4_entities(spark: SparkSession, root: str) -> DataFrame:
+    """(record_id, kind, entity) of the records that name a person or a company."""
+    return link.linked_records(table(spark, root, "entities"), table(spark, root, "extracted_entities"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """(id_a, id_b): pairs of records of one person or company."""
+    return link.record_pairs(cut(p4_entities(spark, root)))
+
+
 def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     """Where every document goes, in containers of both sizes."""
     return packing.containers(table(spark, root, "documents"), table(spark, root, "size_limits"))
@@ -57,7 +67,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam_pages(table(spark, root, "documents"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
 ORACLE: dict[str, str] = {
     "p2_found": r"""
 WITH n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),
