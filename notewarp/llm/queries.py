@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notewarp.llm import link, mixing, packing, spam, split, turns
+from notewarp.llm import link, mixing, packing, pii, spam, split, turns
 from notewarp.session import cut, table
 
 
@@ -42,6 +42,20 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return link.record_pairs(cut(p4_entities(spark, root)))
 
 
+def _texts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    return pii.free_texts(table(spark, root, "notes"), table(spark, root, "transcript_segments"), table(spark, root, "citations"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """(record_kind, record_id, pii_type, start_pos) of all personal information in free text."""
+    return pii.spans(*_texts(spark, root)).drop("end_pos")
+
+
+def p6_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The free texts with typed placeholders."""
+    return pii.redacted(*_texts(spark, root))
+
+
 def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     """Where every document goes, in containers of both sizes."""
     return packing.containers(table(spark, root, "documents"), table(spark, root, "size_limits"))
@@ -67,7 +81,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam_pages(table(spark, root, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
 ORACLE: dict[str, str] = {
     "p2_found": r"""
 WITH n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),
