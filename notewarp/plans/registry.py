@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from notewarp.plans import incremental
+from notewarp.plans import graph, incremental, knowledge, search
 
-QUERIES = {**incremental.QUERIES}
-ORACLE = {**incremental.ORACLE}
-FLAGSHIP = incremental.p5_found
+_PARTS = (incremental, graph, search, knowledge)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
+FLAGSHIP = graph.traverse_nation
