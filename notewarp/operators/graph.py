@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewarp.functions.scalar import clamp
+from notewarp.session import cut_counted
 
 # Bounds of a traversal and of the overview.
 DEFAULT_DEPTH, MAX_DEPTH = 2, 3
 DEFAULT_LIMIT, MAX_LIMIT = 100, 100
 OVERVIEW_NODES = 300
+#: Paths up to which a step sends them to every task (some 100 bytes each).
+BROADCAST_PATHS = 100_000
 
 
 def hops(edges: DataFrame) -> DataFrame:
@@ -37,8 +40,10 @@ def traverse(edges: DataFrame, nodes: DataFrame, start: str, *, depth: int = DEF
     walk = step.filter(F.col("here") == start).select("there", "relation", "direction", F.lit(1).alias("depth"), "evidence_id", F.array(F.lit(start), F.col("there")).alias("path"))
     walks = walk
     for d in range(2, clamp(depth, 1, MAX_DEPTH) + 1):
-        # paths only grow from distinct (node, path) pairs: parallel edges multiply nothing
-        front = walk.groupBy("there", "path").agg(F.lit(1).alias("one")).select(F.col("there").alias("here"), "path")
+        # paths only grow from distinct (node, path) pairs: parallel edges multiply nothing. A small front is sent to the edges,
+        # which are then only scanned; a large one is joined by a shuffle
+        front, n = cut_counted(walk.select(F.col("there").alias("here"), "path").distinct())
+        front = F.broadcast(front) if n <= BROADCAST_PATHS else front
         walk = (
             front.join(step, "here")
             .filter(~F.array_contains("path", F.col("there")))

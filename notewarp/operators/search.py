@@ -125,7 +125,7 @@ class TextIndex:
         for i, phrase in enumerate(phrases):
             hits = postings.filter(F.col("term") == phrase[0]).select("doc", "col", F.col("positions").alias("at"))
             for k, t in enumerate(phrase[1:], 1):
-                nxt = postings.filter(F.col("term") == t).select("doc", "col", F.transform("positions", lambda p, k=k: p - k).alias("shifted"))
+                nxt = postings.filter(F.col("term") == t).select("doc", "col", F.expr(f"transform(positions, p -> p - {k})").alias("shifted"))
                 hits = hits.join(nxt, ["doc", "col"]).select("doc", "col", F.array_intersect("at", "shifted").alias("at"))
             freq = hits.groupBy("doc").agg(F.sum(F.size("at")).alias("f")).filter("f > 0").select("doc", F.lit(i).alias("phrase"), "f")
             per_phrase = freq if per_phrase is None else per_phrase.unionByName(freq)
