@@ -53,7 +53,7 @@ NICKNAMES = {
 LEGAL = "ag bv b.v. co corp corp. corporation gmbh inc inc. incorporated kg limited llc ltd ltd. nv plc pty s.a. s.l. sa sarl sas sl spa srl".split()
 TRADE = (
     "analytics analytix analytic anl brothers bros brother consulting consultants consult cons engineering eng engr engineers foods food group holding holdings international intl int'l int laboratories "
-    "laboratory labs lab logistics logistik log manufacturing mfg manuf partners ptnrs partner services svcs service serv sons son systems system sys technologies technology tech technologie and the"
+    "laboratory labs lab logistics logistik log manufacturing mfg manuf partners ptnrs partner services svcs service serv sons son systems system sys technologies technology tech technologie hq headquarters and the"
 ).split()
 COMPANY_TYPES = ("company", "organization", "organisation", "business")
 
@@ -70,6 +70,9 @@ def plain(word: str) -> str:
     return re.sub(r"([aou])e(?!$)", r"\1", re.sub(r"[^a-z0-9]", "", word)) if word.isascii() else re.sub(r"[\W_]", "", word)
 
 
+_NICK = {plain(nick): tuple(plain(w) for w in full.split()) for nick, full in NICKNAMES.items()}
+
+
 def read_person(name: str) -> tuple[str, str, str] | None:
     """(form, given, family): `full`, `initial` (given is a letter), `single` (one word: a surname or a user name)."""
     found = [plain(w) for w in parts(name)]
@@ -84,10 +87,12 @@ def read_person(name: str) -> tuple[str, str, str] | None:
 
 def read_company(name: str) -> str | None:
     """The core of a company's name, in one word."""
-    text = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ", name.replace(" ", " ")) if not name.isupper() else name
+    text = re.sub(r"(?<=[a-zà-ÿ]{3})(?=[A-ZÀ-Þ][a-zà-ÿ]{2})", " ", name.replace(" ", " ")) if not name.isupper() else name
     words = [w.strip(".,;:()'’\"") for w in re.split(r"[\s/&+\-]+", folded(text))]
     words = [w for w in words if w and w not in LEGAL and w.replace(".", "") not in LEGAL]
-    core = [w for w in words if w not in TRADE] or words
+    # a short form is the beginning of a trade word
+    trade = lambda w: w in TRADE or (len(w) >= 3 and any(t.startswith(w.rstrip(".")) for t in TRADE))
+    core = [w for i, w in enumerate(words) if not (w in TRADE or (i and trade(w)))] or words
     joined = "".join(plain(w) for w in core)
     for word in sorted(TRADE, key=len, reverse=True):
         if len(word) > 3 and joined.endswith(word) and len(joined) - len(word) >= 5:
@@ -216,7 +221,7 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
     def best(x: str) -> float:
         top = 0.0
         for y in b:
-            if x == y or (len(x) == 1 and y.startswith(x)) or y in NICKNAMES.get(x, "").split():
+            if x == y or (len(x) == 1 and y.startswith(x)) or y in _NICK.get(x, ()):
                 return 1.0
             d = distance(x, y, 4)
             if d <= 4:
@@ -232,7 +237,7 @@ def _monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _nickname_map() -> F.Column:
-    items = [x for nick, full in NICKNAMES.items() for x in (F.lit(nick), F.array(*[F.lit(plain(w)) for w in full.split()]))]
+    items = [x for nick, full in _NICK.items() for x in (F.lit(nick), F.array(*[F.lit(w) for w in full]))]
     return F.create_map(*items)
 
 
@@ -252,10 +257,13 @@ def person_keys(read: DataFrame) -> DataFrame:
     keyed = cut(keyed)
     known = keyed.groupBy("key").agg(F.max(~F.col("by_nickname")).alias("named"), F.max(F.col("origin") == "email").alias("vouched"), F.count(F.when(~F.col("by_nickname"), 1)).alias("support"), F.first("words").alias("words"))
     known = cut(known.filter("named"))
-    # of the readings of one spelling: vouched ones, then given names before nicknames, then the commonest
+    # of the readings of one spelling: the record's own choice, vouched ones, given names before nicknames, the commonest
     readings = keyed.join(known.select("key", "vouched", "support"), "key")
     is_nick = F.exists("words", lambda w: F.coalesce(nick[w].isNotNull(), F.lit(False)))
-    readings = readings.withColumn("rank", F.struct(F.col("vouched").cast("int").alias("v"), (~is_nick).cast("int").alias("g"), F.col("support").alias("s"), F.col("key").alias("k")))
+    # what most of a record's own spellings can be read as goes before what is common elsewhere
+    own_votes = readings.groupBy("record_id", "key").agg(F.count_distinct("origin", "spelled").alias("own"))
+    readings = readings.join(own_votes, ["record_id", "key"])
+    readings = readings.withColumn("rank", F.struct("own", F.col("vouched").cast("int").alias("v"), (~is_nick).cast("int").alias("g"), F.col("support").alias("s"), F.col("key").alias("k")))
     chosen = readings.groupBy("record_id", "origin", "spelled").agg(F.max_by("key", "rank").alias("key"))
     # a key that is only somebody's nickname stands aside for the person it was read as
     people = cut(chosen.select("key").distinct().join(known.select("key", "words"), "key"))
@@ -287,7 +295,10 @@ def linked_records(entities: DataFrame, extracted: DataFrame) -> DataFrame:
     read, _ = cut_counted(spellings(entities, extracted).mapInPandas(_parse, PARSED))
     family = read.filter("form <> 'mailbox'").select("kind", F.col("family").alias("word"), "record_id", F.col("origin").isin("email", "website").alias("vouched"))
     given = read.filter("form = 'full'").select("kind", F.col("given").alias("word"), "record_id", (F.col("origin") == "email").alias("vouched"))
-    words = cut(family.unionByName(given).filter("length(word) >= 2").groupBy("kind", "word").agg(F.max("vouched").alias("vouched"), F.count_distinct("record_id").alias("support")))
+    # nicknames and given names of the table are words in their own right
+    fixed = sorted({w for n, full in _NICK.items() for w in (n, *full)})
+    vouched = F.col("vouched") | ((F.col("kind") == "person") & F.col("word").isin(*fixed))
+    words = cut(family.unionByName(given).filter("length(word) >= 2").groupBy("kind", "word").agg(F.max(vouched).alias("vouched"), F.count_distinct("record_id").alias("support")))
     centres = star_centres(words, similar_words(words))
     as_centre = centres.select("kind", F.col("word").alias("of"), "centre")
     read = read.withColumn("spelled", F.col("family")).join(as_centre.withColumnRenamed("of", "family"), ["kind", "family"], "left").withColumn("family", F.coalesce("centre", "family")).drop("centre")
@@ -298,7 +309,11 @@ def linked_records(entities: DataFrame, extracted: DataFrame) -> DataFrame:
     # an address decides, then the name itself, then aliases; a known person before an unknown one
     weight = F.when(F.col("origin") == "email", 4).when(F.col("origin") == "name", 2).otherwise(1) - F.when(F.col("key").startswith("?"), 2).otherwise(0)
     people = checked.filter("sure").groupBy("record_id", "key").agg(F.max(weight).alias("w"), F.count("*").alias("n"))
-    people = people.groupBy("record_id").agg(F.max_by("key", F.struct("w", "n", "key")).alias("entity")).select("record_id", F.lit("person").alias("kind"), "entity")
+    people = people.groupBy("record_id").agg(F.max_by("key", F.struct("w", "n", "key")).alias("core"))
+    # a former surname among the aliases: a full name with one part in common
+    former = checked.filter("sure and not startswith(key, '?')").join(read.filter("form = 'full'").select("record_id", "origin", "spelled").distinct(), ["record_id", "origin", "spelled"], "left_semi")
+    former = former.select("record_id", F.col("key").alias("other")).join(people, "record_id").filter("core <> other").filter(F.size(F.array_intersect(F.split("core", r"\|"), F.split("other", r"\|"))) > 0)
+    people = people.join(components(former.select("core", "other").distinct()), "core", "left").select("record_id", F.lit("person").alias("kind"), F.coalesce("component", "core").alias("entity"))
     cores = read.filter("kind = 'company'").select("record_id", "origin", F.col("family").alias("core")).distinct()
     own = cores.groupBy("record_id").agg(F.max_by("core", F.struct(F.when(F.col("origin") == "website", 3).when(F.col("origin") == "name", 2).otherwise(1), "core")).alias("core"))
     edges = cores.select("record_id", F.col("core").alias("other")).join(own, "record_id").filter("core <> other").select("core", "other").distinct()
