@@ -44,6 +44,8 @@ LANGUAGE_WORDS = {
     "fr": "le la les et est pas nous je pour avec un une des de que sur qui on".split(),
     "es": "el la los y es no por para con una un las de que en se lo al".split(),
 }
+# Words before a colon that are no speaker.
+NO_SPEAKER = frozenset("action note question decision risk todo thanks danke merci gracias okay well so und et y".split())
 _LANGUAGE = {lang: frozenset(words) for lang, words in LANGUAGE_WORDS.items()}
 
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
@@ -100,8 +102,13 @@ def read_prefix(text: str, *, known_speaker: bool) -> tuple[str | None, str | No
         return value, None, _LEAD.sub("", rest[m.end() :])
     if which == "e":
         words = re.split(r"[\s,]+", re.sub(r"\s*(?:\(.*\)|\[.*\]|-\s+guest)$", "", value, flags=re.I).strip())
-        shaped = all(w[0].isupper() for w in words) or (":" in m.group() and len(words) <= 3 and (len(words) > 1 or "." in words[0]))
-        if not shaped or len(words) > 3 or (len(words) == 1 and words[0].casefold() in {"mm-hmm", "action", "note", "question", "decision", "risk", "todo"}):
+        initial = re.match(r"[^\W\d_]\.\s", value)
+        dash = not m.group().rstrip().endswith(":")
+        # a dash follows an initial and a surname only: before it stand also words like "agreed"
+        if dash and not initial:
+            return None, None, rest
+        shaped = initial or all(w[0].isupper() for w in words) or len(words) <= 2
+        if not shaped or len(words) > 3 or words[0].casefold() in NO_SPEAKER:
             return None, None, rest
     return None, value, _LEAD.sub("", rest[m.end() :])
 
