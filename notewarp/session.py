@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings for a cluster job; a caller's own settings win.
@@ -54,14 +54,14 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write `df` as a table in the shared folder; it read back, and its number of rows.
+def cut_counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """Write `df` as a table in the shared folder; it read back, and its number of rows (for which `where` holds).
 
     Lineage ends here and lost executors cost nothing that was written. The rows are counted by the write itself.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("n")).write.parquet(path)
     _written.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._cut_path = path
