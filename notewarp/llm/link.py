@@ -199,20 +199,20 @@ def similar_words(words: DataFrame) -> DataFrame:
 def star_centres(words: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, word, centre) of every word: parallel star clustering, stronger neighbours first."""
     edges = cut(edges)
-    open_words, n_open = cut_counted(edges.select("kind", "word").distinct())
-    done = cut(words.select("kind", "word").join(open_words, ["kind", "word"], "left_anti").withColumn("centre", F.col("word")))
+    weaker = edges.select("kind", "word").distinct().withColumn("open", F.lit(True))
+    undecided = F.col("centre").isNull()
+    state, left = cut_counted(words.select("kind", "word").join(weaker, ["kind", "word"], "left").select("kind", "word", F.when(F.col("open").isNull(), F.col("word")).alias("centre")), undecided)
     for _ in range(MAX_ROUNDS):
-        if not n_open:
+        if not left:
             break
         # a word goes to the best of its neighbours that are centres; it is one itself once all stronger neighbours have gone elsewhere
-        near = edges.join(open_words, ["kind", "word"], "left_semi").join(done.select("kind", F.col("word").alias("near"), F.col("centre").alias("near_centre")), ["kind", "near"], "left")
+        near = edges.join(state.filter(undecided).select("kind", "word"), ["kind", "word"], "left_semi").join(state.select("kind", F.col("word").alias("near"), F.col("centre").alias("near_centre")), ["kind", "near"])
         seen = near.groupBy("kind", "word").agg(
             F.max(F.when(F.col("near_centre") == F.col("near"), F.struct("similarity", "near_v", "near_s", "near"))).alias("best"), F.max(F.col("near_centre").isNull()).alias("waiting")
         )
-        decided = seen.filter(~F.col("waiting")).select("kind", "word", F.coalesce("best.near", "word").alias("centre"))
-        done, _ = cut_counted(done.unionByName(decided))
-        open_words, n_open = cut_counted(open_words.join(done.select("kind", "word"), ["kind", "word"], "left_anti"))
-    return done
+        decided = seen.filter(~F.col("waiting")).select("kind", "word", F.coalesce("best.near", "word").alias("decided"))
+        state, left = cut_counted(state.join(decided, ["kind", "word"], "left").select("kind", "word", F.coalesce("centre", "decided").alias("centre")), undecided)
+    return state
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
@@ -305,7 +305,7 @@ def linked_records(entities: DataFrame, extracted: DataFrame) -> DataFrame:
     read = read.withColumn("first", F.col("given")).join(as_centre.withColumnRenamed("of", "given"), ["kind", "given"], "left").withColumn("given", F.coalesce("centre", "given")).drop("centre")
     read = cut(read.withColumn("spelled", F.when(F.col("form") == "full", F.concat_ws(" ", "first", "spelled")).otherwise(F.col("spelled"))).drop("first"))
     votes = person_keys(read.filter("kind = 'person'"))
-    checked = votes.withColumn("sure", (F.col("origin") == "email") | F.col("key").startswith("?") | (_monge_elkan("spelled", "key") >= MONGE_ELKAN))
+    checked = cut(votes.withColumn("sure", (F.col("origin") == "email") | F.col("key").startswith("?") | (_monge_elkan("spelled", "key") >= MONGE_ELKAN)))
     # an address decides, then the name itself, then aliases; a known person before an unknown one
     weight = F.when(F.col("origin") == "email", 4).when(F.col("origin") == "name", 2).otherwise(1) - F.when(F.col("key").startswith("?"), 2).otherwise(0)
     people = checked.filter("sure").groupBy("record_id", "key").agg(F.max(weight).alias("w"), F.count("*").alias("n"))
@@ -313,12 +313,14 @@ def linked_records(entities: DataFrame, extracted: DataFrame) -> DataFrame:
     # a former surname among the aliases: a full name with one part in common
     former = checked.filter("sure and not startswith(key, '?')").join(read.filter("form = 'full'").select("record_id", "origin", "spelled").distinct(), ["record_id", "origin", "spelled"], "left_semi")
     former = former.select("record_id", F.col("key").alias("other")).join(people, "record_id").filter("core <> other").filter(F.size(F.array_intersect(F.split("core", r"\|"), F.split("other", r"\|"))) > 0)
-    people = people.join(components(former.select("core", "other").distinct()), "core", "left").select("record_id", F.lit("person").alias("kind"), F.coalesce("component", "core").alias("entity"))
     cores = read.filter("kind = 'company'").select("record_id", "origin", F.col("family").alias("core")).distinct()
     own = cores.groupBy("record_id").agg(F.max_by("core", F.struct(F.when(F.col("origin") == "website", 3).when(F.col("origin") == "name", 2).otherwise(1), "core")).alias("core"))
-    edges = cores.select("record_id", F.col("core").alias("other")).join(own, "record_id").filter("core <> other").select("core", "other").distinct()
-    companies = own.join(components(edges), "core", "left").select("record_id", F.lit("company").alias("kind"), F.coalesce("component", "core").alias("entity"))
-    return people.unionByName(companies)
+    edges = cores.select("record_id", F.col("core").alias("other")).join(own, "record_id").filter("core <> other").select("core", "other")
+    of = lambda frame, kind: frame.select(F.concat(F.lit(f"{kind}:"), "core").alias("core"), F.concat(F.lit(f"{kind}:"), "other").alias("other"))
+    joined = components(of(former.select("core", "other"), "person").unionByName(of(edges, "company")).distinct())
+    records = people.select("record_id", F.lit("person").alias("kind"), "core").unionByName(own.select("record_id", F.lit("company").alias("kind"), "core"))
+    records = records.withColumn("core", F.concat_ws(":", "kind", "core")).join(joined, "core", "left")
+    return records.select("record_id", "kind", F.expr("substring(coalesce(component, core), length(kind) + 2)").alias("entity"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,10 +331,9 @@ def components(edges: DataFrame) -> DataFrame:
         offered = both.join(labels.select(F.col("core").alias("other"), F.col("component").alias("theirs")), "other").groupBy("core").agg(F.min("theirs").alias("theirs"))
         hooked = labels.join(offered, "core").select("core", F.least("component", "theirs").alias("component"), F.col("component").alias("before"))
         jumped = hooked.join(hooked.select(F.col("core").alias("component"), F.col("component").alias("beyond")), "component", "left").select("core", F.coalesce("beyond", "component").alias("component"), "before")
-        jumped, _ = cut_counted(jumped)
-        changed = jumped.filter("component <> before").isEmpty()
+        jumped, changed = cut_counted(jumped, F.col("component") != F.col("before"))
         labels = jumped.select("core", "component")
-        if changed:
+        if not changed:
             break
     return labels
 
