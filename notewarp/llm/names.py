@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 # Letters that do not decompose, titles and endings that are no part of a name.
 _PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
@@ -23,6 +24,11 @@ def distance(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if len(a) > 6:
+        # letters that one has and the other hasn't are edits at least
+        ours, theirs = Counter(a), Counter(b)
+        if max((ours - theirs).total(), (theirs - ours).total()) > most:
+            return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]

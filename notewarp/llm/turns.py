@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from notewarp.llm.names import distance, parts
 from notewarp.operators.ordered import numbered_runs, running_total, with_previous
@@ -67,9 +67,11 @@ _INSIDE_TIME = re.compile(rf"[\[(]{_TIME}[\])]")
 _INSIDE_SOUND = re.compile(_SOUND, re.I)
 _INSIDE_FILLER = re.compile(rf"(?<![\w-]){_FILLER}", re.I)
 _SPEECH = re.compile(r"\w")
+_WORD_LIST = re.compile(r"[^\W\d_]{2,}")
+_NO_SPEECH = frozenset(FILLERS.replace("-", " ").split()) | frozenset("music laughter laugh laughs laughing crosstalk noise applause silence pause inaudible unintelligible blank audio cough coughs coughing phone ringing sigh sighs sneeze sneezes".split())
 _NUMBER = re.compile(_LABEL.replace("[a-z0-9]{1,3}", "([a-z0-9]{1,3})") + r"\s*:?\s*|([a-z0-9]{1,3})\s*:?\s*", re.I)
 
-PARSED = "segment_id long, note_id string, source string, start_time timestamp, end_time timestamp, label string, name string, clean string, profile string"
+PARSED = "segment_id long, note_id string, source string, start_time timestamp, end_time timestamp, label string, name string, spoken string"
 
 
 def label_key(label: str | None) -> str | None:
@@ -89,9 +91,15 @@ def language_of(text: str) -> str:
     return best if hits[best] else "?"
 
 
+def without_lead(text: str) -> str:
+    """Text without timestamps, annotations, fillers and marks at its beginning."""
+    m = _LEAD.match(text)
+    return text[m.end() :] if m else text
+
+
 def read_prefix(text: str, *, known_speaker: bool) -> tuple[str | None, str | None, str]:
     """(label, name, rest) of a text whose leading decoration is taken off; nothing is read where the fields name the speaker."""
-    rest = _LEAD.sub("", text)
+    rest = without_lead(text)
     if known_speaker:
         return None, None, rest
     m = _PREFIX.match(rest)
@@ -99,7 +107,7 @@ def read_prefix(text: str, *, known_speaker: bool) -> tuple[str | None, str | No
         return None, None, rest
     which, value = next((k, v) for k, v in m.groupdict().items() if v)
     if re.fullmatch(_LABEL, value, re.I):
-        return value, None, _LEAD.sub("", rest[m.end() :])
+        return value, None, without_lead(rest[m.end() :])
     if which == "e":
         words = re.split(r"[\s,]+", re.sub(r"\s*(?:\(.*\)|\[.*\]|-\s+guest)$", "", value, flags=re.I).strip())
         initial = re.match(r"[^\W\d_]\.\s", value)
@@ -110,7 +118,7 @@ def read_prefix(text: str, *, known_speaker: bool) -> tuple[str | None, str | No
         shaped = initial or all(w[0].isupper() for w in words) or len(words) <= 2
         if not shaped or len(words) > 3 or words[0].casefold() in NO_SPEAKER:
             return None, None, rest
-    return None, value, _LEAD.sub("", rest[m.end() :])
+    return None, value, without_lead(rest[m.end() :])
 
 
 def clean_text(text: str) -> str:
@@ -129,6 +137,9 @@ def clean_text(text: str) -> str:
 
 def has_speech(rest: str) -> bool:
     """Whether anything but fillers, annotations, timestamps and punctuation is left."""
+    # a word that is no filler, and that no annotation has, settles it
+    if any(w not in _NO_SPEECH for w in _WORD_LIST.findall(rest[:400].lower())):
+        return True
     left = _INSIDE_SOUND.sub(" ", rest)
     left = re.sub(rf"(?<!\d){_TIME}(?!\d)", " ", left)
     return bool(_SPEECH.search(_INSIDE_FILLER.sub(" ", left)))
@@ -156,9 +167,18 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             in_label, in_name, rest = read_prefix(raw, known_speaker=bool(label or name))
             if not has_speech(rest):
                 continue
-            clean = clean_text(rest)
-            out.append((row.segment_id, row.note_id, row.source, row.start_time, row.end_time, label_key(label or in_label), name or in_name, clean, profile_of(raw, clean)))
-        yield pd.DataFrame(out, columns=["segment_id", "note_id", "source", "start_time", "end_time", "label", "name", "clean", "profile"])
+            out.append((row.segment_id, row.note_id, row.source, row.start_time, row.end_time, label_key(label or in_label), name or in_name, rest))
+        yield pd.DataFrame(out, columns=["segment_id", "note_id", "source", "start_time", "end_time", "label", "name", "spoken"])
+
+
+@F.pandas_udf(T.StringType())
+def _clean(spoken: pd.Series) -> pd.Series:
+    return spoken.map(clean_text)
+
+
+@F.pandas_udf(T.StringType())
+def _profile(spoken: pd.Series) -> pd.Series:
+    return spoken.map(lambda t: profile_of(t, clean_text(t)))
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
@@ -180,7 +200,7 @@ def distinct_segments(segments: DataFrame) -> DataFrame:
 
 
 def parsed_segments(segments: DataFrame) -> DataFrame:
-    """Distinct segments with speech: speaker spellings, clean text and profile."""
+    """Distinct segments with speech: speaker spellings and the text after label and decoration."""
     return distinct_segments(segments).mapInPandas(_parse, PARSED)
 
 
@@ -251,12 +271,12 @@ def same_person(spellings: Counter) -> dict[str, str]:
     return result
 
 
-def _voices(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Voices of one note's distinct (label, name, source) spellings."""
+def voices_of(rows: list[dict]) -> list[str]:
+    """The voice of each of one note's distinct (label, name, source) spellings with their counts n."""
     spellings = Counter()
-    for r in pdf.itertuples(index=False):
-        if r.name is not None:
-            spellings[r.name] += int(r.n)
+    for r in rows:
+        if r["name"] is not None:
+            spellings[r["name"]] += r["n"]
     person = same_person(spellings)
     up: dict[str, str] = {}
 
@@ -267,19 +287,24 @@ def _voices(pdf: pd.DataFrame) -> pd.DataFrame:
 
     # a label stands for the person it is seen with most often
     seen: dict[str, Counter] = defaultdict(Counter)
-    for r in pdf.itertuples(index=False):
-        if r.label is not None and r.name is not None:
-            seen["L" + r.label]["N" + person[r.name]] += int(r.n)
+    for r in rows:
+        if r["label"] is not None and r["name"] is not None:
+            seen["L" + r["label"]]["N" + person[r["name"]]] += r["n"]
     for label in sorted(seen):
         for name in sorted(seen[label]):
             a, b = find(label), find(name)
             if a != b:
                 up[min(a, b)] = max(a, b)  # a name stands for a label
-    out = []
-    for r in pdf.itertuples(index=False):
-        of = "L" + r.label if r.label is not None else "N" + person[r.name]
-        out.append((r.note_id, r.label, r.name, r.source, find(of)))
-    return pd.DataFrame(out, columns=["note_id", "label", "name", "source", "voice"])
+    return [find("L" + r["label"] if r["label"] is not None else "N" + person[r["name"]]) for r in rows]
+
+
+def _voices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for note_id, rows in zip(pdf["note_id"], pdf["spellings"]):
+            rows = list(rows)
+            out += [(note_id, r["label"], r["name"], r["source"], v) for r, v in zip(rows, voices_of(rows))]
+        yield pd.DataFrame(out, columns=["note_id", "label", "name", "source", "voice"])
 
 
 def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -315,11 +340,12 @@ def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def voiced_segments(segments: DataFrame) -> DataFrame:
-    """(note_id, segment_id, source, start_time, end_time, clean, voice) of all segments with speech."""
+    """(note_id, segment_id, source, start_time, end_time, spoken, voice) of all segments with speech."""
     parsed = cut(parsed_segments(segments))
     named = F.col("label").isNotNull() | F.col("name").isNotNull()
     spellings = parsed.filter(named).groupBy("note_id", "label", "name", "source").agg(F.count("*").alias("n"))
-    voices = cut(spellings.groupBy("note_id").applyInPandas(_voices, "note_id string, label string, name string, source string, voice string"))
+    per_note = spellings.groupBy("note_id").agg(F.collect_list(F.struct("label", "name", "source", "n")).alias("spellings"))
+    voices = cut(per_note.mapInPandas(_voices, "note_id string, label string, name string, source string, voice string"))
     known = parsed.filter(named).join(
         voices.select("note_id", F.col("label").alias("l"), F.col("name").alias("n"), F.col("source").alias("s"), "voice"),
         (parsed["note_id"] == voices["note_id"]) & F.col("label").eqNullSafe(F.col("l")) & F.col("name").eqNullSafe(F.col("n")) & F.col("source").eqNullSafe(F.col("s")),
@@ -338,7 +364,7 @@ def voiced_segments(segments: DataFrame) -> DataFrame:
         decided = None
     else:
         decided = _inferred(known, open_ones)
-    columns = ["note_id", "segment_id", "source", "start_time", "end_time", "clean", "voice"]
+    columns = ["note_id", "segment_id", "source", "start_time", "end_time", "spoken", "voice"]
     result = known.select(columns).unionByName(alone.select(columns))
     return result.unionByName(decided.select(columns)) if decided is not None else result
 
@@ -346,11 +372,12 @@ def voiced_segments(segments: DataFrame) -> DataFrame:
 def _inferred(known: DataFrame, unknown: DataFrame) -> DataFrame:
     """`unknown` with the voice the hidden Markov model gives it."""
     notes = unknown.select("note_id", "voices").distinct()
-    pins = known.join(notes.select("note_id"), "note_id", "left_semi")
+    pins = known.join(notes.select("note_id"), "note_id", "left_semi").withColumn("profile", _profile("spoken"))
+    unknown = unknown.withColumn("profile", _profile("spoken"))
     traits = pins.select("note_id", "voice", F.explode(F.split("profile", r"\|")).alias("trait")).groupBy("note_id", "voice", "trait").agg(F.count("*").cast("int").alias("n"))
     model = traits.groupBy("note_id", "voice").agg(F.collect_list("trait").alias("trait"), F.collect_list("n").alias("n"))
     model = model.groupBy("note_id").agg(F.collect_list(F.struct("voice", "trait", "n")).alias("model"))
-    cols = ["note_id", "segment_id", "source", "start_time", "end_time", "clean", "profile"]
+    cols = ["note_id", "segment_id", "source", "start_time", "end_time", "spoken", "profile"]
     rows = pins.select(*cols, "voice").unionByName(unknown.select(*cols, F.lit(None).cast("string").alias("voice")))
     rows = rows.withColumn("bucket", F.coalesce(F.expr(f"unix_seconds(start_time) div {BUCKET_S}"), F.lit(2**62))).withColumn("at", F.coalesce("start_time", F.lit("9999-12-31").cast("timestamp")))
     order = ["at", "segment_id"]
@@ -372,7 +399,7 @@ def speaker_turns(segments: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.coalesce(F.expr(f"unix_seconds(start_time) div {BUCKET_S}"), F.lit(2**62))).withColumn("at", F.coalesce("start_time", F.lit("9999-12-31").cast("timestamp")))
     runs = numbered_runs(rows, "note_id", "bucket", ["at", "segment_id"], "voice")
     place = F.struct("at", "segment_id")
-    turns = runs.groupBy("note_id", "run").agg(
+    turns = runs.withColumn("clean", _clean("spoken")).groupBy("note_id", "run").agg(
         F.first("voice").alias("voice"),
         F.min_by("segment_id", place).alias("first_segment_id"),
         F.max_by("segment_id", place).alias("last_segment_id"),
