@@ -5,8 +5,9 @@
 2. A page's words give its rank-frequency curve. Words of one frequency share a stretch of ranks, so a page is sent on as its few
    distinct frequencies; SQL windows turn them into ranks and aggregates fit log frequency against log rank: slope and residual.
    A page's divergence is the mean surprise of its words under the language's rates.
-3. Slope, residual and divergence are compared with the median and spread of pages of the same language and comparable length.
-   Extremes are suspects.
+3. Slope, residual and divergence are compared with the median and spread of the pages of the same language and comparable length that
+   count as prose; a length with few of them is pooled with its neighbours. Extremes are suspects, and so are pages that don't count as
+   prose and those of a language that has no prose to be compared with.
 4. Exact check of the suspects: the characters in links, and in stretches without the words that sentences are made of (common words
    of the language that aren't this page's own overused keywords), must be more than half of the page.
 
@@ -36,6 +37,8 @@ COMMON_RATE = 1e-4
 KEYWORD_SHARE, KEYWORD_TIMES, KEYWORD_LEAST = 0.012, 4.0, 3
 #: Spreads from the median at which a feature is extreme.
 EXTREME = 1.5
+#: Prose pages that medians and spreads are taken from, if the language has so many: a thinner length is pooled with its neighbours.
+POOLED = 30
 MIN_TOKENS = 8
 
 # Words that also stand inside noun phrases and so don't prove a sentence.
@@ -81,14 +84,17 @@ def bonds(counts: Counter) -> tuple[int, int]:
     return sum(hits), len(hits)
 
 
+def is_prose(counts: Counter) -> bool:
+    held, different = bonds(counts)
+    return different >= PROSE_DIFFERENT and held >= PROSE_SHARE * counts.total()
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[tuple[str, bool], Counter] = {}
     for pdf in batches:
         for text in pdf["text"]:
             counts = page_words(text)
-            held, different = bonds(counts)
-            prose = different >= PROSE_DIFFERENT and held >= PROSE_SHARE * counts.total()
-            into = total.setdefault((language(counts), prose), Counter())
+            into = total.setdefault((language(counts), is_prose(counts)), Counter())
             for w, n in counts.items():
                 into[w] += n
         # a task holds a bounded number of words
@@ -143,8 +149,8 @@ def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
     return amiss
 
 
-def page_features(text: str, rates: dict[str, dict[str, float]], proof_words: set[str]) -> tuple[int, str, float, float, list[int], list[int]]:
-    """(words, language, divergence, share unlike prose, distinct frequencies, words of each) of one page."""
+def page_features(text: str, rates: dict[str, dict[str, float]], proof_words: set[str]) -> tuple[int, str, bool, float, float, list[int], list[int]]:
+    """(words, language, whether prose, divergence, share unlike prose, distinct frequencies, words of each) of one page."""
     counts = page_words(text)
     total = sum(counts.values())
     lang = language(counts)
@@ -160,25 +166,25 @@ def page_features(text: str, rates: dict[str, dict[str, float]], proof_words: se
     by = sorted(Counter(counts.values()).items(), reverse=True)
     certain = sum(counts[w] for w in _SURE if w in counts) >= CERTAIN_SHARE * total
     share = 0.0 if certain else unlike_prose(text, keywords, proof_words) / max(1, len(text))
-    return total, lang, surprise / max(1, total), share, [f for f, _ in by], [n for _, n in by]
+    return total, lang, is_prose(counts), surprise / max(1, total), share, [f for f, _ in by], [n for _, n in by]
 
 
 def _features(rates: dict[str, dict[str, float]], proof_words: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(d, *page_features(t, rates, proof_words)) for d, t in zip(pdf["doc_id"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "lang", "divergence", "share", "freqs", "sizes"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "lang", "prose", "divergence", "share", "freqs", "sizes"])
 
     return run
 
 
 def page_curves(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, lang, divergence, share, slope, residual) of every page with a text."""
+    """(doc_id, n_words, lang, prose, divergence, share, slope, residual) of every page with a text."""
     pages = documents.filter("doc_id is not null and text is not null and length(text) > 0").select("doc_id", "text")
     rates, proof_words = language_rates(pages)
-    made = cut(pages.mapInPandas(_features(rates, proof_words), "doc_id long, n_words int, lang string, divergence double, share double, freqs array<int>, sizes array<int>"))
+    made = cut(pages.mapInPandas(_features(rates, proof_words), "doc_id long, n_words int, lang string, prose boolean, divergence double, share double, freqs array<int>, sizes array<int>"))
     once = made.withColumn("pick", F.struct("n_words", "share", "freqs"))
-    points = once.select("doc_id", "n_words", "lang", "divergence", "share", F.explode(F.arrays_zip("freqs", "sizes")).alias("p")).select("doc_id", "n_words", "lang", "divergence", "share", F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"))
+    points = once.select("doc_id", "n_words", "lang", "prose", "divergence", "share", F.explode(F.arrays_zip("freqs", "sizes")).alias("p")).select("doc_id", "n_words", "lang", "prose", "divergence", "share", F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"))
     through = W.partitionBy("doc_id").orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = points.withColumn("last_rank", F.sum("n").over(through)).select(
         "*", F.log(F.sqrt((F.col("last_rank") - F.col("n") + 1) * F.col("last_rank").cast("double"))).alias("x"), F.log(F.col("f").cast("double")).alias("y")
@@ -186,6 +192,7 @@ def page_curves(documents: DataFrame) -> DataFrame:
     fits = ranked.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.first("lang").alias("lang"),
+        F.first("prose").alias("prose"),
         F.max("divergence").alias("divergence"),
         F.max("share").alias("share"),
         F.count("*").alias("points"),
@@ -195,21 +202,43 @@ def page_curves(documents: DataFrame) -> DataFrame:
     )
     slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).otherwise(0.0)
     left = F.greatest(F.lit(0.0), F.col("syy") - F.when(F.col("sxx") > 0, F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(0.0))
-    return fits.select("doc_id", "n_words", "lang", "divergence", "share", slope.alias("slope"), F.sqrt(left / F.col("points")).alias("residual"))
+    return fits.select("doc_id", "n_words", "lang", "prose", "divergence", "share", slope.alias("slope"), F.sqrt(left / F.col("points")).alias("residual"))
+
+
+def pools(cells: dict[tuple[str, int], int]) -> list[tuple[str, int, int]]:
+    """(lang, band, of): the bands that each cell (lang, band) is compared with, from the prose pages of every cell.
+
+    The bands next to a cell are added on both sides until there are POOLED prose pages or no more bands of the language.
+    """
+    bands: dict[str, dict[int, int]] = {}
+    for (lang, band), n in cells.items():
+        bands.setdefault(lang, {})[band] = n
+    result = []
+    for lang, counts in bands.items():
+        for band in counts:
+            for width in range(1 + max(abs(b - band) for b in counts)):
+                near = [b for b in counts if abs(b - band) <= width]
+                if sum(counts[b] for b in near) >= POOLED:
+                    break
+            result += [(lang, band, b) for b in near if counts[b]]
+    return result
 
 
 def suspects(curves: DataFrame) -> DataFrame:
-    """`curves` with `extreme`: whether slope, residual or divergence is far from same-language pages of comparable length."""
-    curves = curves.withColumn("band", F.floor(F.log2(F.col("n_words") + 1)))
+    """`curves` with `extreme`: whether slope, residual or divergence is far from same-language prose of comparable length."""
+    curves = curves.withColumn("band", F.floor(F.log2(F.col("n_words") + 1)).cast("int"))
     names = ["slope", "residual", "divergence"]
-    middle = curves.groupBy("lang", "band").agg(*[F.percentile_approx(c, 0.5, 200).alias(f"{c}_mid") for c in names], F.count("*").alias("pages"))
     # languages and bands are few: 5 x 40 rows at most
-    offset = curves.join(F.broadcast(middle), ["lang", "band"])
-    spread = offset.groupBy("lang", "band").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 200).alias(f"{c}_spread") for c in names])
-    placed = offset.join(F.broadcast(spread), ["lang", "band"])
+    cells = {(r.lang, r.band): r.n for r in curves.groupBy("lang", "band").agg(F.count(F.when(F.col("prose"), 1)).alias("n")).collect()}
+    pool = curves.sparkSession.createDataFrame(pools(cells), "lang string, band int, of int")
+    prose = curves.filter("prose").select("lang", F.col("band").alias("of"), *names).join(F.broadcast(pool), ["lang", "of"])
+    middle = prose.groupBy("lang", "band").agg(*[F.percentile_approx(c, 0.5, 200).alias(f"{c}_mid") for c in names])
+    offset = prose.join(F.broadcast(middle), ["lang", "band"])
+    spread = offset.groupBy("lang", "band").agg(*[F.first(f"{c}_mid").alias(f"{c}_mid") for c in names], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 200).alias(f"{c}_spread") for c in names])
+    placed = curves.join(F.broadcast(spread), ["lang", "band"], "left")
     far = [F.abs(F.col(c) - F.col(f"{c}_mid")) > EXTREME * 1.4826 * (F.col(f"{c}_spread") + 1e-9) for c in names]
-    # a language or band of its own has nothing to be compared with
-    return placed.withColumn("extreme", far[0] | far[1] | far[2] | (F.col("lang") == "?") | (F.col("pages") < 30))
+    # without prose of its language a page has nothing to be compared with
+    return placed.withColumn("extreme", F.coalesce(far[0] | far[1] | far[2], F.lit(True)) | ~F.col("prose"))
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:

@@ -117,3 +117,22 @@ def test_curves_equal_a_plain_fit(spark):
     assert counts == [4, 2, 2, 1, 1, 1, 1, 1]
     slope, cut = np.polyfit(x, y, 1)
     assert got.slope == pytest.approx(slope) and got.residual == pytest.approx(np.sqrt(np.mean((np.array(y) - slope * np.array(x) - cut) ** 2)))
+
+
+def test_pools():
+    cells = {("en", 3): 40, ("en", 4): 5, ("en", 6): 28, ("de", 2): 4, ("de", 9): 0, ("?", 3): 0}
+    got = {(lang, band): {b for x, y, b in spam.pools(cells) if (x, y) == (lang, band)} for lang, band in cells}
+    assert got == {("en", 3): {3}, ("en", 4): {3, 4}, ("en", 6): {4, 6}, ("de", 2): {2}, ("de", 9): {2}, ("?", 3): set()}
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_stuffed_pages_do_not_set_the_measure(spark, times):
+    # most pages of this language and length are stuffed: their middle is not that of prose, on few pages or many
+    rng = random.Random(8)
+    curve = lambda i, prose, at: (i, 60, "en", prose, at + rng.random() / 10, 0.0 if prose else 0.9, -at - rng.random() / 10, 0.2 + rng.random() / 50)
+    rows = [curve(i, i % 5 == 0, 5.0 if i % 5 == 0 else 8.0) for i in range(50 * times)]
+    # a mixed page, prose by its function words, whose curve is that of the stuffed ones
+    rows.append((9999, 60, "en", True, 8.05, 0.6, -8.05, 0.21))
+    curves = spark.createDataFrame(rows, "doc_id long, n_words int, lang string, prose boolean, divergence double, share double, slope double, residual double")
+    found = {r.doc_id for r in spam.suspects(curves).filter("extreme and share > 0.5").collect()}
+    assert found == {i for i in range(50 * times) if i % 5} | {9999}
