@@ -3,8 +3,10 @@
 1. Every name, alias and identifier is read into parts: a given name and a surname, an initial and a surname, a surname alone, a user
    name; or the core of a company's name without legal forms and trade words.
 2. Distinct parts (not rows) are hashed: MinHash over padded q-grams, banded. The number of bands follows from the collision curve
-   1 - (1 - s^r)^b for the wanted recall at the lowest similarity that is to be found.
-3. Pairs that share a band are verified by edits, and clustered by star clustering: the strongest undecided part of its neighbourhood
+   1 - (1 - s^r)^b for the wanted recall at the lowest similarity that the accepted edits leave to parts of LONG letters or more. Edits
+   leave shorter parts too little similarity for bands (down to none at two letters): these also meet by what is left of them after
+   as many deletions as edits are accepted, which misses no pair.
+3. Pairs that share a band or a remainder are verified by edits, and clustered by star clustering: the strongest undecided part of its neighbourhood
    becomes a centre and takes its neighbours, in parallel rounds; parts that identifiers vouch for are never taken by others.
 4. Names become keys of centres; nicknames stand for the given names they belong to where that person is known. A short form is linked
    when exactly one known person fits. A record is checked against its key by Monge-Elkan similarity.
@@ -30,8 +32,8 @@ from pyspark.sql import types as T
 from notewarp.llm.names import distance, folded, parts
 from notewarp.session import cut, cut_counted
 
-#: q of the q-grams, rows of a band, lowest similarity to be found, wanted recall there.
-Q, ROWS, LOWEST, RECALL = 3, 3, 0.45, 0.95
+#: q of the q-grams, rows of a band, wanted recall at the lowest similarity that edits leave to parts of LONG letters or more.
+Q, ROWS, RECALL, LONG = 3, 3, 0.95, 30
 #: Monge-Elkan similarity that a name must have with its key.
 MONGE_ELKAN = 0.72
 #: Rounds of star clustering and of components are bounded by the bits of a row count.
@@ -155,6 +157,26 @@ def signature(word: str, seeds: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))).min(axis=0)
 
 
+def edits(length: int) -> int:
+    """Edits that a spelling mistake explains in a part of so many letters (of two parts, the shorter one counts)."""
+    return 1 if length < 8 else 2 if length < 14 else 3
+
+
+def lowest_similarity(length: int) -> float:
+    """The least similarity of padded q-grams that the accepted edits leave to parts of that length: a swap touches q + 1 of them."""
+    grams, touched = length + Q - 1, edits(length) * (Q + 1)
+    return max(0, grams - touched) / (grams + touched)
+
+
+def remainders(word: str) -> set[str]:
+    """What is left of a word after up to its accepted edits deletions: parts within so many edits have one of these in common."""
+    found = last = {word}
+    for _ in range(edits(len(word))):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
 def _bander(bands: int):
     seeds = np.random.default_rng(7).integers(1, 2**63, bands * ROWS, dtype=np.uint64)
 
@@ -162,9 +184,16 @@ def _bander(bands: int):
         for pdf in batches:
             out = []
             for kind, word, strength in zip(pdf["kind"], pdf["word"], pdf["strength"]):
-                sig = signature(word, seeds)
-                for b in range(bands):
-                    out.append((kind, word, strength, xxhash.xxh64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), b) >> 1))
+                # a part of LONG letters may be within its edits of one that is a little shorter
+                if len(word) < LONG + edits(LONG):
+                    out += [(kind, word, strength, xxhash.xxh64_intdigest(w, bands) >> 1) for w in remainders(word)]
+                if len(word) >= LONG:
+                    sig = signature(word, seeds)
+                    for b in range(bands):
+                        out.append((kind, word, strength, xxhash.xxh64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), b) >> 1))
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=["kind", "word", "strength", "bucket"])
+                    out = []
             yield pd.DataFrame(out, columns=["kind", "word", "strength", "bucket"])
 
     return run
@@ -172,7 +201,7 @@ def _bander(bands: int):
 
 def alike(a: str, b: str) -> float:
     """1 minus the share of edits, 0 where there are more than a spelling mistake explains."""
-    most = 1 if min(len(a), len(b)) < 8 else 2 if min(len(a), len(b)) < 14 else 3
+    most = edits(min(len(a), len(b)))
     d = distance(a, b, most)
     return 0.0 if d > most else 1 - d / max(len(a), len(b))
 
@@ -185,7 +214,7 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_words(words: DataFrame) -> DataFrame:
     """(kind, word, near, similarity): verified pairs, `near` the stronger one. `words` is (kind, word, vouched, support)."""
     ranked = words.withColumn("strength", F.to_json(F.struct(F.col("vouched").cast("int").alias("v"), F.col("support").alias("s"))))
-    banded = ranked.select("kind", "word", "strength").mapInPandas(_bander(bands_for(LOWEST, RECALL, ROWS)), "kind string, word string, strength string, bucket long")
+    banded = ranked.select("kind", "word", "strength").mapInPandas(_bander(bands_for(lowest_similarity(LONG), RECALL, ROWS)), "kind string, word string, strength string, bucket long")
     banded = cut(banded.select("kind", "word", "bucket", F.get_json_object("strength", "$.v").cast("int").alias("v"), F.get_json_object("strength", "$.s").cast("long").alias("s")))
     left, right = banded.alias("a"), banded.alias("b")
     weaker = (F.struct(F.col("a.v"), F.col("a.s"), F.col("a.word")) < F.struct(F.col("b.v"), F.col("b.s"), F.col("b.word"))) & (F.col("a.v") == 0)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from notewarp.llm import link, pii
@@ -12,6 +14,35 @@ def linked(spark, people, extracted=()):
     return {(r.id_a, r.id_b) for r in link.record_pairs(link.linked_records(e, x)).collect()}
 
 
+def test_candidates_reach_what_is_called_alike(spark):
+    rng, letters = random.Random(3), "abcdefghiklmnoprstuwz"
+
+    def mistaken(w: str) -> str:
+        w = list(w)
+        for _ in range(link.edits(len(w))):
+            i = rng.randrange(len(w) - 1)
+            how = rng.randrange(4)
+            if how < 2:
+                w[i], w[i + 1] = w[i + 1], w[i]
+            elif how == 2:
+                w[i] = rng.choice(letters)
+            else:
+                w.insert(i, rng.choice(letters))
+        return "".join(w)
+
+    words = {"smith", "smtih", "weber", "wbeer", "miller", "mliler", "garcia", "gracia", "kowalski", "kovalsky", "rodriguez", "rodirgeuz", "li", "il"}
+    for n in range(240):
+        w = "".join(rng.choice(letters) for _ in range(2 + n % 38))
+        words |= {w, mistaken(w)}
+    strong = {w: len(words) ** 2 * i + 1 for i, w in enumerate(sorted(words))}
+    frame = spark.createDataFrame([("person", w, False, s) for w, s in strong.items()], "kind string, word string, vouched boolean, support long")
+    got = {(r.word, r.near) for r in link.similar_words(frame).collect()}
+    true = {(a, b) for a in words for b in words if a != b and strong[a] < strong[b] and link.alike(a, b) > 0 and (len(a) >= 7 or strong[b] >= 3 * strong[a])}
+    short = {p for p in true if min(map(len, p)) < link.LONG}
+    assert got <= true and short <= got
+    assert len(got & true) >= link.RECALL * len(true)
+
+
 def test_people(spark):
     mail = lambda m: [("email", m)]
     got = linked(
