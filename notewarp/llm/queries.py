@@ -67,13 +67,13 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
-    """Documents of the mixture and how often each is used."""
-    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"))[0]
+    """Documents of a mixture of all tokens the weighted sources have, and how often each is used."""
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"), full=True)[0]
 
 
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     """Target and actual share of every source."""
-    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"))[1]
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"), full=True)[1]
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from notewarp.llm import mixing, packing, spam, tokens
+from notewarp.llm import mixing, packing, queries, spam, tokens
 
 DOC = "doc_id long, text string, lang string, source string, piece int, cell string"
 needs_ranks = pytest.mark.skipif(not __import__("os").path.exists(tokens.RANKS), reason="no vocabulary")
@@ -82,6 +82,21 @@ def test_mixture(spark):
     assert empty.count() == 0 and none.count() == 3
 
 
+@needs_ranks
+def test_a_scarce_source_does_not_shrink_the_registered_mixture(spark, tmp_path):
+    rows = [(i, "word " * 50, "en", "plenty", 1, "x") for i in range(200)] + [(500 + i, "word " * 50, "en", "more", 1, "x") for i in range(200)] + [(900, "one short document", "en", "scarce", 1, "x"), (901, "word " * 5000, "en", "no place", 1, "x")]
+    spark.createDataFrame(rows, DOC).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    weights = [("plenty", 0.5, 2), ("more", 0.46, 2), ("scarce", 0.04, 6), ("no place", 0.0, 3)]
+    spark.createDataFrame(weights, "source string, target_share double, max_repeats int").coalesce(1).write.parquet(f"{tmp_path}/source_weights.parquet")
+    report = {r.source: r for r in queries.p8_shares(spark, str(tmp_path)).collect()}
+    available = sum(r.available_tokens for s, r in report.items() if s != "no_place")
+    assert report["scarce"].epochs == 6 and report["no_place"].tokens == 0
+    assert sum(r.tokens for r in report.values()) == pytest.approx(available, rel=0.02)
+    # the excess goes to the others in proportion to their shares
+    assert report["plenty"].tokens / report["more"].tokens == pytest.approx(0.5 / 0.46, rel=0.02)
+    assert report["scarce"].actual_share < report["scarce"].target_share
+
+
 def pages(rng):
     subjects, verbs, things = ["the team", "our vendor", "support", "the office"], ["has asked for", "is not sure about", "was told to change", "will move", "can see"], ["the plan", "a budget", "that report", "this list", "the review"]
     prose = lambda n: " ".join(f"{rng.choice(subjects).capitalize()} {rng.choice(verbs)} {rng.choice(things)} because we have to be done with it by the {rng.randrange(1, 28)}th." for _ in range(n))
