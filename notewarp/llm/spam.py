@@ -63,8 +63,6 @@ _SURE = frozenset(_BONDS) - OFFER_WORDS - NOUN_WORDS
 PROSE_SHARE, PROSE_DIFFERENT = 0.08, 5
 #: A word proves a sentence if its rate in prose is so many times its rate on other pages, of all languages and of its own.
 PROOF_TIMES, OWN_PROOF_TIMES = 8.0, 2.0
-#: With this share of sure bonding words half a page can't be without sentences: the exact check is not needed.
-CERTAIN_SHARE = 0.12
 
 
 def language(counts: Counter) -> str:
@@ -134,8 +132,8 @@ def language_rates(pages: DataFrame) -> tuple[dict[str, dict[str, float]], set[s
 
 
 def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
-    """Characters in links and in stretches that have none of the words sentences are made of."""
-    amiss = 0
+    """Characters in links and in stretches that have none of the words sentences are made of; 0 once half of the page is sentences."""
+    amiss, sound = 0, 0
     for stretch in _STRETCH.split(text):
         if not stretch:
             continue
@@ -144,6 +142,10 @@ def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
         proof = sum(1 for w in words if w in _SURE or (w in proof_words and w not in keywords))
         if proof and proof >= 0.12 * len(words):
             amiss += len(stretch) - len(bare)
+            sound += len(bare)
+            # what is left, separators included, can't be more than half
+            if 2 * sound >= len(text):
+                return 0
         else:
             amiss += len(stretch)
     return amiss
@@ -164,8 +166,7 @@ def page_features(text: str, rates: dict[str, dict[str, float]], proof_words: se
         if n >= KEYWORD_LEAST and n >= most and n >= KEYWORD_TIMES * total * p:
             keywords.add(w)
     by = sorted(Counter(counts.values()).items(), reverse=True)
-    certain = sum(counts[w] for w in _SURE if w in counts) >= CERTAIN_SHARE * total
-    share = 0.0 if certain else unlike_prose(text, keywords, proof_words) / max(1, len(text))
+    share = unlike_prose(text, keywords, proof_words) / max(1, len(text))
     return total, lang, is_prose(counts), surprise / max(1, total), share, [f for f, _ in by], [n for _, n in by]
 
 

@@ -140,6 +140,14 @@ def test_pools():
     assert got == {("en", 3): {3}, ("en", 4): {3, 4}, ("en", 6): {4, 6}, ("de", 2): {2}, ("de", 9): {2}, ("?", 3): set()}
 
 
+def test_wordy_sentences_do_not_excuse_half_a_page_of_labels():
+    sentence = "It is what we have to do if you are to be with us when it is on, and that is not what I was for. "
+    labels = "\n".join(f"Professional Ergonomic Keyboard Accessories {i}" for i in range(20))
+    share = spam.page_features(sentence * 6 + "\n" + labels, {}, set())[4]
+    assert 0.5 < share == pytest.approx(len(labels) / (6 * len(sentence) + len(labels)), abs=0.05)
+    assert spam.page_features(sentence * 12 + "\n" + labels, {}, set())[4] == 0.0
+
+
 @pytest.mark.parametrize("times", [1, 10])
 def test_stuffed_pages_do_not_set_the_measure(spark, times):
     # most pages of this language and length are stuffed: their middle is not that of prose, on few pages or many
