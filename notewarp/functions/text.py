@@ -37,26 +37,40 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _bare_letters() -> dict[str, str]:
+    """Letters that are one letter and marks -> that letter, for scripts below U+2000; by rule from the character tables."""
+    found = {}
+    for point in range(0xC0, 0x2000):
+        apart = unicodedata.normalize("NFD", chr(point))
+        if len(apart) > 1 and all(unicodedata.combining(c) for c in apart[1:]) and apart[0].isalpha():
+            found[chr(point)] = apart[0]
+    return found
+
+
+_BARE = _bare_letters()
+_BARE_TABLE = str.maketrans(_BARE)
+_MARKS = "\u0300-\u036f"
+
+
+def bare(text: Column) -> Column:
+    """Lower case without diacritics, inside the JVM; null stays null."""
+    lowered = F.regexp_replace(F.lower(text), f"[{_MARKS}]", "")
+    return F.translate(lowered, "".join(_BARE), "".join(_BARE.values()))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case tokens inside the JVM; null is an empty array."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
+    """Lower-case tokens without diacritics, inside the JVM; null is an empty array. Texts and queries share this form."""
+    return F.coalesce(F.regexp_extract_all(bare(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def index_tokens(text: str) -> list[tuple[str, int, int]]:
-    """(token, start, end): lower case, diacritics removed, split at everything that is no letter or digit."""
+    """(token, start, end): the tokens of `tokens` with their places in the text."""
     found = []
-    for m in re.finditer(r"(?:[^\W_][̀-ͯ]*)+", text):
-        bare = "".join(c for c in unicodedata.normalize("NFD", m.group().lower()) if not unicodedata.combining(c))
-        found.append((bare, m.start(), m.end()))
+    for m in re.finditer(rf"(?:[^\W_][{_MARKS}]*)+", text):
+        found.append((re.sub(f"[{_MARKS}]", "", m.group().lower()).translate(_BARE_TABLE), m.start(), m.end()))
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def exact_tokens(text: pd.Series) -> pd.Series:
-    """Tokens without diacritics; for corpora in which accents must not matter."""
-    return text.map(lambda t: [] if t is None else [x for x, _, _ in index_tokens(t)])
-
-
 def query_phrases(query: str) -> list[list[str]] | None:
     """A query's phrases: every word between blanks is one, of adjacent tokens. None if the query can match nothing.
 

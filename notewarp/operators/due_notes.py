@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewarp.operators.merkle import changed
+from notewarp.operators.merkle import MerkleStore
+from notewarp.session import cut, scratch
 
 #: Attempts after which a version is given up.
 MAX_ATTEMPTS = 5
@@ -62,7 +63,23 @@ def note_state(feed: DataFrame, queue: DataFrame, *, max_attempts: int = MAX_ATT
     )
 
 
-def due_notes(feed: DataFrame, queue: DataFrame, *, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """(note_id, version_us) of each note to process, once: the leaves in which newest and settled versions differ."""
-    rows = changed(note_state(feed, queue, max_attempts=max_attempts), key="key", current="newest", saved="settled")
-    return rows.select(F.col("key").alias("note_id"), F.col("newest").cast("long").alias("version_us"))
+def due_notes(feed: DataFrame, queue: DataFrame, *, max_attempts: int = MAX_ATTEMPTS, store: MerkleStore | None = None) -> DataFrame:
+    """(note_id, version_us) of each note to process, once.
+
+    What earlier runs have settled is what the queue's log says: it is published as the store's version in force. The run over the feed's
+    newest versions then reads that saved tree, goes down where digests differ, and compares the records of those leaves.
+    """
+    spark = feed.sparkSession
+    state = cut(note_state(feed, queue, max_attempts=max_attempts))
+    store = store or MerkleStore(spark, scratch(spark))
+    settled = state.filter("settled <> 'never'").select("key", F.col("settled").alias("digest"))
+    store.publish(settled, settled.limit(0))
+    # notes that only the saved side has can't be there: both sides are notes of the feed
+    rows = store.pending(state.select("key", F.col("newest").alias("digest")))
+    return rows.select(F.col("key").alias("note_id"), F.col("digest").cast("long").alias("version_us"))
+
+
+def newest_versions(feed: DataFrame) -> DataFrame:
+    """(key, digest): a note and its newest version in microseconds."""
+    newest = feed.filter("id is not null and updated_at is not null").groupBy(F.col("id").alias("key")).agg(F.max(F.col("updated_at").cast("timestamp")).alias("v"))
+    return newest.select("key", F.unix_micros("v").cast("string").alias("digest"))

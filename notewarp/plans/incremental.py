@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewarp.operators.due_notes import due_notes
+from notewarp.operators.due_notes import due_notes, newest_versions
 from notewarp.operators.hierarchy import ancestor_pairs, folder_report, hierarchy, paths
-from notewarp.session import cut, table
+from notewarp.operators.merkle import MerkleStore
+from notewarp.session import cut, scratch, table
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -15,6 +16,17 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return due_notes(table(spark, root, "note_feed"), table(spark, root, "processing_queue"))
 
 
+def p1_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(note_id, change, version_us) of the second of two runs over the feed: the first saw what had arrived by the last complete pass."""
+    feed = table(spark, root, "note_feed")
+    done = table(spark, root, "sync_state").agg(F.max("last_completed_at").alias("done"))
+    store = MerkleStore(spark, scratch(spark))
+    early = feed.join(F.broadcast(done), F.col("received_at") <= F.col("done"), "left_semi")
+    store.run(newest_versions(early), lambda pending: pending)
+    store.run(newest_versions(feed), lambda pending: pending)
+    return store.output().select(F.col("key").alias("note_id"), "change", F.col("digest").cast("long").alias("version_us"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """(folder_id, root_id, depth, n_below) of every folder."""
     return folder_report(table(spark, root, "folders"))
@@ -33,7 +45,7 @@ def p5_descendants(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("ancestor").alias("folder_id"), F.col("id").alias("below_id"), (F.col("depth") - F.col("ancestor_depth")).cast("long").alias("levels"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
 
 _FOLDERS = r"""
 WITH RECURSIVE f AS (SELECT trim(id) AS id, min(nullif(trim(parent_folder_id), '')) AS p FROM folders WHERE trim(id) <> '' GROUP BY 1),
@@ -52,6 +64,9 @@ SELECT n.id AS note_id, epoch_us(v) AS version_us FROM n LEFT JOIN l ON l.note_i
 WHERE (NOT EXISTS (SELECT 1 FROM processing_queue q WHERE q.note_id = n.id AND q.state = 'complete' AND q.remote_updated_at >= v)
    AND NOT EXISTS (SELECT 1 FROM processing_queue q WHERE q.note_id = n.id AND q.remote_updated_at = v AND q.attempts >= 5))
    OR (st = 'pending' AND forced)""",
+    "p1_runs": """
+WITH n AS (SELECT id, max(updated_at) AS v, max(updated_at) FILTER (WHERE received_at <= (SELECT max(last_completed_at) FROM sync_state)) AS w FROM note_feed GROUP BY 1)
+SELECT id AS note_id, CASE WHEN w IS NULL THEN 'added' ELSE 'changed' END AS change, epoch_us(v) AS version_us FROM n WHERE w IS NULL OR w <> v""",
     "p5_found": _FOLDERS
     + """, b AS (SELECT a, count(*) AS n FROM a GROUP BY 1)
 SELECT g.id AS folder_id, coalesce(r.root, 'cycle') AS root_id, CAST(coalesce(r.d, -1) AS BIGINT) AS depth,

@@ -11,7 +11,8 @@ from notewarp.operators import ontology as O
 from notewarp.operators.context import evidence_context, ontology_context
 from notewarp.operators.materialize import current_notes, flat_notes, refresh_evidence, segment_units, summary_units
 from notewarp.operators.merge import flag_where, hide_missing, insert_or_ignore, upsert
-from notewarp.session import table
+from notewarp.operators.resolve import identifier_value, resolve
+from notewarp.session import cut, table
 from notewarp.streaming import queue as Q
 
 _AT = "2026-09-06 09:00:00"
@@ -124,13 +125,30 @@ def name_matches(spark: SparkSession, root: str) -> DataFrame:
     return joined.select("record_id", F.coalesce("by_name", "by_alias").alias("entity_id"), source.alias("match_source"))
 
 
+def _stored(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The entities of the tables as a stored graph; a real entity may have several rows."""
+    e = table(spark, root, "entities")
+    return {
+        "entities": e.groupBy("entity_id").agg(F.min_by(F.struct("type_key", "canonical_name", "status"), "record_id").alias("e")).select("entity_id", "e.*"),
+        "entity_aliases": e.select("entity_id", F.explode("aliases").alias("alias")),
+        "entity_identifiers": e.select("entity_id", F.explode("identifiers").alias("i")).select("entity_id", F.col("i.field_key").alias("field_key"), identifier_value(F.col("i.raw_value")).alias("normalized_value")),
+    }
+
+
 def resolved(spark: SparkSession, root: str) -> DataFrame:
-    """Resolution of all extracted entities in the order of their records: entities by how they were found."""
-    from notewarp.operators.resolve import resolve
+    """(record_id, entity_id, match_source) of every extracted entity that something stored decides, against the stored entities."""
+    c = table(spark, root, "extracted_entities").select(F.col("record_id").alias("candidate_no"), "type_key", "name", F.lit(None).cast("string").alias("note_id"), F.lit(None).cast("string").alias("scope_note_id"), "identifiers")
+    known = _stored(spark, root)
+    ids = known["entities"].select("entity_id", F.lit(True).alias("stored"))
+    got = resolve(c, known).join(ids, "entity_id", "left").filter("stored or match_source = 'conflict'")
+    return got.select(F.col("candidate_no").alias("record_id"), "entity_id", "match_source")
 
-    x = table(spark, root, "extracted_entities")
-    c = x.select(F.col("record_id").alias("candidate_no"), "type_key", "name", "note_id", F.lit(None).cast("string").alias("scope_note_id"), "identifiers")
-    return resolve(c).groupBy("match_source").agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"))
+
+def resolved_new(spark: SparkSession, root: str) -> DataFrame:
+    """(record_id, first_id) of every extracted entity resolved among themselves: the record that created its entity; conflicts left out."""
+    c = table(spark, root, "extracted_entities").select(F.col("record_id").alias("candidate_no"), "type_key", "name", F.lit(None).cast("string").alias("note_id"), F.lit(None).cast("string").alias("scope_note_id"), "identifiers")
+    got = cut(resolve(c)).filter("entity_id is not null")
+    return got.select(F.col("candidate_no").alias("record_id"), "entity_id").join(got.groupBy("entity_id").agg(F.min("candidate_no").alias("first_id")), "entity_id").select("record_id", "first_id")
 
 
 def alias_lists(spark: SparkSession, root: str) -> DataFrame:
@@ -296,7 +314,7 @@ def next_revision(spark: SparkSession, root: str) -> DataFrame:
 
 
 _NAMES = (
-    "evidence_units notes_flat attendees first_summary evidence_refreshed context ontology_rows type_equivalence missing_evidence undeclared_fields wrong_endpoints identifier_matches name_matches resolved "
+    "evidence_units notes_flat attendees first_summary evidence_refreshed context ontology_rows type_equivalence missing_evidence undeclared_fields wrong_endpoints identifier_matches name_matches resolved resolved_new "
     "alias_lists aliases_inserted duplicate_keys queue_counts ingestion_status queue_claimable queue_claimed queue_recovered queue_reprocessed queue_discovered feed_after_mark notes_upserted notes_hidden "
     "facts_retired changed_notes sync_report identities normal_forms graph_layout filtered_nodes type_list next_revision"
 ).split()
@@ -315,6 +333,10 @@ _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{
 _FIELDS = "fd AS (SELECT DISTINCT type_key, unnest(list_transform(identifiers, lambda i: i.field_key)) AS field_key FROM entities)"
 _TYPES = "ty AS (SELECT DISTINCT type_key FROM (SELECT type_key FROM entities UNION ALL SELECT type_key FROM extracted_entities))"
 
+_STORE = """act AS (SELECT entity_id, arg_min(type_key, record_id) AS type_key, arg_min(canonical_name, record_id) AS canonical_name FROM entities GROUP BY 1 HAVING arg_min(status, record_id) = 'active'),
+si AS (SELECT act.entity_id, act.type_key, x.i.field_key AS f, lower(trim(x.i.raw_value)) AS v FROM (SELECT entity_id, unnest(identifiers) AS i FROM entities) x JOIN act USING (entity_id))"""
+_CAND = f"c AS (SELECT record_id, type_key, {_SQ.format('name')} AS nm FROM extracted_entities), ci AS (SELECT DISTINCT record_id, type_key, i.field_key AS f, lower(trim(i.value)) AS v FROM (SELECT record_id, type_key, unnest(identifiers) AS i FROM extracted_entities) WHERE trim(i.value) <> '')"
+
 ORACLE = {
     "evidence_units": f"WITH {_N}, {_E} SELECT evidence_id, note_id, unit_kind, unit_index, content_hash FROM ev",
     "notes_flat": f"WITH {_N} SELECT id AS note_id, x.title AS title, x.oname AS owner_name, x.oemail AS owner_email, x.cal AS calendar_event_id, epoch_us(x.u) AS updated_us, array_to_string(list_transform(x.f, lambda f: f.id), ',') AS folder_ids FROM n0",
@@ -341,6 +363,22 @@ SELECT record_id, n, CASE WHEN n = 1 THEN m END AS entity_id FROM h""",
 a0 AS (SELECT type_key, unnest(aliases) AS a, entity_id FROM entities WHERE status = 'active'), a AS (SELECT type_key, {_SQ.format('a')} AS name, min(entity_id) AS id FROM a0 GROUP BY 1, 2 HAVING count(DISTINCT entity_id) = 1),
 x AS (SELECT record_id, type_key, {_SQ.format('name')} AS name FROM extracted_entities)
 SELECT record_id, coalesce(n.id, a.id) AS entity_id, CASE WHEN n.id IS NOT NULL THEN 'exact_name' WHEN a.id IS NOT NULL THEN 'exact_alias' ELSE 'created' END AS match_source FROM x LEFT JOIN n USING (type_key, name) LEFT JOIN a USING (type_key, name)""",
+    "resolved": f"""WITH RECURSIVE {_STORE}, {_CAND},
+sn AS (SELECT type_key, {_SQ.format('canonical_name')} AS nm, count(*) AS n, min(entity_id) AS id FROM act GROUP BY 1, 2), sa AS (SELECT type_key, {_SQ.format('a')} AS nm, count(DISTINCT entity_id) AS n, min(entity_id) AS id FROM (SELECT type_key, entity_id, unnest(aliases) AS a FROM entities SEMI JOIN act USING (entity_id)) GROUP BY 1, 2),
+h AS (SELECT c.record_id, count(DISTINCT si.entity_id) AS n, min(si.entity_id) AS id FROM ci c JOIN si ON si.type_key = c.type_key AND si.f = c.f AND si.v = c.v GROUP BY 1),
+d AS (SELECT c.record_id, c.type_key, c.nm, CASE WHEN h.n > 1 THEN 'conflict' WHEN h.n = 1 THEN 'exact_identifier' WHEN sn.n = 1 THEN 'exact_name' WHEN sn.n IS NULL AND sa.n = 1 THEN 'exact_alias' END AS src,
+   CASE WHEN h.n > 1 THEN NULL WHEN h.n = 1 THEN h.id WHEN sn.n = 1 THEN sn.id WHEN sn.n IS NULL AND sa.n = 1 THEN sa.id END AS eid, coalesce(sn.n, sa.n, 0) > 1 AS amb
+   FROM c LEFT JOIN h USING (record_id) LEFT JOIN sn ON sn.type_key = c.type_key AND sn.nm = c.nm LEFT JOIN sa ON sa.type_key = c.type_key AND sa.nm = c.nm),
+k AS (SELECT record_id AS no, type_key, f || '=' || v AS key, true AS is_id FROM ci UNION ALL SELECT record_id, type_key, nm, false FROM c),
+p AS (SELECT a.no, arg_min(b.no, (NOT a.is_id, b.no)) AS up, bool_or(a.is_id) AS by_id FROM k a JOIN d ON d.record_id = a.no AND d.src IS NULL AND (a.is_id OR NOT d.amb) JOIN k b ON b.type_key = a.type_key AND b.key = a.key AND b.is_id = a.is_id AND b.no < a.no JOIN d e ON e.record_id = b.no AND coalesce(e.src, '') <> 'conflict' GROUP BY 1),
+r AS (SELECT no, up AS root, by_id FROM p UNION ALL SELECT r.no, p.up, r.by_id FROM r JOIN p ON p.no = r.root)
+SELECT record_id, eid AS entity_id, src AS match_source FROM d WHERE src IS NOT NULL
+UNION ALL SELECT r.no, d.eid, CASE WHEN r.by_id THEN 'exact_identifier' ELSE 'exact_alias' END FROM r JOIN d ON d.record_id = r.root WHERE d.src IS NOT NULL""",
+    "resolved_new": f"""WITH RECURSIVE {_CAND},
+k AS (SELECT record_id AS no, type_key, f || '=' || v AS key, true AS is_id FROM ci UNION ALL SELECT record_id, type_key, nm, false FROM c),
+p AS (SELECT a.no, arg_min(b.no, (NOT a.is_id, b.no)) AS up FROM k a JOIN k b ON b.type_key = a.type_key AND b.key = a.key AND b.is_id = a.is_id AND b.no < a.no GROUP BY 1),
+r AS (SELECT no, up AS root FROM p UNION ALL SELECT r.no, p.up FROM r JOIN p ON p.no = r.root)
+SELECT record_id, coalesce((SELECT min(root) FROM r WHERE r.no = c.record_id), record_id) AS first_id FROM c""",
     "alias_lists": "WITH a AS (SELECT DISTINCT entity_id, unnest(aliases) AS alias FROM entities) SELECT entity_id, string_agg(alias, ' ' ORDER BY alias) AS aliases FROM a GROUP BY 1",
     "aliases_inserted": f"WITH e0 AS (SELECT type_key, unnest(aliases) AS a FROM entities), e AS (SELECT DISTINCT type_key, {_SQ.format('a')} AS alias FROM e0), x AS (SELECT DISTINCT type_key, {_SQ.format('name')} AS alias FROM extracted_entities) SELECT type_key, alias, 'entities' AS origin FROM e UNION ALL SELECT type_key, alias, 'extracted' FROM x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.type_key = x.type_key AND e.alias = x.alias)",
     "duplicate_keys": "WITH k AS (SELECT type_key || '_' || local_id AS key FROM extracted_entities) SELECT DISTINCT key, 'form' AS problem FROM k WHERE NOT regexp_matches(key, '^[a-z][a-z0-9_]*$') UNION SELECT key, 'repeated' FROM k GROUP BY 1 HAVING count(*) > 1",

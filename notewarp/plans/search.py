@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from notewarp.functions.scalar import clamp
 from notewarp.functions.text import overlap, overlap_words, query_phrases, snippet, tokens
 from notewarp.operators.materialize import current_notes
-from notewarp.operators.search import DEFAULT_LIMIT, MAX_LIMIT, bm25, empty_results, fuse, top
-from notewarp.session import table
+from notewarp.operators.search import DEFAULT_LIMIT, MAX_LIMIT, TextIndex, bm25, empty_results, fuse, top
+from notewarp.session import scratch, table
 
 
-def note_stream(notes: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
-    """Notes (note_id, title, summary) by title and summary."""
-    best = top(bm25(notes, "note_id", ["title", "summary"], phrases), "note_id", limit)
+def note_stream(notes: DataFrame, phrases: list[list[str]], limit: int, ranked: DataFrame | None = None) -> DataFrame:
+    """Notes (note_id, title, summary) by title and summary; `ranked` (note_id, bm25) comes from an index, else the notes are scanned."""
+    best = top(ranked if ranked is not None else bm25(notes, "note_id", ["title", "summary"], phrases), "note_id", limit)
     rows = best.join(notes, "note_id")
     title = F.coalesce("title", F.lit("Untitled meeting"))
     shown = F.coalesce(snippet(phrases)(F.col("summary")), title)
     return rows.select(F.lit("note").alias("kind"), F.col("note_id").alias("object_id"), title.alias("title"), shown.alias("snippet"), "bm25", F.concat_ws(":", F.lit("note"), "note_id").alias("group_key"), F.lit(None).cast("string").alias("type_key"), "note_id")
 
 
-def evidence_stream(evidence: DataFrame, phrases: list[list[str]], limit: int) -> DataFrame:
+def evidence_stream(evidence: DataFrame, phrases: list[list[str]], limit: int, ranked: DataFrame | None = None) -> DataFrame:
     """Evidence (evidence_id, note_id, note_title, content) by its content only."""
-    best = top(bm25(evidence, "evidence_id", ["content"], phrases), "evidence_id", limit)
+    best = top(ranked if ranked is not None else bm25(evidence, "evidence_id", ["content"], phrases), "evidence_id", limit)
     rows = best.join(evidence, "evidence_id")
     title = F.coalesce(F.nullif(F.col("note_title"), F.lit("")), F.lit("Untitled meeting"))
     return rows.select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("object_id"), title.alias("title"), snippet(phrases)(F.col("content")).alias("snippet"), "bm25", F.concat_ws(":", F.lit("evidence"), "note_id").alias("group_key"), F.lit(None).cast("string").alias("type_key"), "note_id")
 
 
-def entity_stream(entities: DataFrame, phrases: list[list[str]], limit: int, type_keys: tuple[str, ...] = ()) -> DataFrame:
+def entity_stream(entities: DataFrame, phrases: list[list[str]], limit: int, type_keys: tuple[str, ...] = (), ranked: DataFrame | None = None) -> DataFrame:
     """Entities (entity_id, type_key, canonical_name, aliases) by all their names; statistics are over all, the filter comes after."""
-    found = bm25(entities, "entity_id", ["canonical_name", "aliases"], phrases).join(entities.select("entity_id", "type_key", "canonical_name"), "entity_id")
+    hits = ranked if ranked is not None else bm25(entities, "entity_id", ["canonical_name", "aliases"], phrases)
+    found = hits.join(entities.select("entity_id", "type_key", "canonical_name"), "entity_id")
     if type_keys:
         found = found.filter(F.col("type_key").isin(*type_keys))
     rows = found.orderBy("bm25", "entity_id").limit(limit)
@@ -39,13 +40,14 @@ def entity_stream(entities: DataFrame, phrases: list[list[str]], limit: int, typ
     return rows.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("object_id"), F.col("canonical_name").alias("title"), F.col("canonical_name").alias("snippet"), "bm25", key.alias("group_key"), "type_key", F.lit(None).cast("string").alias("note_id"))
 
 
-def search(notes: DataFrame, evidence: DataFrame, entities: DataFrame, query: str, *, type_keys: tuple[str, ...] = (), limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Unified search: three ranked streams, fused. An empty query reads nothing."""
+def search(notes: DataFrame, evidence: DataFrame, entities: DataFrame, query: str, *, type_keys: tuple[str, ...] = (), limit: int = DEFAULT_LIMIT, ranked: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Unified search: three ranked streams, fused. An empty query reads nothing. `ranked`: kind -> (id, bm25) from stored indexes."""
     phrases = query_phrases(query)
     if phrases is None:
         return empty_results(notes.sparkSession)
     n = clamp(limit, 1, MAX_LIMIT)
-    fused = fuse([entity_stream(entities, phrases, n, type_keys), note_stream(notes, phrases, n), evidence_stream(evidence, phrases, n)], query, limit=n)
+    r = ranked or {}
+    fused = fuse([entity_stream(entities, phrases, n, type_keys, r.get("entity")), note_stream(notes, phrases, n, r.get("note")), evidence_stream(evidence, phrases, n, r.get("evidence"))], query, limit=n)
     return fused.select("kind", "object_id", "title", "snippet", "score", "group_key", "type_key", "note_id")
 
 
@@ -87,6 +89,24 @@ def search_snippets(spark: SparkSession, root: str) -> DataFrame:
     return note_stream(corpora(spark, root)[0], query_phrases("risk register"), 20).select("object_id", "title", "snippet")
 
 
+def search_accents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with a word that has an accent in the text and none in the query."""
+    docs = table(spark, root, "documents").select("doc_id", "text", "title")
+    return bm25(docs, "doc_id", ["title", "text"], query_phrases("réunion")).select("doc_id", F.round("bm25", 9).alias("bm25"))
+
+
+def search_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """Notes with two phrases, by a stored index: built from the first rows of the notes, updated by the current rows, blank ones removed."""
+    rows = table(spark, root, "notes").filter("id is not null")
+    first = rows.groupBy(F.col("id").alias("note_id")).agg(F.min_by(F.struct("title", F.col("summary_text").alias("summary")), F.struct("updated_at", "detail_no")).alias("n")).select("note_id", "n.*")
+    now = corpora(spark, root)[0]
+    index = TextIndex(spark, scratch(spark))
+    index.build(first, "note_id", ["title", "summary"], buckets=16)
+    blank = F.trim(F.coalesce("summary", F.lit(""))) == ""
+    index.update(now.filter(~blank).join(first, ["note_id", "title", "summary"], "left_anti"), "note_id", gone=now.filter(blank).select("note_id"))
+    return index.search("risk register", limit=None).select(F.col("doc").alias("note_id"), F.round("bm25", 9).alias("bm25"))
+
+
 def term_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Documents and occurrences of the words in at least a tenth of all documents."""
     docs = table(spark, root, "documents").filter("text is not null").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
@@ -108,13 +128,15 @@ QUERIES = {
     "search_unified": search_unified,
     "search_entities": search_entities,
     "search_snippets": search_snippets,
+    "search_accents": search_accents,
+    "search_indexed": search_indexed,
     "term_statistics": term_statistics,
     "overlap_words": overlap_pairs,
 }
 
 
 def _tok(expr: str) -> str:
-    return f"coalesce(regexp_extract_all(lower({expr}), '[\\p{{L}}\\p{{N}}]+'), [])"
+    return f"coalesce(regexp_extract_all(strip_accents(lower({expr})), '[\\p{{L}}\\p{{N}}]+'), [])"
 
 
 def _count(words: str, phrase: list[str]) -> str:
@@ -166,6 +188,8 @@ ORACLE = {
     "bm25_phrase": f"WITH {_NOTES}, {_bm25_sql('nn', 'note_id', ['title', 'summary'], [['hand', 'over'], ['checklist']], ['summary'])} SELECT note_id, round(bm25, 9) AS bm25 FROM r",
     "search_unified": _UNIFIED,
     "search_entities": f"WITH {_EN}, {_bm25_sql('en', 'entity_id', ['canonical_name', 'aliases'], [['alexander']])} SELECT entity_id AS object_id, canonical_name AS title, round(bm25, 9) AS bm25, 'entity:' || type_key || ':' || trim(regexp_replace(lower(canonical_name), '\\s+', ' ', 'g')) AS group_key FROM r JOIN en USING (entity_id) WHERE type_key = 'person' ORDER BY r.bm25, entity_id LIMIT 100",
+    "search_accents": f"WITH {_bm25_sql('documents', 'doc_id', ['title', 'text'], [['reunion']])} SELECT doc_id, round(bm25, 9) AS bm25 FROM r",
+    "search_indexed": f"WITH {_NOTES}, live AS (SELECT * FROM nn WHERE trim(coalesce(summary, '')) <> ''), {_bm25_sql('live', 'note_id', ['title', 'summary'], [['risk'], ['register']])} SELECT note_id, round(bm25, 9) AS bm25 FROM r",
     "term_statistics": f"WITH w AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2) SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences FROM p GROUP BY 1 HAVING count(*) * 10 >= (SELECT count(*) FROM documents WHERE text IS NOT NULL)",
     "overlap_words": """WITH w AS (SELECT citation_no, list_distinct(list_filter(regexp_extract_all(lower(excerpt), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 3)) AS a, list_distinct(list_filter(regexp_extract_all(lower(coalesce(note_title, '')), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 3)) AS b FROM citations)
 SELECT citation_no, CAST(len(list_intersect(a, b)) AS BIGINT) AS shared FROM w""",

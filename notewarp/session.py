@@ -82,6 +82,13 @@ def drop(*frames: DataFrame) -> None:
             _delete(frame.sparkSession, path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder, deleted with the tables of `cut`."""
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that `cut` has written in this process; results not yet read are lost."""
     while _written:

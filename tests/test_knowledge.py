@@ -170,3 +170,49 @@ def test_runs_do_not_depend_on_buckets(spark, step):
         n += i == 0 or values[i - 1] != v
         want[i] = n
     assert got == want
+
+
+def test_resolution_against_the_store(spark):
+    known = {
+        "entities": spark.createDataFrame(
+            [("E1", "person", "Alex Choi", "active", None), ("E2", "person", "Sam Lee", "active", None), ("E3", "person", "Sam Lee", "active", None), ("E4", "person", "Old Name", "merged", None), ("D1", "decision", "Launch", "active", "n1")],
+            "entity_id string, type_key string, canonical_name string, status string, scope_note_id string",
+        ),
+        "entity_aliases": spark.createDataFrame([("E1", "A. Choi"), ("E2", "Sammy"), ("E3", "Sammy")], "entity_id string, alias string"),
+        "entity_identifiers": spark.createDataFrame([("E1", "email", "alex@x"), ("E2", "email", "sam@x"), ("E4", "email", "old@x")], "entity_id string, field_key string, normalized_value string"),
+    }
+    rows = [
+        (1, "person", "Somebody", "n", None, [("email", "ALEX@x ")]),
+        (2, "person", "alex  choi", "n", None, []),
+        (3, "person", "A. Choi", "n", None, [("email", "new@x")]),
+        (4, "person", "Other", "n", None, [("email", "new@x")]),
+        (5, "person", "Sam Lee", "n", None, []),
+        (6, "person", "sammy", "n", None, None),
+        (7, "person", "Old Name", "n", None, [("email", "old@x")]),
+        (8, "person", "X", "n", None, [("email", "alex@x"), ("email", "sam@x")]),
+        (9, "decision", "Launch", "n1", "n1", []),
+        (10, "decision", "Launch", "n2", "n2", []),
+        (11, "person", "Somebody", "n", None, []),
+    ]
+    got = {r.candidate_no: (r.entity_id, r.match_source) for r in resolve(spark.createDataFrame(rows, CAND), known).collect()}
+    assert got[1] == ("E1", "exact_identifier") and got[2] == ("E1", "exact_name") and got[3] == ("E1", "exact_alias") and got[4] == ("E1", "exact_identifier")
+    assert got[5][1] == got[6][1] == got[7][1] == "created" and len({got[i][0] for i in (5, 6, 7)}) == 3 and got[7][0] != "E4"
+    assert got[8] == (None, "conflict") and got[9] == ("D1", "exact_name") and got[10][1] == "created"
+    assert got[11] == ("E1", "exact_alias")  # the name the first candidate brought
+
+
+def test_a_shared_key_is_no_ones_task(spark):
+    """One mailbox on a third of all candidates: they are one entity, and no step groups them."""
+    rows = [(i, "person", f"P{i}", None, None, [("email", "info@x")] if i % 3 == 0 else [("email", f"{i}@x")]) for i in range(1, 600)]
+    result = resolve(spark.createDataFrame(rows, CAND))
+    got = {r.candidate_no: r.entity_id for r in result.collect()}
+    assert len({got[i] for i in range(3, 600, 3)}) == 1 and len(set(got.values())) == 401
+    assert "FlatMapGroups" not in result._jdf.queryExecution().toString()
+
+
+def test_scopes_are_checked(spark):
+    from notewarp.operators.resolve import scope_errors
+
+    types = spark.createDataFrame([("person", "global"), ("decision", "note")], "type_key string, identity_scope string")
+    c = spark.createDataFrame([(1, "person", None), (2, "person", "n"), (3, "decision", " "), (4, "decision", None), (5, "x", None)], "candidate_no long, type_key string, scope_note_id string")
+    assert {r.candidate_no: r.error for r in scope_errors(c, types).collect()} == {2: "scope not allowed", 4: "scope missing", 5: "unknown type"}

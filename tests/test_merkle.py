@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 
 from notewarp.operators.due_notes import due_notes
-from notewarp.operators.merkle import MerkleStore, changed
+from notewarp.operators.merkle import MerkleStore, depth_for
+from notewarp.operators.snapshot import Snapshot, discover_steps
 
 REC = "key string, digest string"
 
@@ -29,23 +30,63 @@ def test_store_processes_only_changes_and_survives_failures(spark, tmp_path):
     assert store.version() == 1
     expected = [("k0", "removed"), ("k150", "changed"), ("k7", "changed"), ("new", "added")]
     assert seen[-1] == expected
-    # output staged but not published: still the first version in force
-    two.write.mode("overwrite").parquet(f"{store.path}/v2/output")
-    assert store.version() == 1
     store.run(two, lambda p: seen.append(keys(p)) or p)
-    assert seen[-1] == expected and store.version() == 2
+    assert seen[-1] == expected and store.version() == 2 and keys(store.output()) == expected
     store.run(two, lambda p: seen.append(keys(p)) or p)
-    assert seen[-1] == []
+    assert seen[-1] == [] and store.saved().count() == 200
     with pytest.raises(RuntimeError):
         store.publish(two, two, expected=1)
 
 
-@pytest.mark.parametrize("depth", [1, 2, 4])
-def test_changed_at_any_depth(spark, depth):
-    rows = [(f"k{i}", str(i % 3), str(i % 3) if i % 10 else "other") for i in range(100)] + [("n", None, None), ("a", "1", None), ("b", None, "1")]
-    df = spark.createDataFrame(rows, "key string, now string, old string")
-    found = {r.key for r in changed(df, key="key", current="now", saved="old", depth=depth).collect()}
-    assert found == {f"k{i}" for i in range(0, 100, 10)} | {"a", "b"}
+def test_only_differing_leaves_are_read_and_written(spark, tmp_path):
+    store = MerkleStore(spark, f"file://{tmp_path}/state")
+    rows = spark.range(40_000).selectExpr("cast(id as string) as key", "'1' as digest")
+    store.run(rows, lambda p: p.limit(0))
+    before = set(store.saved().inputFiles())
+    changed = rows.selectExpr("key", "if(key in ('17', '39999'), '2', '1') as digest")
+    c = store.compare(changed)
+    assert c.depth == depth_for(40_000) == 3 and c.n_leaves == 2 and len(c.folders) <= 2
+    read = store.saved(c.folders)
+    assert set(read.inputFiles()) < before and len(read.inputFiles()) <= 2
+    assert read.join(c.leaves, "leaf", "left_semi").count() < 100
+    assert keys(store.pending(c)) == [("17", "changed"), ("39999", "changed")]
+    store.publish(c, store.pending(c))
+    kept = before & set(store.saved().inputFiles())
+    assert len(kept) >= len(before) - 2 and store.saved().count() == 40_000
+    # far more records: the tree gets another depth, and the next comparison still sees the changes only
+    more = spark.range(300_000).selectExpr("cast(id as string) as key", "'1' as digest")
+    store.run(more, lambda p: p.limit(0))
+    assert store.compare(more).depth == 4 and store.pending(more).isEmpty()
+    assert keys(store.pending(more.filter("key <> '5'"))) == [("5", "removed")]
+    assert store.pending(more.limit(0)).count() == 300_000
+
+
+def test_a_losing_writer_changes_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    a, b = MerkleStore(spark, path), MerkleStore(spark, path)
+    one, two = spark.createDataFrame([("k", "a")], REC), spark.createDataFrame([("k", "b")], REC)
+    stale = b.compare(two)
+    a.run(one, lambda p: p)
+    with pytest.raises(RuntimeError):
+        b.publish(stale, b.pending(stale))
+    assert [r.digest for r in a.output().collect()] == ["a"] and a.version() == 1 and [r.digest for r in a.saved().collect()] == ["a"]
+    # the same for tables
+    left, right = Snapshot(spark, f"{path}/t"), Snapshot(spark, f"{path}/t")
+    base = left.manifest()["version"]
+    left.commit({"x": one})
+    with pytest.raises(RuntimeError):
+        right.commit({"x": two}, expected=base)
+    right._manifests.read = lambda: {}
+    with pytest.raises(RuntimeError):
+        right.commit({"x": two})
+    assert [r.digest for r in left.table("x").collect()] == ["a"]
+
+
+def test_schema_steps_are_found_in_order():
+    assert discover_steps({"002_b": 2, "001_a": 1}) == [1, 2]
+    for bad in ({"1_a": 1}, {"001_a": 1, "003_b": 1}, {"001_a": 1, "001_b": 1}):
+        with pytest.raises(ValueError):
+            discover_steps(bad)
 
 
 def test_due_notes(spark):

@@ -37,7 +37,7 @@ def test_bm25_equals_sqlite(spark, query, only):
     db, q = fts(query, only)
     want = {i: s for i, s in db.execute("select rowid, bm25(t) from t where t match ?", (q,))}
     docs = spark.createDataFrame(DOCS, SCHEMA)
-    got = {r.id: r.bm25 for r in bm25(docs, "id", ["title", "body"], query_phrases(query), only=[only] if only else None, exact=True).collect()}
+    got = {r.id: r.bm25 for r in bm25(docs, "id", ["title", "body"], query_phrases(query), only=[only] if only else None).collect()}
     assert got == pytest.approx(want, rel=1e-9)
 
 
