@@ -5,9 +5,9 @@ can't give that within their repetitions are clamped at their maximum, and what
 shares, until nobody is asked for more than it has. Of a source asked for e epochs every document comes floor(e) times, and once more
 those whose seeded hash lies below the value up to which the source's documents have the remaining tokens.
 
-T is a parameter. `full=True`, as in the registered queries, asks for all tokens that the sources with a place have: scarce sources are
-clamped and the report shows the shares that are reached. By default T is the greatest size at which no source with documents has to be
-clamped, so that shares are exact. Absent sources' shares are spread over the others.
+T is a parameter. By default it is all tokens that the sources with a place have: scarce sources are clamped and the report shows the
+shares that are reached. With `full=False` T is the greatest size at which no source with documents has to be clamped, so that shares are
+exact and the scarcest source sets the size. Absent sources' shares are spread over the others.
 
 Defined results: sources compare without case, and with white space, `-` and `_` alike; documents of other or null sources, with null ids
 or without text take no part; null, negative or repeated weights: null and negative count as 0, repeated rows of a source are added;
@@ -80,7 +80,7 @@ def all_tokens_total(sources: list[Share]) -> float:
     return float(sum(s.tokens for s in sources if s.target > 0 and s.most > 0))
 
 
-def mixture(documents: DataFrame, weights: DataFrame, *, total_tokens: float | None = None, full: bool = False, seed: int = 17, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, weights: DataFrame, *, total_tokens: float | None = None, full: bool = True, seed: int = 17, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, repeats, n_tokens) of the mixture, and (source, target_share, max_repeats, available_tokens, tokens, actual_share, epochs)."""
     spark = documents.sparkSession
     table = weights.filter("source is not null").groupBy(source_key(F.col("source")).alias("source"))

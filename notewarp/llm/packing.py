@@ -106,3 +106,18 @@ def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     each = packed.groupBy("item_kind", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
     total = each.groupBy("item_kind").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
     return total.join(sizes, "item_kind").select("item_kind", "containers", "items", "tokens", (F.col("tokens") / (F.col("containers") * F.col("max_tokens"))).alias("fill"))
+
+
+def use_report(packed: DataFrame, limits: DataFrame, *, max_segments: int = MAX_SEGMENTS, loss_share: float = LOSS_SHARE, near: float = 0.98) -> DataFrame:
+    """Per kind of container and dimension: mean use, greatest use, and containers that are full in it (from `near` of its limit on)."""
+    sizes = limits.groupBy("item_kind").agg(F.max("max_size").alias("m"))
+    each = packed.groupBy("item_kind", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l")).join(F.broadcast(sizes), "item_kind")
+    # what sizes holds is a parameter table of a few rows
+    share = {"tokens": F.col("t") / F.col("m"), "segments": F.col("s") / F.lit(max_segments), "loss": F.col("l") / F.greatest(F.lit(1), F.floor(F.col("m") * loss_share))}
+    used = each.select("item_kind", *[v.alias(k) for k, v in share.items()])
+    return used.groupBy("item_kind").agg(
+        F.count("*").alias("containers"),
+        *[F.avg(k).alias(f"{k}_use") for k in share],
+        *[F.max(k).alias(f"most_{k}") for k in share],
+        *[F.count_if(F.col(k) >= near).alias(f"at_{k}") for k in share],
+    )

@@ -22,6 +22,11 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.pieces(*_items(spark, root))
 
 
+def p2_check(spark: SparkSession, root: str) -> DataFrame:
+    """Per item that was cut: characters and checksum of its cores, pieces over the limit, and overlaps of another length."""
+    return split.split_check(*_items(spark, root))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """(note_id, first_segment_id, last_segment_id) of every speaker turn."""
     return turns.speaker_turns(table(spark, root, "transcript_segments")).select("note_id", "first_segment_id", "last_segment_id")
@@ -66,14 +71,28 @@ def p7_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, root), table(spark, root, "size_limits"))
 
 
+#: Limits of `p7_bound`: on these texts some containers are full in each of the three dimensions first.
+BOUND_SEGMENTS, BOUND_LOSS = 12, 0.9
+
+
+def p7_bound(spark: SparkSession, root: str) -> DataFrame:
+    """Where every document goes if segments and loss-bearing tokens are limited so that all three limits bind."""
+    return packing.containers(table(spark, root, "documents"), table(spark, root, "size_limits"), max_segments=BOUND_SEGMENTS, loss_share=BOUND_LOSS)
+
+
+def p7_use(spark: SparkSession, root: str) -> DataFrame:
+    """Use of each dimension by the containers of `p7_bound`."""
+    return packing.use_report(p7_bound(spark, root), table(spark, root, "size_limits"), max_segments=BOUND_SEGMENTS, loss_share=BOUND_LOSS)
+
+
 def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
     """Documents of a mixture of all tokens the weighted sources have, and how often each is used."""
-    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"), full=True)[0]
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"))[0]
 
 
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     """Target and actual share of every source."""
-    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"), full=True)[1]
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "source_weights"))[1]
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -81,13 +100,16 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.spam_pages(table(spark, root, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_turns": p3_turns}
-ORACLE: dict[str, str] = {
-    "p2_found": r"""
-WITH n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),
+QUERIES = {"p4_found": p4_found, "p4_entities": p4_entities, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_bound": p7_bound, "p7_use": p7_use, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_check": p2_check, "p3_found": p3_found, "p3_turns": p3_turns}
+_ITEMS = r"""n AS (SELECT id, arg_max(coalesce(summary_text, ''), (updated_at, detail_no)) AS t FROM notes GROUP BY 1),
 d AS (SELECT note_id, start_time, regexp_replace(lower(text), '\s+', '', 'g') AS k, arg_min(text, segment_id) AS t, min(segment_id) AS s FROM transcript_segments GROUP BY 1, 2, 3),
 x AS (SELECT 'summary' AS item_kind, id AS note_id, t FROM n
-      UNION ALL SELECT 'transcript', note_id, string_agg(t, chr(10) ORDER BY start_time, s) FROM d GROUP BY note_id)
+      UNION ALL SELECT 'transcript', note_id, string_agg(t, chr(10) ORDER BY start_time, s) FROM d GROUP BY note_id)"""
+ORACLE: dict[str, str] = {
+    "p2_found": rf"""WITH {_ITEMS}
 SELECT note_id, item_kind, CASE WHEN list_max(list_transform(regexp_split_to_array(t, '\s+'), lambda w: length(w))) > max_size THEN 'inside_word' ELSE 'natural' END AS cut_kind
+FROM x JOIN size_limits USING (item_kind) WHERE length(t) > max_size""",
+    "p2_check": f"""WITH {_ITEMS}
+SELECT note_id, item_kind, length(t) AS n_chars, CAST(list_sum(list_transform(range(1, length(t) + 1), lambda i: CAST(unicode(t[i]) AS BIGINT) * ((i - 1) % 9973 + 1))) AS BIGINT) AS checksum, CAST(0 AS BIGINT) AS n_too_long, CAST(0 AS BIGINT) AS n_bad_overlap
 FROM x JOIN size_limits USING (item_kind) WHERE length(t) > max_size""",
 }

@@ -1,19 +1,21 @@
 """Keyword-stuffed pages, link lists and tag dumps.
 
-1. Word rates and page shares per language are counted over all pages; what is kept is the words above a minimum rate, so the
-   table has at most 1 / COMMON_RATE words a language and can be sent to every task.
+1. Word rates per language are counted over all pages; what is kept is the words above a minimum rate, so the table has at most
+   1 / COMMON_RATE words a language and can be sent to every task.
 2. A page's words give its rank-frequency curve. Words of one frequency share a stretch of ranks, so a page is sent on as its few
    distinct frequencies; SQL windows turn them into ranks and aggregates fit log frequency against log rank: slope and residual.
-   A page's divergence is the mean surprise of its words under the language's rates.
+   A page's divergence is the mean surprise of its words under the rates of its language's prose. A page without any function word has
+   the language under whose rates its words surprise least.
 3. Slope, residual and divergence are compared with the median and spread of the pages of the same language and comparable length that
-   count as prose; a length with few of them is pooled with its neighbours. Extremes are suspects, and so are pages that don't count as
-   prose and those of a language that has no prose to be compared with.
-4. Exact check of the suspects: the characters in links, and in stretches without the words that sentences are made of (common words
-   of the language that aren't this page's own overused keywords), must be more than half of the page.
-
-Defined results: null, empty and very short texts (under MIN_TOKENS words and links) are not reported; null ids are ignored; repeated
-rows of an id count once (smallest text hash); null, wrong or odd `lang` values don't matter, the language is read from the words; very
-long texts are read whole; empty tables give empty results.
+   count as prose; a length with few of them is pooled with its neighbours. Extremes, and nothing else, are suspects (and all pages of a
+   language that has no prose to be compared with).
+4. Exact check of the suspects alone: the characters in links, and in stretches without the words that sentences are made of (common
+   words of the language that aren't this page's own overused keywords), must be more than half of the page. In a page of fewer than
+   CURVE_WORDS words, which has no curve to speak of, a stretch must show a link, a tag or a repeated word to count.
+
+Defined results: null and empty texts are not reported; null ids are ignored; an id with several rows is reported once if any of its
+texts is; null, wrong or odd `lang` values don't matter, the language is read from the words; very long texts are read whole; empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -36,10 +38,11 @@ COMMON_RATE = 1e-4
 #: A page's word is its keyword if it makes up this share of the page, so many times the language's rate, at least so often.
 KEYWORD_SHARE, KEYWORD_TIMES, KEYWORD_LEAST = 0.012, 4.0, 3
 #: Spreads from the median at which a feature is extreme.
-EXTREME = 1.5
+EXTREME = 2.0
 #: Prose pages that medians and spreads are taken from, if the language has so many: a thinner length is pooled with its neighbours.
 POOLED = 30
-MIN_TOKENS = 8
+#: Words from which a page has a curve.
+CURVE_WORDS = 8
 
 # Words that also stand inside noun phrases and so don't prove a sentence.
 NOUN_WORDS = frozenset("the a an of and & le la les l un une de des du d et der die das den dem ein eine und el los las una del y e o u".split())
@@ -65,11 +68,19 @@ PROSE_SHARE, PROSE_DIFFERENT = 0.08, 5
 PROOF_TIMES, OWN_PROOF_TIMES = 8.0, 2.0
 
 
-def language(counts: Counter) -> str:
-    """Language whose function words make up most of the page; `?` without any."""
+def language(counts: Counter, rates: dict[str, dict[str, float]] | None = None) -> str:
+    """Language whose function words make up most of the page; without any, the one whose `rates` fit best, `?` where there are none."""
     hits = {lang: sum(counts[w] for w in words) for lang, words in _LANGUAGES.items()}
     best = max(hits, key=hits.get)
-    return best if hits[best] else "?"
+    if hits[best]:
+        return best
+    return min(sorted(rates), key=lambda lang: surprise(counts, rates[lang])) if rates else "?"
+
+
+def surprise(counts: Counter, rates: dict[str, float]) -> float:
+    """Mean of -log rate over a page's words; unknown words have a tenth of the least rate."""
+    log, floor = math.log, COMMON_RATE / 10
+    return -sum(n * log(rates.get(w, floor)) for w, n in counts.items()) / max(1, counts.total())
 
 
 def page_words(text: str) -> Counter:
@@ -131,7 +142,7 @@ def language_rates(pages: DataFrame) -> tuple[dict[str, dict[str, float]], set[s
     return rates, proof - NOUN_WORDS
 
 
-def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
+def unlike_prose(text: str, keywords: set[str], proof_words: set[str], *, short: bool = False) -> int:
     """Characters in links and in stretches that have none of the words sentences are made of; 0 once half of the page is sentences."""
     amiss, sound = 0, 0
     for stretch in _STRETCH.split(text):
@@ -140,7 +151,10 @@ def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
         bare = _LINK.sub(" ", stretch) if "/" in stretch or "www." in stretch or "WWW." in stretch else stretch
         words = _TOKEN.findall((_TAG.sub(" ", bare) if "#" in bare else bare).lower())
         proof = sum(1 for w in words if w in _SURE or (w in proof_words and w not in keywords))
-        if proof and proof >= 0.12 * len(words):
+        fine = proof and proof >= 0.12 * len(words)
+        if short and not fine:
+            fine = bare is stretch and "#" not in bare and len(set(words)) == len(words)
+        if fine:
             amiss += len(stretch) - len(bare)
             sound += len(bare)
             # what is left, separators included, can't be more than half
@@ -151,59 +165,51 @@ def unlike_prose(text: str, keywords: set[str], proof_words: set[str]) -> int:
     return amiss
 
 
-def page_features(text: str, rates: dict[str, dict[str, float]], proof_words: set[str]) -> tuple[int, str, bool, float, float, list[int], list[int]]:
-    """(words, language, whether prose, divergence, share unlike prose, distinct frequencies, words of each) of one page."""
+def overused(counts: Counter, rates: dict[str, float]) -> set[str]:
+    """A page's keywords: words far above their language's rate."""
+    total, floor = counts.total(), COMMON_RATE / 10
+    least = max(KEYWORD_LEAST, KEYWORD_SHARE * total)
+    return {w for w, n in counts.items() if n >= least and n >= KEYWORD_TIMES * total * rates.get(w, floor)}
+
+
+def page_features(text: str, rates: dict[str, dict[str, float]]) -> tuple[int, str, bool, float, list[int], list[int]]:
+    """(words, language, whether prose, divergence, distinct frequencies, words of each) of one page."""
     counts = page_words(text)
-    total = sum(counts.values())
-    lang = language(counts)
-    own = rates.get(lang, {})
-    floor = COMMON_RATE / 10
-    surprise, keywords = 0.0, set()
-    most = KEYWORD_SHARE * total
-    for w, n in counts.items():
-        p = own.get(w, floor)
-        surprise -= n * math.log(p)
-        if n >= KEYWORD_LEAST and n >= most and n >= KEYWORD_TIMES * total * p:
-            keywords.add(w)
+    lang = language(counts, rates)
     by = sorted(Counter(counts.values()).items(), reverse=True)
-    share = unlike_prose(text, keywords, proof_words) / max(1, len(text))
-    return total, lang, is_prose(counts), surprise / max(1, total), share, [f for f, _ in by], [n for _, n in by]
+    return counts.total(), lang, is_prose(counts), surprise(counts, rates.get(lang, {})), [f for f, _ in by], [n for _, n in by]
 
 
-def _features(rates: dict[str, dict[str, float]], proof_words: set[str]):
+def _features(rates: dict[str, dict[str, float]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, *page_features(t, rates, proof_words)) for d, t in zip(pdf["doc_id"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "lang", "prose", "divergence", "share", "freqs", "sizes"])
+            rows = [(d, h, *page_features(t, rates)) for d, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"])]
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_words", "lang", "prose", "divergence", "freqs", "sizes"])
 
     return run
 
 
-def page_curves(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, lang, prose, divergence, share, slope, residual) of every page with a text."""
-    pages = documents.filter("doc_id is not null and text is not null and length(text) > 0").select("doc_id", "text")
-    rates, proof_words = language_rates(pages)
-    made = cut(pages.mapInPandas(_features(rates, proof_words), "doc_id long, n_words int, lang string, prose boolean, divergence double, share double, freqs array<int>, sizes array<int>"))
-    once = made.withColumn("pick", F.struct("n_words", "share", "freqs"))
-    points = once.select("doc_id", "n_words", "lang", "prose", "divergence", "share", F.explode(F.arrays_zip("freqs", "sizes")).alias("p")).select("doc_id", "n_words", "lang", "prose", "divergence", "share", F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"))
-    through = W.partitionBy("doc_id").orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, W.currentRow)
+def with_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) of every row with an id and a text."""
+    return documents.filter("doc_id is not null and text is not null and length(text) > 0").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+def page_curves(pages: DataFrame, rates: dict[str, dict[str, float]]) -> DataFrame:
+    """(doc_id, text_hash, n_words, lang, prose, divergence, slope, residual) of every page."""
+    page = ["doc_id", "text_hash"]
+    about = ["n_words", "lang", "prose", "divergence"]
+    made = cut(pages.mapInPandas(_features(rates), "doc_id long, text_hash long, n_words int, lang string, prose boolean, divergence double, freqs array<int>, sizes array<int>"))
+    points = made.dropDuplicates(page).select(*page, *about, F.explode_outer(F.arrays_zip("freqs", "sizes")).alias("p")).select(*page, *about, F.col("p.freqs").alias("f"), F.col("p.sizes").alias("n"))
+    through = W.partitionBy(*page).orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = points.withColumn("last_rank", F.sum("n").over(through)).select(
         "*", F.log(F.sqrt((F.col("last_rank") - F.col("n") + 1) * F.col("last_rank").cast("double"))).alias("x"), F.log(F.col("f").cast("double")).alias("y")
     )
-    fits = ranked.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.first("lang").alias("lang"),
-        F.first("prose").alias("prose"),
-        F.max("divergence").alias("divergence"),
-        F.max("share").alias("share"),
-        F.count("*").alias("points"),
-        F.regr_sxx("y", "x").alias("sxx"),
-        F.regr_sxy("y", "x").alias("sxy"),
-        F.regr_syy("y", "x").alias("syy"),
-    )
+    fits = ranked.groupBy(*page).agg(
+        *[F.max(c).alias(c) for c in about], F.count("*").alias("points"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy")
+    )
     slope = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).otherwise(0.0)
-    left = F.greatest(F.lit(0.0), F.col("syy") - F.when(F.col("sxx") > 0, F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(0.0))
-    return fits.select("doc_id", "n_words", "lang", "prose", "divergence", "share", slope.alias("slope"), F.sqrt(left / F.col("points")).alias("residual"))
+    left = F.greatest(F.lit(0.0), F.coalesce("syy", F.lit(0.0)) - F.when(F.col("sxx") > 0, F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(0.0))
+    return fits.select(*page, *about, slope.alias("slope"), F.sqrt(left / F.col("points")).alias("residual"))
 
 
 def pools(cells: dict[tuple[str, int], int]) -> list[tuple[str, int, int]]:
@@ -239,10 +245,27 @@ def suspects(curves: DataFrame) -> DataFrame:
     placed = curves.join(F.broadcast(spread), ["lang", "band"], "left")
     far = [F.abs(F.col(c) - F.col(f"{c}_mid")) > EXTREME * 1.4826 * (F.col(f"{c}_spread") + 1e-9) for c in names]
     # without prose of its language a page has nothing to be compared with
-    return placed.withColumn("extreme", F.coalesce(far[0] | far[1] | far[2], F.lit(True)) | ~F.col("prose"))
+    return placed.withColumn("extreme", F.coalesce(far[0] | far[1] | far[2], F.lit(True)))
+
+
+def _check(rates: dict[str, dict[str, float]], proof_words: set[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
+                counts = page_words(text)
+                amiss = unlike_prose(text, overused(counts, rates.get(lang, {})), proof_words, short=counts.total() < CURVE_WORDS)
+                if 2 * amiss > len(text):
+                    found.append(doc)
+            yield pd.DataFrame({"doc_id": pd.Series(found, dtype="int64")})
+
+    return run
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
     """doc_id of pages of which more than half is keywords, links, tags or labels."""
-    found = suspects(cut(page_curves(documents)))
-    return found.filter(F.col("extreme") & (F.col("share") > 0.5) & (F.col("n_words") >= MIN_TOKENS)).select("doc_id")
+    pages = with_texts(documents)
+    rates, proof_words = language_rates(pages)
+    suspected = suspects(cut(page_curves(pages, rates))).filter("extreme").select("doc_id", "text_hash", "lang")
+    # only the suspects' texts are joined and read again
+    return pages.join(suspected, ["doc_id", "text_hash"]).mapInPandas(_check(rates, proof_words), "doc_id long").distinct()

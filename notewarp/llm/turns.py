@@ -5,10 +5,13 @@
    without speech are dropped.
 3. Per note the distinct spellings of labels and names become voices: spellings of one name are clustered, and a label and a
    name on one segment are joined. Only distinct spellings are grouped, never segments.
-4. Missing labels are inferred by a hidden Markov speaker model: states are the note's voices of that source, emissions are each
-   participant's language profile (language, fillers, sentence form, length), transitions are counted between labelled neighbours.
-   Labelled segments pin the chain, so every stretch between two pins is decoded by itself (Viterbi), in blocks of at most
-   BLOCK segments. A source whose only voices are one person, or none, leaves the model one state.
+4. Every segment without a label goes through a hidden Markov speaker model of its note. States are the voices it can be: whoever is named
+   on the microphone (persons, or labels where nobody is named), one further voice for each other source, and one for the microphone
+   where it has no voice. Emissions are the source (a voice that can't be on it has probability 0) and each participant's language
+   profile (language, fillers, sentence form, length); transitions are those counted between labelled neighbours, smoothed. Labelled
+   segments pin the chain, so every stretch between two pins is decoded by itself (Viterbi). A stretch of more than BLOCK segments is
+   cut into parts; each part gives the best score from every first to every last state, those are put together, and each part is then
+   decoded between the states that the best path has at its ends: the result is that of the whole stretch.
 5. Segments are put in order of (start_time, segment_id) and runs of one voice become turns.
 
 Defined results: null text is empty text; null note ids are ignored; a null start sorts last; ties in start_time go by segment_id;
@@ -17,24 +20,29 @@ empty tables give empty results; very long texts are read whole; extra columns a
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from notewarp.llm.names import distance, parts
-from notewarp.operators.ordered import numbered_runs, running_total, with_previous
+from notewarp.operators.ordered import numbered_runs
 from notewarp.session import cut
 
 #: Seconds of one window bucket.
 BUCKET_S = 600
+#: Ids that differ in these bits only share a bucket where there is no time.
+UNTIMED_BITS = 14
 #: Unlabelled segments decoded together.
 BLOCK = 2000
+#: Weight, in transitions, of what holds for the whole note in a voice's own transitions; added count of a trait; score of the impossible.
+SMOOTHING, TRAIT_COUNT, NEVER = 4.0, 0.5, -1e9
 
 # Fillers and words that give a language away.
 FILLERS = "mm-hmm mhm uh-huh uh um er erm hmm hm ah äh ähm öhm euh heu hum eh em ehm"
@@ -71,7 +79,7 @@ _WORD_LIST = re.compile(r"[^\W\d_]{2,}")
 _NO_SPEECH = frozenset(FILLERS.replace("-", " ").split()) | frozenset("music laughter laugh laughs laughing crosstalk noise applause silence pause inaudible unintelligible blank audio cough coughs coughing phone ringing sigh sighs sneeze sneezes".split())
 _NUMBER = re.compile(_LABEL.replace("[a-z0-9]{1,3}", "([a-z0-9]{1,3})") + r"\s*:?\s*|([a-z0-9]{1,3})\s*:?\s*", re.I)
 
-PARSED = "segment_id long, note_id string, source string, start_time timestamp, end_time timestamp, label string, name string, spoken string"
+PARSED = "segment_id long, note_id string, source string, start_time timestamp, end_time timestamp, label string, name string, spoken string, profile string"
 
 
 def label_key(label: str | None) -> str | None:
@@ -145,17 +153,10 @@ def has_speech(rest: str) -> bool:
     return bool(_SPEECH.search(_INSIDE_FILLER.sub(" ", left)))
 
 
-def profile_of(raw: str, clean: str) -> str:
+def profile_of(spoken: str) -> str:
     """Coarse traits of one utterance: language, fillers, first letter, end, length."""
-    return "|".join(
-        (
-            "l" + language_of(clean),
-            "f" + str(bool(_INSIDE_FILLER.search(raw)))[0],
-            "u" + str(clean[:1].isupper())[0],
-            "e" + (clean[-1:] if clean[-1:] in ".?!" else "-"),
-            "n" + str(min(4, len(clean) // 30)),
-        )
-    )
+    end = spoken.rstrip()[-1:]
+    return "|".join(("l" + language_of(spoken), "f" + str(bool(_INSIDE_FILLER.search(spoken)))[0], "u" + str(spoken[:1].isupper())[0], "e" + (end if end in ".?!" and end else "-"), "n" + str(min(4, len(spoken) // 30))))
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,8 +168,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             in_label, in_name, rest = read_prefix(raw, known_speaker=bool(label or name))
             if not has_speech(rest):
                 continue
-            out.append((row.segment_id, row.note_id, row.source, row.start_time, row.end_time, label_key(label or in_label), name or in_name, rest))
-        yield pd.DataFrame(out, columns=["segment_id", "note_id", "source", "start_time", "end_time", "label", "name", "spoken"])
+            out.append((row.segment_id, row.note_id, row.source, row.start_time, row.end_time, label_key(label or in_label), name or in_name, rest, profile_of(rest)))
+        yield pd.DataFrame(out, columns=["segment_id", "note_id", "source", "start_time", "end_time", "label", "name", "spoken", "profile"])
 
 
 @F.pandas_udf(T.StringType())
@@ -176,11 +177,6 @@ def _clean(spoken: pd.Series) -> pd.Series:
     return spoken.map(clean_text)
 
 
-@F.pandas_udf(T.StringType())
-def _profile(spoken: pd.Series) -> pd.Series:
-    return spoken.map(lambda t: profile_of(t, clean_text(t)))
-
-
 def distinct_segments(segments: DataFrame) -> DataFrame:
     """One row per segment of a note: repeated deliveries collapse to the smallest segment_id."""
     flat = segments.filter("note_id is not null and segment_id is not null").select(
@@ -199,6 +195,15 @@ def distinct_segments(segments: DataFrame) -> DataFrame:
     return rows.select("s.segment_id", "note_id", "s.source", "s.label", "s.name", "s.text", "start_time", "s.end_time")
 
 
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """`rows` with `at`, the start time that orders them (null last), and `bucket`, which ascends with (at, segment_id).
+
+    A bucket is BUCKET_S seconds; rows without a time, which a note may have many of, are bucketed by their ids.
+    """
+    untimed = F.expr(f"{2**61} + shiftright(segment_id, {UNTIMED_BITS})")
+    return rows.withColumn("bucket", F.coalesce(F.expr(f"unix_seconds(start_time) div {BUCKET_S}"), untimed)).withColumn("at", F.coalesce("start_time", F.lit("9999-12-31").cast("timestamp")))
+
+
 def parsed_segments(segments: DataFrame) -> DataFrame:
     """Distinct segments with speech: speaker spellings and the text after label and decoration."""
     return distinct_segments(segments).mapInPandas(_parse, PARSED)
@@ -307,39 +312,142 @@ def _voices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["note_id", "label", "name", "source", "voice"])
 
 
-def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Viterbi over one stretch of unlabelled segments. Columns: voices (array), model (json parts), before, after."""
-    pdf = pdf.sort_values(["start_time", "segment_id"], na_position="last")
-    first = pdf.iloc[0]
-    states = sorted(first["voices"])
-    counts = {v: dict(zip(m["trait"], m["n"])) if m is not None else {} for v, m in ((x["voice"], x) for x in first["model"])}
-    total = {v: max(1, sum(counts.get(v, {}).values()) // 5) for v in states}
-    stay = math.log(0.6), math.log(0.4 / max(1, len(states) - 1))
-
-    def emit(v: str, profile: str) -> float:
-        return sum(math.log((counts.get(v, {}).get(t, 0) + 0.5) / (total[v] + 2.0)) for t in profile.split("|"))
-
-    def move(a: str, b: str) -> float:
-        return stay[0] if a == b else stay[1]
-
-    score = {v: (move(first["before"], v) if first["before"] in states else 0.0) for v in states}
-    back: list[dict[str, str]] = []
-    profiles = list(pdf["profile"])
-    for i, profile in enumerate(profiles):
-        if i:
-            step = {v: max(states, key=lambda u, v=v: (score[u] + move(u, v), u)) for v in states}
-            score = {v: score[step[v]] + move(step[v], v) for v in states}
-            back.append(step)
-        score = {v: score[v] + emit(v, profile) for v in states}
-    after = first["after"]
-    v = max(states, key=lambda u: (score[u] + (move(u, after) if after in states else 0.0), u))
-    path = [v]
-    for step in reversed(back):
-        path.append(step[path[-1]])
-    return pd.DataFrame({"segment_id": pdf["segment_id"], "voice": path[::-1]})
-
-
-def voiced_segments(segments: DataFrame) -> DataFrame:
+class SpeakerModel:
+    """The hidden Markov model of one note: voices that a segment without a label can be, their traits and transitions."""
+
+    def __init__(self, states: list[str], traits: list, moves: list) -> None:
+        self.states, self.place = states, {v: i for i, v in enumerate(states)}
+        self.of_trait: dict[str, np.ndarray] = {}
+        own, everywhere = defaultdict(Counter), Counter()
+        self.on_mic = Counter()
+        for t in traits:
+            own[t["voice"]][t["trait"]] += t["n"]
+            everywhere[t["trait"]] += t["n"]
+        kinds = Counter(t[0] for t in everywhere)
+        for trait in everywhere:
+            # a voice that nothing is known of speaks like the whole note
+            n = [(own[v] or everywhere)[trait] for v in states]
+            of_kind = [sum(m for t, m in (own[v] or everywhere).items() if t[0] == trait[0]) for v in states]
+            self.of_trait[trait] = np.log((np.array(n) + TRAIT_COUNT) / (np.array(of_kind) + TRAIT_COUNT * (kinds[trait[0]] + 1)))
+        self.moves, self.leaving = Counter(), Counter()
+        stays = 0
+        for m in moves:
+            self.moves[m["a"], m["b"]] += m["n"]
+            self.leaving[m["a"]] += m["n"]
+            stays += m["n"] if m["a"] == m["b"] else 0
+        self.stay = (stays + 1.0) / (self.leaving.total() + 2.0)
+        self.between = np.array([self.after(v) for v in states])
+
+    def move(self, a: str, b: str) -> float:
+        usual = self.stay if a == b else (1 - self.stay) / max(1, len(self.states) - 1)
+        return np.log((self.moves[a, b] + SMOOTHING * usual) / (self.leaving[a] + SMOOTHING))
+
+    def after(self, a: str | None) -> np.ndarray:
+        """Scores of the states after voice `a`; nothing is known at the start of a note."""
+        return np.zeros(len(self.states)) if a is None else np.array([self.move(a, b) for b in self.states])
+
+    def before(self, b: str | None) -> np.ndarray:
+        return np.zeros(len(self.states)) if b is None else np.array([self.move(a, b) for a in self.states])
+
+    def emissions(self, sources: list[str | None], profiles: list[str]) -> np.ndarray:
+        out = np.zeros((len(profiles), len(self.states)))
+        for i, (source, profile) in enumerate(zip(sources, profiles)):
+            for trait in profile.split("|"):
+                if (known := self.of_trait.get(trait)) is not None:
+                    out[i] += known
+            # a further voice is on its own source only; whoever is named, or labelled, on the microphone is on the microphone only
+            out[i] += [0.0 if (v == f"-{source or '?'}" if v.startswith("-") else source == "microphone") else NEVER for v in self.states]
+        return out
+
+    def path(self, emitted: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[int]:
+        """Best states, given the scores before the first and after the last of them."""
+        score, back = first + emitted[0], []
+        for row in emitted[1:]:
+            step = score[:, None] + self.between
+            back.append(step.argmax(axis=0))
+            score = step.max(axis=0) + row
+        at = int((score + last).argmax())
+        states = [at]
+        for step in reversed(back):
+            at = int(step[at])
+            states.append(at)
+        return states[::-1]
+
+    def through(self, emitted: np.ndarray) -> np.ndarray:
+        """Best score of a part from each first to each last state."""
+        n = len(self.states)
+        score = np.where(np.eye(n, dtype=bool), emitted[0][:, None], NEVER * 1e3)
+        for row in emitted[1:]:
+            score = (score[:, :, None] + self.between[None]).max(axis=1) + row
+        return score
+
+    def ends(self, parts_: list[np.ndarray], before: str | None, after: str | None) -> list[tuple[int, int]]:
+        """(first, last) state of each part on the best path through all of them."""
+        score = (self.after(before)[:, None] + parts_[0]).max(axis=0)
+        trail = [(self.after(before)[:, None] + parts_[0]).argmax(axis=0)]
+        links = []
+        for part in parts_[1:]:
+            reach = score[:, None] + self.between
+            links.append(reach.argmax(axis=0))
+            total = reach.max(axis=0)[:, None] + part
+            trail.append(total.argmax(axis=0))
+            score = total.max(axis=0)
+        last = int((score + self.before(after)).argmax())
+        out = []
+        for k in range(len(parts_) - 1, -1, -1):
+            first = int(trail[k][last])
+            out.append((first, last))
+            last = int(links[k - 1][first]) if k else last
+        return out[::-1]
+
+
+def _models():
+    """Model of a row's note; the last ones are kept."""
+    kept: dict[str, SpeakerModel] = {}
+
+    def model(r) -> SpeakerModel:
+        if r.note_id not in kept:
+            if len(kept) > 200:
+                kept.clear()
+            kept[r.note_id] = SpeakerModel(sorted(r.states), list(r.traits), list(r.moves))
+        return kept[r.note_id]
+
+    return model
+
+
+def _through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    model = _models()
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            m, said = model(r), list(r.said)
+            out.append((r.note_id, r.pin, r.part, m.through(m.emissions([s["source"] for s in said], [s["profile"] for s in said])).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["note_id", "pin", "part", "scores"])
+
+
+def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("part")
+    m = _models()(pdf.iloc[0])
+    n = len(m.states)
+    found = m.ends([np.array(s).reshape(n, n) for s in pdf["scores"]], pdf.iloc[0]["before"], pdf.iloc[0]["after"])
+    return pd.DataFrame({"note_id": pdf["note_id"], "pin": pdf["pin"], "part": pdf["part"], "first_state": [a for a, _ in found], "last_state": [b for _, b in found]})
+
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    model = _models()
+    for pdf in batches:
+        ids, voices = [], []
+        for r in pdf.itertuples(index=False):
+            m, said = model(r), list(r.said)
+            fixed = lambda at, m=m: np.where(np.arange(len(m.states)) == at, 0.0, NEVER * 1e3)
+            first = m.after(r.before) if pd.isna(r.first_state) else fixed(int(r.first_state))
+            last = m.before(r.after) if pd.isna(r.last_state) else fixed(int(r.last_state))
+            ids += [s["segment_id"] for s in said]
+            voices += [m.states[i] for i in m.path(m.emissions([s["source"] for s in said], [s["profile"] for s in said]), first, last)]
+        yield pd.DataFrame({"segment_id": pd.Series(ids, dtype="int64"), "voice": pd.Series(voices, dtype="object")})
+
+
+def voiced_segments(segments: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(note_id, segment_id, source, start_time, end_time, spoken, voice) of all segments with speech."""
     parsed = cut(parsed_segments(segments))
     named = F.col("label").isNotNull() | F.col("name").isNotNull()
@@ -350,53 +458,67 @@ def voiced_segments(segments: DataFrame) -> DataFrame:
         voices.select("note_id", F.col("label").alias("l"), F.col("name").alias("n"), F.col("source").alias("s"), "voice"),
         (parsed["note_id"] == voices["note_id"]) & F.col("label").eqNullSafe(F.col("l")) & F.col("name").eqNullSafe(F.col("n")) & F.col("source").eqNullSafe(F.col("s")),
     ).select(parsed["*"], "voice")
+    rows = known.unionByName(parsed.filter(~named).withColumn("voice", F.lit(None).cast("string")))
+    columns = ["note_id", "segment_id", "source", "start_time", "end_time", "spoken", "voice"]
+    rows = cut(in_buckets(rows))
+    return rows.filter("voice is not null").select(columns).unionByName(inferred(rows, voices, block).select(columns))
+
+
+def inferred(rows: DataFrame, voices: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows without a voice, with the one the hidden Markov model gives them."""
+    unknown = rows.filter("voice is null")
     # voices of the microphone: persons, or labels where nobody is named there
-    on_mic = voices.filter("source = 'microphone'").groupBy("note_id").agg(
-        F.array_distinct(F.collect_list(F.when(F.col("voice").startswith("N"), F.col("voice")))).alias("persons"), F.collect_set("voice").alias("all_voices")
+    mic = voices.filter("source = 'microphone'").groupBy("note_id").agg(F.collect_set(F.when(F.col("voice").startswith("N"), F.col("voice"))).alias("persons"), F.collect_set("voice").alias("all"))
+    mic = mic.select("note_id", F.when(F.size("persons") > 0, F.col("persons")).otherwise(F.col("all")).alias("on_mic"))
+    sources = unknown.groupBy("note_id").agg(F.collect_set(F.concat(F.lit("-"), F.coalesce("source", F.lit("?")))).alias("further"))
+    none = F.array().cast("array<string>")
+    states = sources.join(mic, "note_id", "left").select("note_id", F.when(F.col("on_mic").isNull(), F.col("further")).otherwise(F.array_union("on_mic", F.array_remove("further", "-microphone"))).alias("states"))
+    rows = rows.join(states.select("note_id"), "note_id", "left_semi").select("note_id", "segment_id", "source", "profile", "voice", "at", "bucket")
+    # place of every row among the pins and among the rows without a voice, and the voice before it: one sort inside buckets, one row a bucket
+    inside = W.partitionBy("note_id", "bucket").orderBy("at", "segment_id")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    pin, gap = F.when(F.col("voice").isNotNull(), 1).otherwise(0), F.when(F.col("voice").isNull(), 1).otherwise(0)
+    placed = rows.withColumns({"pin": F.sum(pin).over(upto), "nth": F.sum(gap).over(upto), "own": F.lag(F.struct("voice")).over(inside)})
+    ends = rows.groupBy("note_id", "bucket").agg(F.sum(pin).alias("pins"), F.sum(gap).alias("gaps"), F.max_by(F.struct("voice"), F.struct("at", "segment_id")).alias("end"))
+    per_note = W.partitionBy("note_id").orderBy("bucket")
+    earlier = per_note.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("note_id", "bucket", F.coalesce(F.sum("pins").over(earlier), F.lit(0)).alias("pins"), F.coalesce(F.sum("gaps").over(earlier), F.lit(0)).alias("gaps"), F.lag("end").over(per_note).alias("end"))
+    placed = placed.join(ends, ["note_id", "bucket"]).select("note_id", "segment_id", "source", "profile", "voice", "at", (F.col("pin") + F.col("pins")).alias("pin"), (F.col("nth") + F.col("gaps")).alias("nth"), F.coalesce("own", "end")["voice"].alias("previous"))
+    placed = cut(placed)
+    pinned = placed.filter("voice is not null")
+    counted = pinned.select("note_id", "voice", F.explode(F.split("profile", r"\|")).alias("trait")).groupBy("note_id", "voice", "trait").agg(F.count("*").alias("n"))
+    traits = counted.groupBy("note_id").agg(F.collect_list(F.struct("voice", "trait", "n")).alias("traits"))
+    moved = pinned.filter("previous is not null").groupBy("note_id", F.col("previous").alias("a"), F.col("voice").alias("b")).agg(F.count("*").alias("n"))
+    moves = moved.groupBy("note_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("moves"))
+    model = states.join(traits, "note_id", "left").join(moves, "note_id", "left").select(
+        "note_id", "states", F.coalesce("traits", F.array().cast("array<struct<voice:string,trait:string,n:bigint>>")).alias("traits"), F.coalesce("moves", F.array().cast("array<struct<a:string,b:string,n:bigint>>")).alias("moves")
     )
-    on_mic = on_mic.select("note_id", F.when(F.size("persons") > 0, F.col("persons")).otherwise(F.col("all_voices")).alias("voices"))
-    unknown = parsed.filter(~named).join(on_mic, "note_id", "left")
-    mic = F.coalesce(F.col("source") == "microphone", F.lit(False))
-    several = mic & (F.size(F.coalesce("voices", F.array().cast("array<string>"))) > 1)
-    alone = unknown.filter(~several).withColumn("voice", F.when(mic, F.coalesce(F.element_at("voices", 1), F.lit("-microphone"))).otherwise(F.concat(F.lit("-"), F.coalesce("source", F.lit("?"))))).drop("voices")
-    open_ones = unknown.filter(several)
-    if open_ones.isEmpty():
-        decided = None
-    else:
-        decided = _inferred(known, open_ones)
-    columns = ["note_id", "segment_id", "source", "start_time", "end_time", "spoken", "voice"]
-    result = known.select(columns).unionByName(alone.select(columns))
-    return result.unionByName(decided.select(columns)) if decided is not None else result
-
-
-def _inferred(known: DataFrame, unknown: DataFrame) -> DataFrame:
-    """`unknown` with the voice the hidden Markov model gives it."""
-    notes = unknown.select("note_id", "voices").distinct()
-    pins = known.join(notes.select("note_id"), "note_id", "left_semi").withColumn("profile", _profile("spoken"))
-    unknown = unknown.withColumn("profile", _profile("spoken"))
-    traits = pins.select("note_id", "voice", F.explode(F.split("profile", r"\|")).alias("trait")).groupBy("note_id", "voice", "trait").agg(F.count("*").cast("int").alias("n"))
-    model = traits.groupBy("note_id", "voice").agg(F.collect_list("trait").alias("trait"), F.collect_list("n").alias("n"))
-    model = model.groupBy("note_id").agg(F.collect_list(F.struct("voice", "trait", "n")).alias("model"))
-    cols = ["note_id", "segment_id", "source", "start_time", "end_time", "spoken", "profile"]
-    rows = pins.select(*cols, "voice").unionByName(unknown.select(*cols, F.lit(None).cast("string").alias("voice")))
-    rows = rows.withColumn("bucket", F.coalesce(F.expr(f"unix_seconds(start_time) div {BUCKET_S}"), F.lit(2**62))).withColumn("at", F.coalesce("start_time", F.lit("9999-12-31").cast("timestamp")))
-    order = ["at", "segment_id"]
-    ranked = running_total(rows, "note_id", "bucket", order, F.when(F.col("voice").isNotNull(), 1).otherwise(0), "pin")
-    ranked = running_total(ranked, "note_id", "bucket", order, F.when(F.col("voice").isNull(), 1).otherwise(0), "nth")
-    pinned = ranked.filter("voice is not null").select("note_id", "pin", "voice", "nth")
-    gaps = ranked.filter("voice is null").drop("voice")
-    before = pinned.select("note_id", "pin", F.col("voice").alias("before"), F.col("nth").alias("start_nth"))
+    gaps = placed.filter("voice is null")
+    starts = gaps.groupBy("note_id", "pin").agg(F.min("nth").alias("first_nth"))
+    gaps = gaps.join(starts, ["note_id", "pin"]).withColumn("part", F.expr(f"(nth - first_nth) div {block}"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("nth", "segment_id", "source", "profile"))), lambda s: F.struct(s["segment_id"].alias("segment_id"), s["source"].alias("source"), s["profile"].alias("profile")))
+    stretches = gaps.groupBy("note_id", "pin", "part").agg(said.alias("said"))
+    before = pinned.join(starts.select("note_id", "pin"), ["note_id", "pin"], "left_semi").select("note_id", "pin", F.col("voice").alias("before"))
     after = pinned.select("note_id", (F.col("pin") - 1).alias("pin"), F.col("voice").alias("after"))
-    gaps = gaps.join(before, ["note_id", "pin"], "left").join(after, ["note_id", "pin"], "left").withColumn("part", F.expr(f"(nth - coalesce(start_nth, 0) - 1) div {BLOCK}"))
-    gaps = gaps.join(notes, "note_id").join(model, "note_id", "left").withColumn("model", F.coalesce("model", F.array().cast("array<struct<voice:string,trait:array<string>,n:array<int>>>")))
-    voiced = gaps.select("note_id", "pin", "part", "segment_id", "start_time", "profile", "voices", "model", "before", "after").groupBy("note_id", "pin", "part").applyInPandas(_decode, "segment_id long, voice string")
-    return unknown.join(voiced, "segment_id")
+    stretches = stretches.join(before, ["note_id", "pin"], "left").join(after, ["note_id", "pin"], "left").join(model, "note_id")
+    long = gaps.filter("part > 0").select("note_id", "pin").distinct()
+    fixed = None
+    if not long.isEmpty():
+        parts_ = stretches.join(long, ["note_id", "pin"], "left_semi")
+        scores = parts_.mapInPandas(_through, "note_id string, pin long, part long, scores array<double>")
+        scores = scores.join(parts_.drop("said"), ["note_id", "pin", "part"])
+        fixed = cut(scores.groupBy("note_id", "pin").applyInPandas(_ends, "note_id string, pin long, part long, first_state int, last_state int"))
+    if fixed is None:
+        stretches = stretches.withColumns({"first_state": F.lit(None).cast("int"), "last_state": F.lit(None).cast("int")})
+    else:
+        stretches = stretches.join(fixed, ["note_id", "pin", "part"], "left")
+    decoded = stretches.mapInPandas(_decode, "segment_id long, voice string")
+    return unknown.drop("voice").join(decoded, "segment_id")
 
 
 def speaker_turns(segments: DataFrame) -> DataFrame:
     """(note_id, turn_no, voice, first_segment_id, last_segment_id, start_time, end_time, n_segments, text), a row per turn."""
-    rows = cut(voiced_segments(segments))
-    rows = rows.withColumn("bucket", F.coalesce(F.expr(f"unix_seconds(start_time) div {BUCKET_S}"), F.lit(2**62))).withColumn("at", F.coalesce("start_time", F.lit("9999-12-31").cast("timestamp")))
+    rows = in_buckets(cut(voiced_segments(segments)))
     runs = numbered_runs(rows, "note_id", "bucket", ["at", "segment_id"], "voice")
     place = F.struct("at", "segment_id")
     turns = runs.withColumn("clean", _clean("spoken")).groupBy("note_id", "run").agg(

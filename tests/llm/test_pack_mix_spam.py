@@ -65,18 +65,18 @@ def test_mixture(spark):
     rows = [(i, "word " * (20 + i % 50), "en", ["A B", "a-b", "a_b "][i % 3], 1, "x") for i in range(600)] + [(1000 + i, "word " * 40, "en", "small", 1, "x") for i in range(40)] + [(5000, "other", "en", "nobody", 1, "x"), (5001, None, "en", "small", 1, "x"), (None, "x", "en", "small", 1, "x"), (5002, "x", None, None, 1, "x")]
     docs = spark.createDataFrame(rows, DOC)
     weights = spark.createDataFrame([("a_b", 0.7, 1), ("small", 0.2, 4), ("absent", 0.1, 3), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
-    mixed, report = mixing.mixture(docs, weights)
+    mixed, report = mixing.mixture(docs, weights, full=False)
     shares = {r.source: r for r in report.collect()}
     used = mixed.toPandas()
     assert shares["absent"].tokens == 0
     assert shares["a_b"].actual_share == pytest.approx(0.7 / 0.9, abs=0.02) and shares["small"].actual_share == pytest.approx(0.2 / 0.9, abs=0.02)
     assert used[used.source == "small"].repeats.max() <= 4 and used[used.source == "a_b"].repeats.max() <= 1
     assert (used.n_tokens * used.repeats).sum() == sum(r.tokens for r in shares.values())
-    again, _ = mixing.mixture(docs, weights)
+    again, _ = mixing.mixture(docs, weights, full=False)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
-    other, _ = mixing.mixture(docs, weights, seed=5)
+    other, _ = mixing.mixture(docs, weights, seed=5, full=False)
     assert sorted(map(tuple, other.collect())) != sorted(map(tuple, mixed.collect()))
-    _, full = mixing.mixture(docs, weights, full=True)
+    _, full = mixing.mixture(docs, weights)
     assert all(r.epochs <= r.max_repeats for r in full.collect())
     empty, none = mixing.mixture(docs.limit(0), weights)
     assert empty.count() == 0 and none.count() == 3
@@ -124,7 +124,7 @@ def test_spam_pages(spark):
 def test_curves_equal_a_plain_fit(spark):
     text = "a a a a b b c d the the is to for"
     docs = spark.createDataFrame([(1, text, None, None, 1, "x")], DOC)
-    got = spam.page_curves(docs).first()
+    got = spam.page_curves(spam.with_texts(docs), {}).first()
     freq = [(4, 1, 1), (2, 2, 3), (1, 4, 8)]
     x = [np.log(np.sqrt(lo * hi)) for _, lo, hi in freq]
     y = [np.log(f) for f, *_ in freq]
@@ -143,9 +143,35 @@ def test_pools():
 def test_wordy_sentences_do_not_excuse_half_a_page_of_labels():
     sentence = "It is what we have to do if you are to be with us when it is on, and that is not what I was for. "
     labels = "\n".join(f"Professional Ergonomic Keyboard Accessories {i}" for i in range(20))
-    share = spam.page_features(sentence * 6 + "\n" + labels, {}, set())[4]
+
+    def share_of(text):
+        return spam.unlike_prose(text, spam.overused(spam.page_words(text), {}), set()) / len(text)
+
+    share = share_of(sentence * 6 + "\n" + labels)
     assert 0.5 < share == pytest.approx(len(labels) / (6 * len(sentence) + len(labels)), abs=0.05)
-    assert spam.page_features(sentence * 12 + "\n" + labels, {}, set())[4] == 0.0
+    assert share_of(sentence * 12 + "\n" + labels) == 0.0
+
+
+def test_short_pages_count_by_what_they_show(spark):
+    rows, _ = pages(random.Random(5))
+    short = [(900, "https://a.example/x"), (901, "#deal #sale"), (902, "webcam cheap webcam cheap"), (903, "n/a"), (904, "tbd"), (905, "Kedzu weekly"), (905, "Kedzu weekly"), (906, "ok"), (906, "www.a.example www.b.example")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "x") for i, t in [r for r in rows if (r[0] or 0) < 300] + short], DOC)
+    assert sorted(r.doc_id for r in spam.spam_pages(docs).collect()) == [900, 901, 902, 906]
+
+
+def test_a_page_without_function_words_gets_the_language_it_fits():
+    rates = {"en": {"budget": 0.01, "plan": 0.02}, "de": {"haushalt": 0.01}}
+    assert spam.language(spam.page_words("budget plan budget"), rates) == "en" and spam.language(spam.page_words("haushalt budge"), rates) == "de" and spam.language(spam.page_words("x"), {}) == "?"
+
+
+def test_all_three_limits_of_a_container_bind(spark):
+    rows = [(i, "prompt line\n" + "word " * (i % 37 + 1) if i % 3 else "x " * (i % 5 + 1), None, None, 1, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, DOC)
+    limits = spark.createDataFrame([("container", 100, 0, "tokens")], "item_kind string, max_size long, overlap_size long, size_unit string")
+    packed = packing.containers(docs, limits, kinds=("container",), max_segments=6, loss_share=0.8)
+    use = packing.use_report(packed, limits, max_segments=6, loss_share=0.8).first()
+    assert use.at_tokens > 0 and use.at_segments > 0 and use.at_loss > 0
+    assert max(use.most_tokens, use.most_segments, use.most_loss) <= 1.0 and 0 < use.loss_use <= 1
 
 
 @pytest.mark.parametrize("times", [1, 10])

@@ -124,3 +124,65 @@ def test_items_and_blocks(spark, monkeypatch):
     assert "".join(whole[p.core_start : p.core_end] for p in pieces) == whole
     assert all(p.text == whole[max(0, p.core_start - 10) : p.core_end] and len(p.text) <= 100 for p in pieces)
     assert split.split_report(notes.limit(0), segs.limit(0), limits).count() == 0
+
+
+def test_block_edges_change_nothing(spark):
+    rng = random.Random(11)
+    rows = [seg(i, "".join(rng.choice(["Lorem ipsum", " ", ". ", ", ", "\n\n", "x" * rng.randrange(1, 130), "ß🚀"]) for _ in range(rng.randrange(1, 12))) or "-", at=i * 400) for i in range(300)]
+    segs = spark.createDataFrame(rows, SEG)
+    notes = spark.createDataFrame([], "id string, detail_no long, updated_at timestamp, summary_text string")
+    limits = spark.createDataFrame([("transcript", 120, 25, "characters")], "item_kind string, max_size long, overlap_size long, size_unit string")
+    whole = sorted(map(tuple, split.pieces(notes, segs, limits, block_chars=10**9).collect()))
+    assert len(whole) > 100
+    for chars in (150, 400, 3000):
+        assert sorted(map(tuple, split.pieces(notes, segs, limits, block_chars=chars).collect())) == whole
+
+
+def test_a_word_that_fits_a_piece_is_whole_in_one():
+    text = "start " + "w" * 95 + " end " + "v" * 101 + " x"
+    got = split.split_text(text, 100, 10)
+    assert any("w" * 95 in t for *_, t in got) and not any("v" * 101 in t for *_, t in got)
+    assert [k for _, _, k, _ in got if k == split.INSIDE] and all(len(t) <= 100 for *_, t in got)
+    natural = split.split_text("start " + "w" * 95 + " end", 100, 10)
+    assert all(k != split.INSIDE for _, _, k, _ in natural) and any(k == split.SHARED for _, _, k, _ in natural)
+    assert all(k != split.INSIDE for _, _, k, _ in split.split_text("a" + " " * 500 + "b", 100, 10))
+
+
+def test_parts_of_a_long_stretch_are_decoded_as_one():
+    import numpy as np
+
+    rng = random.Random(3)
+    voices = ["Na", "Nb", "-speaker"]
+    traits = [{"voice": v, "trait": t, "n": rng.randrange(1, 9)} for v in voices[:2] for t in ("len", "lde", "fT", "fF")]
+    moves = [{"a": a, "b": b, "n": rng.randrange(1, 9)} for a in voices[:2] for b in voices[:2]]
+    model = turns.SpeakerModel(voices, traits, moves)
+    profiles = ["|".join((rng.choice(["len", "lde"]), rng.choice(["fT", "fF"]))) for _ in range(23)]
+    sources = [rng.choice(["microphone", "microphone", "speaker"]) for _ in profiles]
+    emitted = model.emissions(sources, profiles)
+    whole = model.path(emitted, model.after("Na"), model.before("Nb"))
+    assert all((model.states[i] == "-speaker") == (s == "speaker") for i, s in zip(whole, sources))
+    bits = [emitted[i : i + 5] for i in range(0, 23, 5)]
+    got, fixed = [], lambda at: np.where(np.arange(3) == at, 0.0, -1e12)
+    for part, (a, b) in zip(bits, model.ends([model.through(p) for p in bits], "Na", "Nb")):
+        got += model.path(part, fixed(a), fixed(b))
+    score = lambda path: model.after("Na")[path[0]] + emitted[range(23), path].sum() + sum(model.between[a, b] for a, b in zip(path, path[1:])) + model.before("Nb")[path[-1]]
+    assert score(got) == pytest.approx(score(whole))
+    # transitions are those of the note
+    one = turns.SpeakerModel(["Na", "Nb"], [], [{"a": "Na", "b": "Nb", "n": 50}, {"a": "Nb", "b": "Na", "n": 50}])
+    assert one.move("Na", "Nb") > one.move("Na", "Na")
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_the_model_recovers_held_out_labels(spark, block):
+    rng = random.Random(2)
+    who = [("Ana Uno", "el proyecto está en la mesa y no es para la junta"), ("Bob Two", "The plan is on the table and that is not for the board."), ("Cid Tres", "das ist nicht für mich und wir")]
+    rows, truth, at = [], {}, 0
+    for i in range(240):
+        if i % 6 == 0:
+            at = rng.randrange(3)
+        truth[i] = at
+        rows.append(seg(i, f"{who[at][1]} {i}", name=None if i % 4 == 1 and i > 12 or 100 <= i < 112 else who[at][0]))
+    got = {r.segment_id: r.voice for r in turns.voiced_segments(spark.createDataFrame(rows, SEG), block=block).collect()}
+    hidden = [i for i in truth if rows[i][2][2] is None]
+    right = sum(got[i] == "N" + who[truth[i]][0].lower() for i in hidden)
+    assert len(got) == 240 and right >= 0.95 * len(hidden)
