@@ -36,8 +36,10 @@ from notewarp.session import cut, cut_counted
 Q, ROWS, RECALL, LONG = 3, 3, 0.95, 30
 #: Monge-Elkan similarity that a name must have with its key.
 MONGE_ELKAN = 0.72
-#: Rounds of star clustering and of components are bounded by the bits of a row count.
+#: Rounds of star clustering (as many as the longest chain of ever stronger neighbours) and of components; more are an error, never a partial result.
 MAX_ROUNDS = 64
+#: Records of one entity whose pairs one task makes.
+PAIR_RECORDS = 1000
 
 # Nicknames and the given names they stand for.
 NICKNAMES = {
@@ -233,7 +235,7 @@ def star_centres(words: DataFrame, edges: DataFrame) -> DataFrame:
     state, left = cut_counted(words.select("kind", "word").join(weaker, ["kind", "word"], "left").select("kind", "word", F.when(F.col("open").isNull(), F.col("word")).alias("centre")), undecided)
     for _ in range(MAX_ROUNDS):
         if not left:
-            break
+            return state
         # a word goes to the best of its neighbours that are centres; it is one itself once all stronger neighbours have gone elsewhere
         near = edges.join(state.filter(undecided).select("kind", "word"), ["kind", "word"], "left_semi").join(state.select("kind", F.col("word").alias("near"), F.col("centre").alias("near_centre")), ["kind", "near"])
         seen = near.groupBy("kind", "word").agg(
@@ -241,6 +243,8 @@ def star_centres(words: DataFrame, edges: DataFrame) -> DataFrame:
         )
         decided = seen.filter(~F.col("waiting")).select("kind", "word", F.coalesce("best.near", "word").alias("decided"))
         state, left = cut_counted(state.join(decided, ["kind", "word"], "left").select("kind", "word", F.coalesce("centre", "decided").alias("centre")), undecided)
+    if left:
+        raise RuntimeError(f"{left} parts aren't settled after {MAX_ROUNDS} rounds")
     return state
 
 
@@ -363,12 +367,20 @@ def components(edges: DataFrame) -> DataFrame:
         jumped, changed = cut_counted(jumped, F.col("component") != F.col("before"))
         labels = jumped.select("core", "component")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components aren't settled after {MAX_ROUNDS} rounds")
+
+
+def with_links(linked: DataFrame) -> DataFrame:
+    """`linked` with n_links: how many other records mean the same."""
+    sizes = linked.groupBy("kind", "entity").agg((F.count("*") - 1).alias("n_links"))
+    return linked.join(sizes, ["kind", "entity"]).select("record_id", "kind", "entity", "n_links")
 
 
 def record_pairs(linked: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: the records of one entity. The result is all pairs by its definition."""
-    a = linked.select("kind", "entity", F.col("record_id").alias("id_a"))
-    b = linked.select("kind", "entity", F.col("record_id").alias("id_b"))
-    return a.join(b, ["kind", "entity"]).filter("id_a < id_b").select("id_a", "id_b")
+    """(id_a, id_b), id_a < id_b: the records of one entity. The result is all pairs by its definition; a large entity's are made in parts."""
+    parts_ = linked.groupBy("kind", "entity").agg(F.expr(f"cast((count(*) - 1) div {PAIR_RECORDS} as int)").alias("last_part"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = linked.join(parts_, ["kind", "entity"])
+    a = rows.select("kind", "entity", F.col("record_id").alias("id_a"), F.explode(F.sequence(F.lit(0), F.col("last_part"))).alias("part"))
+    b = rows.select("kind", "entity", F.col("record_id").alias("id_b"), F.pmod(F.xxhash64("record_id"), F.col("last_part") + 1).cast("int").alias("part"))
+    return a.join(b, ["kind", "entity", "part"]).filter("id_a < id_b").select("id_a", "id_b")

@@ -38,13 +38,17 @@ def p3_turns(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_entities(spark: SparkSession, root: str) -> DataFrame:
-    """(record_id, kind, entity) of the records that name a person or a company."""
-    return link.linked_records(table(spark, root, "entities"), table(spark, root, "extracted_entities"))
+    """(record_id, kind, entity, n_links) of the records that name a person or a company."""
+    return link.with_links(_linked(spark, root))
+
+
+def _linked(spark: SparkSession, root: str) -> DataFrame:
+    return cut(link.linked_records(table(spark, root, "entities"), table(spark, root, "extracted_entities")))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """(id_a, id_b): pairs of records of one person or company."""
-    return link.record_pairs(cut(p4_entities(spark, root)))
+    return link.record_pairs(_linked(spark, root))
 
 
 def _texts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -160,3 +160,22 @@ def test_long_texts_end(spark):
 def test_empty_texts(spark):
     none = spark.createDataFrame([], "record_kind string, record_id long, text string")
     assert pii.spans(none, spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_a_large_entity_is_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(link, "PAIR_RECORDS", 7)
+    rows = spark.range(60).selectExpr("id as record_id", "'person' as kind", "if(id < 50, 'hot', cast(id as string)) as entity")
+    got = {(r.id_a, r.id_b) for r in link.record_pairs(rows).collect()}
+    assert got == {(a, b) for a in range(50) for b in range(a + 1, 50)}
+    assert {r.record_id: r.n_links for r in link.with_links(rows).collect()} == {i: 49 if i < 50 else 0 for i in range(60)}
+
+
+def test_rounds_that_do_not_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(link, "MAX_ROUNDS", 1)
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(30)], "core string, other string")
+    with pytest.raises(RuntimeError):
+        link.components(chain)
+    words = spark.createDataFrame([("person", w) for w in "abcd"], "kind string, word string")
+    edges = spark.createDataFrame([("person", a, b, 0.9, 0, 1) for a, b in zip("abc", "bcd")], "kind string, word string, near string, similarity double, near_v int, near_s long")
+    with pytest.raises(RuntimeError):
+        link.star_centres(words, edges)
