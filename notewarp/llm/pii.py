@@ -1,16 +1,19 @@
 """Personal information inside free text: found by bootstrapped contextual extraction, replaced by typed placeholders.
 
 1. Candidates: spans that have the shape of an address of e-mail, a number, a street address or a person's name, each with the words
-   before and after it. Written-out and obscured forms have shapes too ("five five five zero", "x [at] y dot z").
-2. Seeds: numbers whose shape belongs to one type only, and people named in the structured columns (owners, attendees, speakers).
-3. Spark scores the graph of patterns (contexts) and instances (shapes, names) in rounds: a pattern's score for a type is the share of
-   its occurrences whose instance is of that type, an instance's score comes from the patterns it is seen in. Patterns of high
-   confidence then type the instances that no seed names.
-4. A candidate is reported if its instance or its context vouches for it; words that are also ordinary words ("rose", "mark") need
-   their context.
-
-Given names are sent to tasks up to MAX_GIVEN of the commonest; rarer ones are found as unknown capitalised words through their
-contexts. Common words are those above COMMON_RATE, at most 1 / COMMON_RATE of them. Scores are joined, never sent.
+   before and after it. Written-out and obscured forms have shapes too ("five five five zero", "x [at] y dot z"), and so have spans that
+   no fixed shape names: unknown capitalised words, numbers beside capitalised words, "x at y.z".
+2. Seeds: shapes that belong to one type only, and people named in the structured columns (owners, attendees, speakers).
+3. Spark scores the graph of patterns (contexts) and instances (shapes, names, domains, street words) in rounds: a pattern's score for a
+   type is the share of its occurrences whose instance is of that type, an instance's score comes from the patterns it is seen in.
+   Patterns of high confidence then type the instances that no seed names.
+4. A candidate's type is that for which its context, or what the patterns say of its instance, is sure (`decided_by` pattern); where the
+   patterns are not sure, the seed's type is taken (`decided_by` seed). Words that are also ordinary words ("rose", "mark") and
+   candidates without a seed need the patterns. `holdout` hides a part of the seeds, so that one can measure what the patterns find alone.
+
+Given names are sent to tasks where there are at most MAX_SENT; where there are more, each text is joined with those of its own words that
+are given names, with the same result. Common words are those above COMMON_RATE, at most 1 / COMMON_RATE of them. Scores are joined,
+never sent.
 
 Defined results: null and empty texts have no spans; rows with a null id keep it; repeated rows are reported once each; texts of any length
 are read whole, and no pattern looks further than a fixed window; positions count code points.
@@ -19,7 +22,6 @@ are read whole, and no pattern looks further than a fixed window; positions coun
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,16 +32,17 @@ from notewarp.llm.names import folded, parts
 from notewarp.llm.turns import FILLERS
 from notewarp.session import cut
 
-MAX_GIVEN = 20_000
+#: Given names that are sent to every task (some 100 bytes each); more are joined.
+MAX_SENT = 100_000
 COMMON_RATE = 1e-4
 ROUNDS = 2
 #: Score from which a context types an instance, and from which an instance without a seed counts.
 PATTERN_SCORE, INSTANCE_SCORE = 0.5, 0.5
 #: Share of an instance's evidence that must be for one type.
 AGREEMENT = 0.8
-TYPES = ("id_number", "phone", "name")
-#: Score that an unambiguous name's context must reach, an ambiguous one's, and that of an unknown capitalised word.
-NAME_CONTEXT, AMBIGUOUS_CONTEXT, UNKNOWN_CONTEXT = 0.0, 0.5, 0.8
+TYPES = ("id_number", "phone", "name", "email", "address")
+#: Score that the context of an ambiguous name must reach, and that of a candidate which neither a seed nor a dictionary knows.
+AMBIGUOUS_CONTEXT, UNKNOWN_CONTEXT = 0.5, 0.8
 
 # Titles before names, digits as words, words for `dot`, `at` and `dash`, words and endings of streets.
 NAME_TITLES = "dr prof mr mrs ms mx miss herr herrn frau monsieur madame mme mlle señor señora sr sra srta don doña".split()
@@ -59,6 +62,8 @@ _DOMAIN = re.compile(rf"[\w\-]+(?:(?:\.|\s?[\[(]\s*(?:{DOT})\s*[\])]\s?)[\w\-]+)
 _SPOKEN = re.compile(
     rf"(?<!\w)[a-z0-9]{{1,30}}(?:\s(?:{DOT}|{DASH}|plus|underscore)\s[a-z0-9]{{1,30}}){{0,4}}\s(?:{AT})\s[a-z0-9]{{1,30}}(?:\s(?:{DASH})\s[a-z0-9]{{1,30}}){{0,2}}(?:\s(?:{DOT})\s[a-z0-9]{{2,30}}){{1,3}}(?!\w)", re.I
 )
+_MIXED = re.compile(rf"(?<![\w.])[\w.+\-]{{2,40}}\s(?:{AT})\s[a-z0-9\-]{{2,40}}(?:\.[a-z0-9\-]{{2,20}}){{1,3}}(?![\w@])", re.I)
+_AT_SET, _DOT_SET = frozenset(AT.split("|")), frozenset(DOT.split("|"))
 _NUMBER = re.compile(r"(?<![\w.,/+\-])(?:\+\d|\(\d|\d)[\d .()/\-]{5,24}\d(?:-?[A-Z])?(?!\w|[.,/\-]\d)")
 _CODE = re.compile(r"(?<![\w\-])(?:[A-Z]{1,2}\d[A-Z0-9]{6,12}|[A-Z]\d{2}(?: \d{3}){2}|[A-Z]{2}(?: \d{2}){3} [A-Z]|[A-Z]\d{7,8}[A-Z]?)(?![\w\-])")
 _WORDS = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(set(DIGITS), key=len, reverse=True))})(?:[\s,\-]+(?:{'|'.join(sorted(set(DIGITS), key=len, reverse=True))})(?!\w)){{5,24}}", re.I)
@@ -75,6 +80,16 @@ _STREETS = [
     re.compile(rf"(?<![\w])(?:(?:Am|An der|Im|Zum|Zur|Auf der|In der)\s)?[A-ZÄÖÜ][\wäöüß\-]*(?:{'|'.join(STREET_ENDINGS.split())})\.?\s\d{{1,5}}\s?[a-z]?(?!\w)"),
     re.compile(rf"(?<![\w])(?:(?:{_NAME_WORD})\s){{1,2}}(?:Straße|Strasse|Str\.|Weg|Platz|Gasse|Allee)\s\d{{1,5}}[a-z]?"),
 ]
+# words, or endings of words, without which a pattern finds nothing
+_BEFORE_WORDS = frozenset(re.sub(r"\W", "", w) for w in STREET_BEFORE.split())
+_STREET_HINTS = [frozenset(STREET_WORDS.split()), _BEFORE_WORDS, _BEFORE_WORDS, tuple(STREET_ENDINGS.split()), tuple(STREET_ENDINGS.split())]
+# a number beside capitalised words that no street pattern names
+_PLACES = [
+    re.compile(rf"(?<![\w.,/+\-])\d{{1,5}}[A-Za-z]?,?\s(?:{_NAME_WORD}\s){{1,2}}{_NAME_WORD}(?!\w)"),
+    re.compile(rf"(?<!\w)(?:{_NAME_WORD}\s){{1,2}}{_NAME_WORD},?\s\d{{1,4}}[a-z]?(?![\w.,/:\-]\w|\w)"),
+]
+_LETTERS_ONLY = re.compile(r"[^\W\d_]+")
+_NAME_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[’'\-](?=[^\W\d_]))*")
 _TOKEN = re.compile(r"[^\W\d_][\w’'\-]*\.?|[.,:;!?()\[\]<>\-–—]|\d[\w.,/\-]*|\S")
 _LETTERS = re.compile(r"[^\W\d_]")
 
@@ -93,16 +108,21 @@ def shape(text: str) -> str:
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", text))
 
 
-def emails(text: str) -> list[tuple[int, int]]:
+def lower_words(text: str) -> set[str]:
+    """The different words of a text in lower case; what a text can't have without certain words isn't looked for."""
+    return set(map(str.lower, _LETTERS_ONLY.findall(text)))
+
+
+def emails(text: str, words: set[str] | None = None) -> list[tuple[int, int]]:
     """Spans of addresses: written, obscured and spoken."""
     found = []
-    for m in _AT_SIGN.finditer(text):
+    words = lower_words(text) if words is None else words
+    for m in _AT_SIGN.finditer(text) if "@" in text or not words.isdisjoint(_AT_SET) else ():
         lo = max(0, m.start() - 100)
         local, domain = _LOCAL.search(text[lo : m.start()]), _DOMAIN.match(text, m.end(), min(len(text), m.end() + 120))
         if local and domain:
             found.append((lo + local.start(), domain.end()))
-    lowered = text.lower()
-    if any(f" {w} " in lowered for w in AT.split("|")) and any(f" {w} " in lowered for w in DOT.split("|")):
+    if not words.isdisjoint(_AT_SET) and not words.isdisjoint(_DOT_SET):
         found += [m.span() for m in _SPOKEN.finditer(text)]
     return apart(found)
 
@@ -122,7 +142,46 @@ class Reader:
     def __init__(self, given: set[str], common: set[str]) -> None:
         self.given, self.common = given, common
         self.memo: dict[str, str] = {}
+        self.plainly: dict[str, str] = {}
         self.dull: set[str] = set()
+        self.lively: set[str] = set()
+
+    def clean(self, word: str) -> str:
+        """A word as names are compared: folded, without a genitive ending."""
+        known = self.memo.get(word)
+        if known is None:
+            known = folded(word)
+            known = known[:-2] if known.endswith(("'s", "’s")) else known
+            if len(self.memo) < 200_000:
+                self.memo[word] = known
+        return known
+
+    def fold(self, word: str) -> str:
+        known = self.plainly.get(word)
+        if known is None:
+            known = folded(word)
+            if len(self.plainly) < 200_000:
+                self.plainly[word] = known
+        return known
+
+    def begins_nothing(self, word: str) -> bool:
+        """Whether no name can begin with a word: an ordinary word, or one in lower case, that is neither title nor given name nor initial."""
+        if word in self.dull:
+            return True
+        if word in self.lively:
+            return False
+        upper = word[0].isupper()
+        lively = word.lower() in _TITLE_SET or self.clean(word) in self.given or (upper and (len(word) == 1 or self.fold(word) not in self.common))
+        kept = self.lively if lively else self.dull
+        if len(kept) < 200_000:
+            kept.add(word)
+        return not lively
+
+    def knowing(self, given: set[str]) -> Reader:
+        """This reader with the given names that one text can have."""
+        if given != self.given:
+            self.given, self.dull, self.lively = given, set(), set()
+        return self
 
     def context(self, text: str, start: int, end: int) -> tuple[str, str]:
         """The three words or marks before and the two after, in lower case, fillers left out, numbers as `#`."""
@@ -133,10 +192,12 @@ class Reader:
         word = lambda t: "#" if t[0].isdigit() else t
         return " ".join(word(t) for t in (["^", "^", *left])[-3:]), " ".join(map(word, right))
 
-    def numbers(self, text: str, taken: list[tuple[int, int]]) -> list[tuple]:
-        spans = [m.span() for p in (_CODE, _NUMBER) for m in p.finditer(text)]
-        if sum(w in _DIGIT_SET for w in re.split(r"[\s,\-]+", text.lower())) >= 6:
+    def numbers(self, text: str, taken: list[tuple[int, int]], low: set[str]) -> list[tuple]:
+        spans = [m.span() for p in (_CODE, _NUMBER) for m in p.finditer(text)] if _DIGIT.search(text) else []
+        if not low.isdisjoint(_DIGIT_SET) and sum(w.lower() in _DIGIT_SET for w in _LETTERS_ONLY.findall(text)) >= 6:
             spans += [m.span() for m in _WORDS.finditer(text)]
+        if not spans:
+            return []
         out = []
         for s, e in apart([x for x in spans if all(x[1] <= a or x[0] >= b for a, b in taken)]):
             value = text[s:e]
@@ -150,38 +211,39 @@ class Reader:
             out.append((s, e, form, instance, *self.context(text, s, e), seed, False, -1))
         return out
 
-    def streets(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def streets(self, text: str, taken: list[tuple[int, int]], low: set[str]) -> list[tuple[int, int]]:
         if not _DIGIT.search(text):
             return []
-        spans = [m.span() for p in _STREETS for m in p.finditer(text)]
+        patterns = [p for p, words in zip(_STREETS, _STREET_HINTS) if (any(w.endswith(words) for w in low) if isinstance(words, tuple) else not low.isdisjoint(words))]
+        spans = [m.span() for p in patterns for m in p.finditer(text)]
         return apart([x for x in spans if all(x[1] <= a or x[0] >= b for a, b in taken)])
 
+    def unseeded(self, text: str, taken: list[tuple[int, int]], low: set[str]) -> list[tuple]:
+        """Spans without a fixed shape that a context may name an address of a house or of e-mail."""
+        out = []
+        if _DIGIT.search(text):
+            spans = [m.span() for p in _PLACES for m in p.finditer(text)]
+            for s, e in apart([x for x in spans if all(x[1] <= a or x[0] >= b for a, b in taken)]):
+                words = [w.group() for w in _NAME_TOKEN.finditer(text, s, e) if len(w.group()) > 1]
+                if words and not any(self.clean(w) in self.given for w in words):
+                    out.append((s, e, "place", self.clean(words[-1]), *self.context(text, s, e), "", False, -1))
+        if "." in text and not low.isdisjoint(_AT_SET):
+            for m in _MIXED.finditer(text):
+                if all(m.end() <= a or m.start() >= b for a, b in taken):
+                    out.append((*m.span(), "mixed", "at", *self.context(text, *m.span()), "", False, -1))
+        return out
+
     def names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple]:
-        words = [m for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|[’'\-](?=[^\W\d_]))*", text)]
+        if self.dull.issuperset(_NAME_TOKEN.findall(text)):
+            return []
+        words = list(_NAME_TOKEN.finditer(text))
         out, i, n, at, blocked = [], 0, len(words), 0, taken
-        given, common = self.given, self.common
-
-        memo, dull = self.memo, self.dull
-
-        def clean(w: str) -> str:
-            known = memo.get(w)
-            if known is None:
-                known = folded(w)
-                known = known[:-2] if known.endswith(("'s", "’s")) else known
-                if len(memo) < 200_000:
-                    memo[w] = known
-            return known
+        given, common, clean = self.given, self.common, self.clean
 
         while i < n:
             m = words[i]
             raw = m.group()
-            # a word in lower case is only of interest if it is a given name or a title
-            if raw in dull:
-                i += 1
-                continue
-            if raw.islower() and raw.isascii() and raw not in given and raw not in _TITLE_SET and "'" not in raw:
-                if len(dull) < 200_000:
-                    dull.add(raw)
+            if self.begins_nothing(raw):
                 i += 1
                 continue
             s, e = m.span()
@@ -253,9 +315,10 @@ class Reader:
         """Whether word i is an unknown capitalised word before a given name."""
         if i + 1 >= len(words):
             return False
-        word, nxt = words[i].group(), re.sub(r"['’]s$", "", words[i + 1].group())
+        word, nxt = words[i].group(), words[i + 1].group()
+        nxt = nxt[:-2] if nxt.endswith(("'s", "’s")) else nxt
         gap = text[words[i].end() : words[i + 1].start()]
-        return word[0].isupper() and nxt[0].isupper() and len(word) >= 4 and folded(word) not in self.common and folded(nxt) in self.given and gap in (" ", ", ", "  ", ",  ", "\xa0", ",\xa0")
+        return word[0].isupper() and nxt[0].isupper() and len(word) >= 4 and gap in (" ", ", ", "  ", ",  ", "\xa0", ",\xa0") and self.fold(word) not in self.common and self.fold(nxt) in self.given
 
     @staticmethod
     def shorten(m: re.Match) -> int:
@@ -271,7 +334,7 @@ class Reader:
             gap, w = text[words[j - 1].end() : words[j].start()], words[j].group()
             if gap not in (" ", "  ", " ", ". ") or (gap == ". " and len(words[j - 1].group()) != 1):
                 break
-            low = folded(w[:-2] if w.endswith(("'s", "’s")) else w)
+            low = self.fold(w[:-2] if w.endswith(("'s", "’s")) else w)
             if len(w) == 1 and w.isupper() and text[words[j].end() : words[j].end() + 1] == ".":
                 end, j = words[j].end() + 1, j + 1
                 continue
@@ -285,48 +348,55 @@ class Reader:
         return end, j
 
     def candidates(self, text: str) -> list[tuple]:
-        mails = emails(text)
-        out = [(s, e, "email", "email", "", "", "email", False, -1) for s, e in mails]
-        places = self.streets(text, mails)
-        out += [(s, e, "street", "street", "", "", "address", False, -1) for s, e in places]
-        numbers = self.numbers(text, sorted(mails + places))
-        out += numbers
-        return out + self.names(text, sorted(mails + places))
-
-
-def _candidates(given: set[str], common: set[str]):
+        low = lower_words(text)
+        mails = emails(text, low)
+        out = [(s, e, "email", text[s:e].rpartition("@")[2].strip().lower()[:60] or "email", *self.context(text, s, e), "email", False, -1) for s, e in mails]
+        places = self.streets(text, mails, low)
+        for s, e in places:
+            words = [w.group() for w in _NAME_TOKEN.finditer(text, s, e) if len(w.group()) > 1]
+            out.append((s, e, "street", self.clean(words[-1]) if words else "street", *self.context(text, s, e), "address", False, -1))
+        taken = sorted(mails + places)
+        out += self.numbers(text, taken, low)
+        out += self.unseeded(text, taken, low)
+        return out + self.names(text, taken)
+
+
+def _candidates(given: set[str] | None, common: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(given, common)
+        reader = Reader(given or set(), common)
         for pdf in batches:
-            rows = [(kind, i, *c) for kind, i, text in zip(pdf["record_kind"], pdf["record_id"], pdf["text"]) for c in reader.candidates(text)]
+            # without a set for all, each text brings the given names among its words
+            known = [given] * len(pdf) if given is not None else [set(g) for g in pdf["given_here"]]
+            rows = [(kind, i, *c) for kind, i, text, g in zip(pdf["record_kind"], pdf["record_id"], pdf["text"], known) for c in reader.knowing(g).candidates(text)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
 
-def _count_lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter = Counter()
-    words = re.compile(r"[^\W\d_](?:[^\W\d_]|[’'\-](?=[^\W\d_]))*")
+def _text_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader = Reader(set(), set())
     for pdf in batches:
-        for text in pdf["text"]:
-            at, kept = 0, []
-            for s, e in emails(text):
-                kept.append(text[at:s])
-                at = e
-            kept.append(text[at:])
-            total.update(w for w in words.findall(" ".join(kept)) if w[0].islower() or len(w) < 3)
-            total["\u0000"] += 1 + len(text) // 6
-        if len(total) > 500_000:
-            yield pd.DataFrame(list(total.items()), columns=["word", "n"])
-            total = Counter()
-    yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+        rows = [(h, w) for h, text in zip(pdf["h"], pdf["text"]) for w in {reader.clean(x) for x in _NAME_TOKEN.findall(text)}]
+        yield pd.DataFrame(rows, columns=["h", "given"])
+
+
+def with_given(texts: DataFrame, given: DataFrame) -> DataFrame:
+    """`texts` with given_here: those of a text's words that are given names."""
+    hashed = texts.withColumn("h", F.sha2("text", 256))
+    words = hashed.select("h", "text").dropDuplicates(["h"]).mapInPandas(_text_words, "h string, given string")
+    here = words.join(given.select("given"), "given", "left_semi").groupBy("h").agg(F.collect_set("given").alias("given_here"))
+    return hashed.join(here, "h", "left").withColumn("given_here", F.coalesce("given_here", F.array().cast("array<string>"))).drop("h")
 
 
 def common_words(texts: DataFrame) -> set[str]:
-    """Words that stand in lower case at COMMON_RATE or more, over all texts; at most 1 / COMMON_RATE of them."""
-    counts = cut(texts.select("text").mapInPandas(_count_lower, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.filter(F.col("word") == "\u0000").agg(F.sum("n")).first()[0] or 1
-    kept = counts.filter(F.col("n") >= F.lit(total * COMMON_RATE)).filter(F.col("word") != "\u0000").select("word").toLocalIterator()
+    """Words that stand in lower case at COMMON_RATE or more, over all texts; at most 1 / COMMON_RATE of them. Counted inside the JVM."""
+    bare = F.regexp_replace("text", r"\S*@\S*", " ")
+    # character classes only: a group repeated over a very long text would exhaust the matcher's stack
+    words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(r"([\p{L}'’\-]+)"), F.lit(1))).alias("word")).select(F.btrim("word", F.lit("'’-")).alias("word"))
+    first = F.substring("word", 1, 1)
+    lower = words.filter("word <> ''").filter((F.lower(first) == first) | (F.char_length("word") < 3)).groupBy("word").agg(F.count("*").alias("n"))
+    total = texts.agg(F.sum(F.expr("1 + char_length(text) div 6"))).first()[0] or 1
+    kept = lower.filter(F.col("n") >= F.lit(total * COMMON_RATE)).select("word").toLocalIterator()
     return {w for r in kept for w in (r.word.lower(), folded(r.word))}
 
 
@@ -340,47 +410,53 @@ def _given_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["given", "family", "first", "last"])
 
 
-def people_names(people: DataFrame) -> tuple[set[str], DataFrame]:
-    """Given names of the people of the structured columns (name), the commonest MAX_GIVEN; and all their surnames (surname)."""
+def people_names(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(given) names and (surname)s of the people of the structured columns (name).
+
+    A name is a given name if it stands first oftener than last, and twice or beside a known surname.
+    """
     named = people.filter("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("n"))
-    each = cut(
-        named.mapInPandas(_given_of, "given string, family string, first long, last long")
-        .groupBy("given")
-        .agg(F.count_distinct(F.when(F.col("first") > 0, F.col("family"))).alias("families"), F.sum("first").alias("first"), F.sum("last").alias("last"))
-    )
+    pairs = cut(named.mapInPandas(_given_of, "given string, family string, first long, last long"))
+    each = pairs.groupBy("given").agg(F.sum("first").alias("first"), F.sum("last").alias("last"))
+    surnames = cut(each.filter("last >= 2 and last > first and length(given) > 3").select(F.col("given").alias("surname")))
     # a spelling mistake is rare beside the name itself; a surname that somebody put first is last elsewhere
-    kept = each.filter("first >= 2 and first > last").orderBy(F.desc("families"), F.desc("first"), "given").limit(MAX_GIVEN)
-    surnames = each.filter("last >= 2 and last > first and length(given) > 3").select(F.col("given").alias("surname"))
-    return {r.given for r in kept.select("given").toLocalIterator()}, surnames
+    vouched = pairs.filter("first > 0").join(surnames.withColumnRenamed("surname", "family"), "family", "left_semi").select("given").distinct().withColumn("beside", F.lit(True))
+    kept = each.join(vouched, "given", "left").filter("first > last and (first >= 2 or beside)").select("given")
+    return cut(kept), surnames
+
 
+def hidden(instance: F.Column, holdout: float) -> F.Column:
+    """Whether an instance is among the share of those whose seeds are withheld."""
+    return F.pmod(F.xxhash64(instance, F.lit("held out")), F.lit(1000)) < int(1000 * holdout)
 
-def scored(candidates: DataFrame, surnames: DataFrame) -> DataFrame:
-    """`candidates` with `instance_score`, `context_score` (both per type) after ROUNDS over the pattern-instance graph."""
-    open_forms = candidates.filter("form in ('number', 'digits', 'given', 'full', 'initial', 'titled', 'comma', 'cap')")
+
+def scored(candidates: DataFrame, surnames: DataFrame, *, holdout: float = 0.0) -> DataFrame:
+    """`candidates` with what the patterns say: `i_` of the instance and `p_` of the context, per type, after ROUNDS over the graph."""
     # an edge per (form, instance, context); hot instances and contexts are combined before the shuffle
-    number = F.col("form").isin("number", "digits")
-    family = F.when(number, "number").otherwise("name")
-    # numbers are told by the three or two words before them; names by a word on either side, or by the two after them
+    number, reach = F.col("form").isin("number", "digits"), F.col("form").isin("email", "street", "place", "mixed")
+    family = F.when(number, "number").when(reach, "reach").otherwise("name")
+    # numbers and addresses are told by the three or two words before them; names by a word on either side, or by the two after them
     last = lambda n: F.array_join(F.slice(F.split("before", " "), -n, n), " ")
-    near = F.when(number, F.col("before")).otherwise(F.concat_ws(" _ ", last(1), F.element_at(F.split("after", " "), 1)))
-    far = F.when(number, last(2)).otherwise(F.concat_ws(" ", F.lit("_"), "after"))
-    seeded = F.when(~F.col("plain_word") & (F.col("seed") != ""), F.col("seed"))
+    near = F.when(number | reach, F.col("before")).otherwise(F.concat_ws(" _ ", last(1), F.element_at(F.split("after", " "), 1)))
+    far = F.when(number | reach, last(2)).otherwise(F.concat_ws(" ", F.lit("_"), "after"))
+    shaped = ~F.col("plain_word") & (F.col("seed") != "")
+    seeded = F.when(shaped & ~hidden(F.col("instance"), holdout), F.col("seed"))
     edges = cut(
-        open_forms.select(family.alias("family"), "instance", seeded.alias("seed"), F.explode(F.array(F.concat(F.lit("1 "), near), F.concat(F.lit("2 "), far))).alias("pattern"))
+        candidates.select(family.alias("family"), "instance", shaped.alias("shaped"), seeded.alias("seed"), F.explode(F.array(F.concat(F.lit("1 "), near), F.concat(F.lit("2 "), far))).alias("pattern"))
         .groupBy("family", "instance", "pattern")
-        .agg(F.count("*").alias("n"), F.count("seed").alias("n_seed"), F.max("seed").alias("seed"))
+        .agg(F.count("*").alias("n"), F.count_if("shaped").alias("n_shaped"), F.count("seed").alias("n_seed"), F.max("seed").alias("seed"))
     )
     # an instance is a seed where most of its occurrences are, or where a structured column has it as a surname
     instances = edges.groupBy("family", "instance").agg(F.max("seed").alias("seed"), (F.sum("n_seed") / F.sum("n")).alias("share"))
-    known = surnames.select(F.lit("name").alias("family"), F.col("surname").alias("instance"), F.lit("name").alias("is_surname"))
+    known = surnames.select(F.lit("name").alias("family"), F.col("surname").alias("instance"), F.lit("name").alias("is_surname")).filter(~hidden(F.col("instance"), holdout))
     instances = cut(instances.join(known, ["family", "instance"], "left").select("family", "instance", F.coalesce("is_surname", F.when(F.col("share") >= 0.5, F.col("seed"))).alias("seed")))
     types = F.when(F.col("seed").isNotNull(), F.map_from_arrays(F.array("seed"), F.array(F.lit(1.0)))).otherwise(F.create_map().cast("map<string,double>"))
     inst = instances.select("family", "instance", "seed", *[F.coalesce(types[t], F.lit(0.0)).alias(t) for t in TYPES])
     for _ in range(ROUNDS):
-        weighed = edges.select("family", "instance", "pattern", "n").join(inst, ["family", "instance"])
-        # numbers of unknown shape say little against a context; capitalised words that nobody knows say much
-        typed = F.greatest("id_number", "phone", "name")
-        against = F.sum(F.col("n") * F.when(typed > 0, 1.0).when(F.col("family") == "number", 0.1).otherwise(1.0)) + 1
+        weighed = edges.select("family", "instance", "pattern", "n", "n_shaped").join(inst, ["family", "instance"])
+        # numbers, and shapes of a type that nothing vouches for, say little against a context; capitalised words that nobody knows say much
+        unknown = F.col("n_shaped") * 0.1 + (F.col("n") - F.col("n_shaped")) * F.when(F.col("family") == "number", 0.1).otherwise(1.0)
+        against = F.sum(F.when(F.greatest(*TYPES) > 0, F.col("n")).otherwise(unknown)) + 1
         pats = weighed.groupBy("family", "pattern").agg(*[(F.sum(F.col(t) * F.col("n")) / against).alias(f"p_{t}") for t in TYPES])
         pats = cut(pats)
         back = edges.select("family", "instance", "pattern", "n").join(pats, ["family", "pattern"]).groupBy("family", "instance")
@@ -388,42 +464,69 @@ def scored(candidates: DataFrame, surnames: DataFrame) -> DataFrame:
         # a seed keeps its type; other instances take the one type their patterns agree on, once that is sure
         best = F.greatest(*[F.col(f"i_{t}") for t in TYPES])
         agreed = best >= AGREEMENT * sum((F.col(f"i_{t}") for t in TYPES), F.lit(0.0))
-        own = lambda t: F.when(F.col("seed") == t, 1.0).when(F.col("seed").isNotNull(), 0.0).when((F.col(f"i_{t}") >= INSTANCE_SCORE) & (F.col(f"i_{t}") == best) & agreed, F.col(f"i_{t}")).otherwise(0.0)
-        inst = cut(instances.join(seen, ["family", "instance"]).select("family", "instance", "seed", *[own(t).alias(t) for t in TYPES]))
+        told = lambda t: F.when((F.col(f"i_{t}") >= INSTANCE_SCORE) & (F.col(f"i_{t}") == best) & agreed, F.col(f"i_{t}")).otherwise(0.0)
+        own = lambda t: F.when(F.col("seed") == t, 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise(told(t))
+        inst = cut(instances.join(seen, ["family", "instance"]).select("family", "instance", "seed", *[own(t).alias(t) for t in TYPES], *[told(t).alias(f"told_{t}") for t in TYPES]))
     named = candidates.withColumn("family", family).withColumn("near", F.concat(F.lit("1 "), near)).withColumn("far", F.concat(F.lit("2 "), far))
-    scores = inst.select("family", "instance", *[F.col(t).alias(f"i_{t}") for t in TYPES])
+    scores = inst.select("family", "instance", *[F.col(t).alias(f"i_{t}") for t in TYPES], *[F.col(f"told_{t}").alias(f"t_{t}") for t in TYPES])
     one = pats.select("family", F.col("pattern").alias("near"), *[F.col(f"p_{t}").alias(f"near_{t}") for t in TYPES])
     two = pats.select("family", F.col("pattern").alias("far"), *[F.col(f"p_{t}").alias(f"far_{t}") for t in TYPES])
     joined = named.join(scores, ["family", "instance"], "left").join(one, ["family", "near"], "left").join(two, ["family", "far"], "left")
     # of a number's contexts the longer one decides where it is sure; of a name's the better one
-    sure = F.greatest("near_id_number", "near_phone") >= PATTERN_SCORE
+    sure = F.greatest(*[f"near_{t}" for t in TYPES]) >= PATTERN_SCORE
     score = lambda t: F.when(F.col("family") == "name", F.greatest(f"near_{t}", f"far_{t}")).when(sure, F.col(f"near_{t}")).otherwise(F.col(f"far_{t}"))
-    return joined.select(*COLUMNS, *[f"i_{t}" for t in TYPES], *[score(t).alias(f"p_{t}") for t in TYPES])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return joined.select(*COLUMNS, *[zero(F.col(f"{k}_{t}")).alias(f"{k}_{t}") for k in ("i", "t") for t in TYPES], *[zero(score(t)).alias(f"p_{t}") for t in TYPES])
 
 
-def spans(texts: DataFrame, people: DataFrame) -> DataFrame:
-    """(record_kind, record_id, pii_type, start_pos, end_pos) of all personal information. `texts` is (record_kind, record_id, text), `people` (name)."""
+def typed_spans(texts: DataFrame, people: DataFrame, *, holdout: float = 0.0) -> DataFrame:
+    """(record_kind, record_id, pii_type, start_pos, end_pos, decided_by, withheld) of all personal information.
+
+    `texts` is (record_kind, record_id, text), `people` (name). `withheld`: the instance's seed was hidden, so that only patterns count.
+    """
     texts = texts.filter("text is not null and text <> ''")
     common = common_words(texts)
     given, surnames = people_names(people)
-    found = cut(texts.mapInPandas(_candidates(given, common), CANDIDATES))
-    rated = scored(found, surnames)
-    p = lambda t: F.coalesce(F.col(f"p_{t}"), F.lit(0.0))
-    i = lambda t: F.coalesce(F.col(f"i_{t}"), F.lit(0.0))
+    if given.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        found = texts.mapInPandas(_candidates({r.given for r in given.toLocalIterator()}, common), CANDIDATES)
+    else:
+        found = with_given(texts, given).mapInPandas(_candidates(None, common), CANDIDATES)
+    rated = scored(cut(found), surnames, holdout=holdout).withColumn("withheld", (F.col("seed") != "") & hidden(F.col("instance"), holdout))
+    p, i, t = (lambda k, key=key: F.col(f"{key}_{k}") for key in ("p", "i", "t"))
+    form = lambda *f: F.col("form").isin(*f)
+    # what the patterns say: the context where it is sure, else all contexts of the instance
     by_context = F.when((p("id_number") >= PATTERN_SCORE) & (p("id_number") > p("phone")), "id_number").when(p("phone") >= PATTERN_SCORE, "phone")
-    number = F.when(F.col("seed") != "", F.coalesce(by_context, F.col("seed"))).otherwise(by_context)
-    known = F.when(F.col("plain_word"), p("name") >= AMBIGUOUS_CONTEXT).otherwise(p("name") >= NAME_CONTEXT)
-    kind = (
-        F.when(F.col("form") == "email", "email")
-        .when(F.col("form") == "street", "address")
-        .when(F.col("form").isin("number", "digits"), number)
-        .when(F.col("form").isin("full", "titled", "comma"), "name")
-        .when((F.col("form") == "initial") & (i("name") >= INSTANCE_SCORE), "name")
-        .when((F.col("form") == "given") & known, "name")
-        .when((F.col("form") == "cap") & (i("name") >= INSTANCE_SCORE) & (p("name") >= UNKNOWN_CONTEXT), "name")
+    by_instance = F.when(t("id_number") > 0, "id_number").when(t("phone") > 0, "phone")
+    unknown = lambda k: (p(k) >= UNKNOWN_CONTEXT) & (i(k) >= INSTANCE_SCORE)
+    name = F.greatest(p("name"), t("name"))
+    pattern = (
+        F.when(form("number"), F.coalesce(by_context, F.when((F.col("seed") != "") | F.col("withheld"), by_instance)))
+        .when(form("digits"), by_context)
+        .when(form("email") & (F.greatest(p("email"), t("email")) >= PATTERN_SCORE), "email")
+        .when(form("street") & (F.greatest(p("address"), t("address")) >= PATTERN_SCORE), "address")
+        .when(form("place") & unknown("address"), "address")
+        .when(form("mixed") & unknown("email"), "email")
+        .when(form("full", "titled") & (name >= PATTERN_SCORE), "name")
+        .when(form("comma") & (name >= PATTERN_SCORE), "name")
+        .when(form("initial") & (t("name") >= INSTANCE_SCORE), "name")
+        .when(form("given") & F.when(F.col("plain_word"), p("name") >= AMBIGUOUS_CONTEXT).otherwise(name >= PATTERN_SCORE), "name")
+        .when(form("cap") & unknown("name"), "name")
+    )
+    # where the patterns aren't sure: the type of the seed
+    seed = (
+        F.when(form("number", "email", "street") & (F.col("seed") != ""), F.col("seed"))
+        .when(form("full", "titled", "comma") | (form("given") & ~F.col("plain_word")), "name")
+        .when(form("initial") & (i("name") >= INSTANCE_SCORE), "name")
     )
-    start = F.when((F.col("form") == "comma") & (i("name") < INSTANCE_SCORE), F.col("given_pos")).otherwise(F.col("start_pos"))
-    return rated.withColumn("pii_type", kind).filter("pii_type is not null").select("record_kind", "record_id", "pii_type", start.alias("start_pos"), "end_pos")
+    kind = F.coalesce(pattern, F.when(~F.col("withheld"), seed))
+    start = F.when(form("comma") & (i("name") < INSTANCE_SCORE), F.col("given_pos")).otherwise(F.col("start_pos"))
+    typed = rated.withColumn("pii_type", kind).filter("pii_type is not null")
+    return typed.select("record_kind", "record_id", "pii_type", start.alias("start_pos"), "end_pos", F.when(pattern.isNotNull(), "pattern").otherwise("seed").alias("decided_by"), "withheld")
+
+
+def spans(texts: DataFrame, people: DataFrame) -> DataFrame:
+    """(record_kind, record_id, pii_type, start_pos, end_pos) of all personal information."""
+    return typed_spans(texts, people).drop("decided_by", "withheld")
 
 
 def free_texts(notes: DataFrame, segments: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:

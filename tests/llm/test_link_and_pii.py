@@ -179,3 +179,52 @@ def test_rounds_that_do_not_end_are_an_error(spark, monkeypatch):
     edges = spark.createDataFrame([("person", a, b, 0.9, 0, 1) for a, b in zip("abc", "bcd")], "kind string, word string, near string, similarity double, near_v int, near_s long")
     with pytest.raises(RuntimeError):
         link.star_centres(words, edges)
+
+
+def rows_of(df):
+    return sorted((r.record_kind, r.record_id, r.pii_type, r.start_pos, r.end_pos) for r in df.collect())
+
+
+def test_more_given_names_than_are_sent_change_nothing(spark, corpus, monkeypatch):
+    sent = rows_of(pii.spans(*corpus))
+    monkeypatch.setattr(pii, "MAX_SENT", 0)
+    assert rows_of(pii.spans(*corpus)) == sent and len(sent) > 300
+
+
+def test_patterns_find_what_seeds_are_withheld_of(spark, corpus):
+    full = pii.typed_spans(*corpus)
+    assert full.filter("decided_by = 'pattern'").count() >= 0.5 * full.count()
+    rng = random.Random(1)
+    names = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize() for _ in range(40)]
+    said = ["Thanks {n}, that helps.", "I will ask {n} about it.", "{n} said the plan is late.", "call me on {p} today", "my passport is {i} for the badge"]
+    rows = []
+    for k in range(600):
+        text = said[k % 5].format(n=rng.choice(names), p=rng.choice([f"+44 1632 960 {k:03}", f"07700 900{k:03}", f"020/7946{k:04}", f"555.010.0{k:03}"]), i=rng.choice([f"99 {k:03} 111 222", f"123-45-6{k:03}", f"X02 913 {k:03}", f"12345{k:03}Z"]))
+        rows.append(("segment", k, text))
+    texts = spark.createDataFrame(rows, "record_kind string, record_id long, text string")
+    people = spark.createDataFrame([(f"{n} {s}",) for n in names for s in ("Trenbrivatro", "Magbazonjo")], "name string")
+    whole = {(r.record_id, r.start_pos): r.pii_type for r in pii.typed_spans(texts, people).collect()}
+    assert len(whole) == 600
+    held = pii.typed_spans(texts, people, holdout=0.5).collect()
+    withheld = [r for r in held if r.withheld]
+    assert len(withheld) > 150 and all(r.decided_by == "pattern" and whole[r.record_id, r.start_pos] == r.pii_type for r in withheld)
+    assert len(held) >= 0.9 * len(whole)
+
+
+def test_contexts_find_shapes_that_no_seed_has(spark):
+    known = [("segment", i, f"please send it to {10 + i} {w} Street, thanks. mail it over to a{i}@x.example today") for i, w in enumerate(["Harbour", "Mill", "Station", "Church", "Market", "Garden"] * 10)]
+    new = [("segment", 900, "please send it to 12 Harbour Old Parkway, thanks."), ("segment", 901, "please send it to 14 Mill Old Parkway, thanks."), ("segment", 902, "mail it over to jurgen at inbox.example today"), ("segment", 903, "mail it over to ana at inbox.example today"), ("segment", 904, "we ended at 12 Big Apples, maybe")]
+    texts = spark.createDataFrame(known + new, "record_kind string, record_id long, text string")
+    got = {(r.record_id, r.pii_type, r.decided_by) for r in pii.typed_spans(texts, spark.createDataFrame([], "name string")).filter("record_id >= 900").collect()}
+    assert got == {(900, "address", "pattern"), (901, "address", "pattern"), (902, "email", "pattern"), (903, "email", "pattern")}
+
+
+def test_a_name_seen_once_counts_beside_a_known_surname(spark):
+    people = spark.createDataFrame([("Pavel Trenbrivatro",)] * 2 + [("Ola Trenbrivatro",), ("Nikki Alone",)], "name string")
+    given, surnames = pii.people_names(people)
+    assert {r.given for r in given.collect()} == {"pavel", "ola"} and {r.surname for r in surnames.collect()} == {"trenbrivatro"}
+
+
+def test_a_spoken_number_may_end_a_sentence():
+    reader = pii.Reader(set(), {"the", "number", "is"})
+    assert [c[:3] for c in reader.candidates("the number is five five five zero one two.")] == [(14, 41, "digits")]
