@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from notewarp.llm.turns import LANGUAGE_WORDS
-from notewarp.session import cut
+from notewarp.session import cut, cut_counted
 
 #: Words kept as the language's own: at least this share of all its words.
 COMMON_RATE = 1e-4
@@ -41,6 +41,8 @@ KEYWORD_SHARE, KEYWORD_TIMES, KEYWORD_LEAST = 0.012, 4.0, 3
 EXTREME = 2.0
 #: Prose pages that medians and spreads are taken from, if the language has so many: a thinner length is pooled with its neighbours.
 POOLED = 30
+#: Suspects whose ids (some 30 bytes each) are sent to every task; more are joined by a shuffle, with the same result.
+SENT_SUSPECTS = 500_000
 #: Words from which a page has a curve.
 CURVE_WORDS = 8
 
@@ -60,27 +62,35 @@ _TAG = re.compile(r"(?<!\w)#\w+")
 _TOKEN = re.compile(r"[^\W_]+")
 _STRETCH = re.compile(r"\n+|[.!?…]+\s+|\s[»·|/•;>]\s")
 _LANGUAGES = {lang: tuple({*LANGUAGE_WORDS[lang], *words}) for lang, words in SENTENCE_WORDS.items()}
-_BONDS = tuple({w for words in SENTENCE_WORDS.values() for w in words})
-_SURE = frozenset(_BONDS) - OFFER_WORDS - NOUN_WORDS
+_SPOKEN_IN = {w: tuple(lang for lang, words in _LANGUAGES.items() if w in words) for w in {w for words in _LANGUAGES.values() for w in words}}
+_BONDS = frozenset(w for words in SENTENCE_WORDS.values() for w in words)
+_SURE = _BONDS - OFFER_WORDS - NOUN_WORDS
 #: A page counts as prose for the rates with this share, and so many different, of the words that hold sentences together.
 PROSE_SHARE, PROSE_DIFFERENT = 0.08, 5
 #: A word proves a sentence if its rate in prose is so many times its rate on other pages, of all languages and of its own.
 PROOF_TIMES, OWN_PROOF_TIMES = 8.0, 2.0
 
 
-def language(counts: Counter, rates: dict[str, dict[str, float]] | None = None) -> str:
-    """Language whose function words make up most of the page; without any, the one whose `rates` fit best, `?` where there are none."""
-    hits = {lang: sum(counts[w] for w in words) for lang, words in _LANGUAGES.items()}
+def language(counts: Counter, logs: dict[str, dict[str, float]] | None = None) -> str:
+    """Language whose function words make up most of the page; without any, the one whose log rates fit best, `?` where there are none."""
+    hits = dict.fromkeys(_LANGUAGES, 0)
+    for w in counts.keys() & _SPOKEN_IN.keys():
+        for lang in _SPOKEN_IN[w]:
+            hits[lang] += counts[w]
     best = max(hits, key=hits.get)
     if hits[best]:
         return best
-    return min(sorted(rates), key=lambda lang: surprise(counts, rates[lang])) if rates else "?"
+    return min(sorted(logs), key=lambda lang: surprise(counts, logs[lang])) if logs else "?"
 
 
-def surprise(counts: Counter, rates: dict[str, float]) -> float:
+def log_rates(rates: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
+    return {lang: {w: math.log(p) for w, p in own.items()} for lang, own in rates.items()}
+
+
+def surprise(counts: Counter, logs: dict[str, float]) -> float:
     """Mean of -log rate over a page's words; unknown words have a tenth of the least rate."""
-    log, floor = math.log, COMMON_RATE / 10
-    return -sum(n * log(rates.get(w, floor)) for w, n in counts.items()) / max(1, counts.total())
+    floor, get = math.log(COMMON_RATE / 10), logs.get
+    return -sum([n * get(w, floor) for w, n in counts.items()]) / max(1, counts.total())
 
 
 def page_words(text: str) -> Counter:
@@ -89,8 +99,8 @@ def page_words(text: str) -> Counter:
 
 def bonds(counts: Counter) -> tuple[int, int]:
     """How many words of a page hold sentences together, and how many different ones."""
-    hits = [n for w in _BONDS if (n := counts.get(w))]
-    return sum(hits), len(hits)
+    hits = counts.keys() & _BONDS
+    return sum([counts[w] for w in hits]), len(hits)
 
 
 def is_prose(counts: Counter) -> bool:
@@ -102,10 +112,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[tuple[str, bool], Counter] = {}
     for pdf in batches:
         for text in pdf["text"]:
-            counts = page_words(text)
-            into = total.setdefault((language(counts), is_prose(counts)), Counter())
-            for w, n in counts.items():
-                into[w] += n
+            words = _TOKEN.findall(text.lower())
+            counts = Counter(words)
+            total.setdefault((language(counts), is_prose(counts)), Counter()).update(words)
         # a task holds a bounded number of words
         if sum(map(len, total.values())) > 500_000:
             yield _flush(total)
@@ -172,18 +181,19 @@ def overused(counts: Counter, rates: dict[str, float]) -> set[str]:
     return {w for w, n in counts.items() if n >= least and n >= KEYWORD_TIMES * total * rates.get(w, floor)}
 
 
-def page_features(text: str, rates: dict[str, dict[str, float]]) -> tuple[int, str, bool, float, list[int], list[int]]:
+def page_features(text: str, logs: dict[str, dict[str, float]]) -> tuple[int, str, bool, float, list[int], list[int]]:
     """(words, language, whether prose, divergence, distinct frequencies, words of each) of one page."""
     counts = page_words(text)
-    lang = language(counts, rates)
+    lang = language(counts, logs)
     by = sorted(Counter(counts.values()).items(), reverse=True)
-    return counts.total(), lang, is_prose(counts), surprise(counts, rates.get(lang, {})), [f for f, _ in by], [n for _, n in by]
+    return counts.total(), lang, is_prose(counts), surprise(counts, logs.get(lang, {})), [f for f, _ in by], [n for _, n in by]
 
 
 def _features(rates: dict[str, dict[str, float]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        logs = log_rates(rates)
         for pdf in batches:
-            rows = [(d, h, *page_features(t, rates)) for d, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"])]
+            rows = [(d, h, *page_features(t, logs)) for d, h, t in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"])]
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_words", "lang", "prose", "divergence", "freqs", "sizes"])
 
     return run
@@ -266,6 +276,7 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     """doc_id of pages of which more than half is keywords, links, tags or labels."""
     pages = with_texts(documents)
     rates, proof_words = language_rates(pages)
-    suspected = suspects(cut(page_curves(pages, rates))).filter("extreme").select("doc_id", "text_hash", "lang")
-    # only the suspects' texts are joined and read again
+    suspected, n = cut_counted(suspects(cut(page_curves(pages, rates))).filter("extreme").select("doc_id", "text_hash", "lang"))
+    # only the suspects' texts are read again; while they are few, their ids go to the texts, and not the texts to them
+    suspected = F.broadcast(suspected) if n <= SENT_SUSPECTS else suspected
     return pages.join(suspected, ["doc_id", "text_hash"]).mapInPandas(_check(rates, proof_words), "doc_id long").distinct()

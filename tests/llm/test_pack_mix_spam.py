@@ -121,6 +121,13 @@ def test_spam_pages(spark):
     assert spam.spam_pages(docs.filter("text is null or text = ''")).count() == 0
 
 
+def test_many_suspects_are_joined_with_the_same_result(spark, monkeypatch):
+    rows, bad = pages(random.Random(4))
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "x") for i, t in rows], DOC)
+    monkeypatch.setattr(spam, "SENT_SUSPECTS", 0)
+    assert {r.doc_id for r in spam.spam_pages(docs).collect()} == bad
+
+
 def test_curves_equal_a_plain_fit(spark):
     text = "a a a a b b c d the the is to for"
     docs = spark.createDataFrame([(1, text, None, None, 1, "x")], DOC)
@@ -160,7 +167,7 @@ def test_short_pages_count_by_what_they_show(spark):
 
 
 def test_a_page_without_function_words_gets_the_language_it_fits():
-    rates = {"en": {"budget": 0.01, "plan": 0.02}, "de": {"haushalt": 0.01}}
+    rates = spam.log_rates({"en": {"budget": 0.01, "plan": 0.02}, "de": {"haushalt": 0.01}})
     assert spam.language(spam.page_words("budget plan budget"), rates) == "en" and spam.language(spam.page_words("haushalt budge"), rates) == "de" and spam.language(spam.page_words("x"), {}) == "?"
 
 
