@@ -22,6 +22,7 @@ are read whole, and no pattern looks further than a fixed window; positions coun
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,6 +68,7 @@ _AT_SET, _DOT_SET = frozenset(AT.split("|")), frozenset(DOT.split("|"))
 _NUMBER = re.compile(r"(?<![\w.,/+\-])(?:\+\d|\(\d|\d)[\d .()/\-]{5,24}\d(?:-?[A-Z])?(?!\w|[.,/\-]\d)")
 _CODE = re.compile(r"(?<![\w\-])(?:[A-Z]{1,2}\d[A-Z0-9]{6,12}|[A-Z]\d{2}(?: \d{3}){2}|[A-Z]{2}(?: \d{2}){3} [A-Z]|[A-Z]\d{7,8}[A-Z]?)(?![\w\-])")
 _WORDS = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(set(DIGITS), key=len, reverse=True))})(?:[\s,\-]+(?:{'|'.join(sorted(set(DIGITS), key=len, reverse=True))})(?!\w)){{5,24}}", re.I)
+_FILLER_SET = frozenset(FILLERS.split())
 _DIGIT = re.compile(r"\d")
 _DIGIT_SET = frozenset(DIGITS)
 _TITLE_SET = frozenset(NAME_TITLES)
@@ -88,6 +90,7 @@ _PLACES = [
     re.compile(rf"(?<![\w.,/+\-])\d{{1,5}}[A-Za-z]?,?\s(?:{_NAME_WORD}\s){{1,2}}{_NAME_WORD}(?!\w)"),
     re.compile(rf"(?<!\w)(?:{_NAME_WORD}\s){{1,2}}{_NAME_WORD},?\s\d{{1,4}}[a-z]?(?![\w.,/:\-]\w|\w)"),
 ]
+_MAIL = re.compile(r"\S*@\S*")
 _LETTERS_ONLY = re.compile(r"[^\W\d_]+")
 _NAME_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[’'\-](?=[^\W\d_]))*")
 _TOKEN = re.compile(r"[^\W\d_][\w’'\-]*\.?|[.,:;!?()\[\]<>\-–—]|\d[\w.,/\-]*|\S")
@@ -108,15 +111,18 @@ def shape(text: str) -> str:
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", text))
 
 
-def lower_words(text: str) -> set[str]:
-    """The different words of a text in lower case; what a text can't have without certain words isn't looked for."""
-    return set(map(str.lower, _LETTERS_ONLY.findall(text)))
+def lower_words(words: list[str]) -> set[str]:
+    """The different words of a text in lower case, parts of joined ones too; what a text can't have without certain words isn't looked for."""
+    found = set(map(str.lower, words))
+    for joined in [w for w in found if "-" in w]:
+        found.update(joined.split("-"))
+    return found
 
 
 def emails(text: str, words: set[str] | None = None) -> list[tuple[int, int]]:
     """Spans of addresses: written, obscured and spoken."""
     found = []
-    words = lower_words(text) if words is None else words
+    words = lower_words(_NAME_TOKEN.findall(text)) if words is None else words
     for m in _AT_SIGN.finditer(text) if "@" in text or not words.isdisjoint(_AT_SET) else ():
         lo = max(0, m.start() - 100)
         local, domain = _LOCAL.search(text[lo : m.start()]), _DOMAIN.match(text, m.end(), min(len(text), m.end() + 120))
@@ -141,6 +147,7 @@ class Reader:
 
     def __init__(self, given: set[str], common: set[str]) -> None:
         self.given, self.common = given, common
+        self.hesitant = True
         self.memo: dict[str, str] = {}
         self.plainly: dict[str, str] = {}
         self.dull: set[str] = set()
@@ -185,7 +192,8 @@ class Reader:
 
     def context(self, text: str, start: int, end: int) -> tuple[str, str]:
         """The three words or marks before and the two after, in lower case, fillers left out, numbers as `#`."""
-        left = _TOKEN.findall(_HESITATION.sub(" ", text[max(0, start - 60) : start].lower()))
+        window = text[max(0, start - 60) : start].lower()
+        left = _TOKEN.findall(_HESITATION.sub(" ", window) if self.hesitant else window)
         if start > 60 and left and not text[start - 61].isspace():
             left = left[1:]
         right = (_TOKEN.findall(text[end : end + 40].lower()) + ["$", "$"])[:2]
@@ -233,24 +241,24 @@ class Reader:
                     out.append((*m.span(), "mixed", "at", *self.context(text, *m.span()), "", False, -1))
         return out
 
-    def names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple]:
-        if self.dull.issuperset(_NAME_TOKEN.findall(text)):
+    def names(self, text: str, taken: list[tuple[int, int]], spelled: list[str]) -> list[tuple]:
+        dull, begins_nothing = self.dull, self.begins_nothing
+        lively = [i for i, w in enumerate(spelled) if w not in dull and not begins_nothing(w)]
+        if not lively:
             return []
         words = list(_NAME_TOKEN.finditer(text))
-        out, i, n, at, blocked = [], 0, len(words), 0, taken
+        out, upto, n, at, blocked = [], 0, len(words), 0, taken
         given, common, clean = self.given, self.common, self.clean
 
-        while i < n:
+        for i in lively:
+            if i < upto:
+                continue
             m = words[i]
             raw = m.group()
-            if self.begins_nothing(raw):
-                i += 1
-                continue
             s, e = m.span()
             while at < len(blocked) and blocked[at][1] <= s:
                 at += 1
             if at < len(blocked) and blocked[at][0] < e:
-                i += 1
                 continue
             upper, key = raw[0].isupper(), clean(raw)
             plain = raw.lower()
@@ -259,7 +267,7 @@ class Reader:
                 j = i + 1
                 end, j = self.extend(text, words, j)
                 out.append((words[i + 1].start(), end, "titled", clean(words[j - 1].group()), *self.context(text, s, end), "name", False, -1))
-                i = j
+                upto = j
                 continue
             # an initial before a surname
             if len(raw) == 1 and upper and i + 1 < n and text[e : e + 1] == "." and text[e + 1 : words[i + 1].start()].strip(" \xa0") == "" and words[i + 1].start() - e <= 3:
@@ -267,7 +275,7 @@ class Reader:
                 if len(nxt) >= 4 and nxt[0].isupper() and clean(nxt) not in common:
                     end = self.shorten(words[i + 1])
                     out.append((s, end, "initial", clean(nxt), *self.context(text, s, end), "name", False, -1))
-                    i += 2
+                    upto = i + 2
                     continue
             if key in given:
                 end, j = self.extend(text, words, i)
@@ -277,16 +285,14 @@ class Reader:
                 else:
                     form = "given"
                 if form == "given" and not upper and plain in common:
-                    i += 1
                     continue
                 if form == "full" and not upper and j - i > 1 and not words[i + 1].group()[0].isupper() and (clean(words[i + 1].group()) in common or len(words[i + 1].group()) < 5):
-                    i += 1
                     continue
                 # a label before a colon needs no other context
                 if form == "given" and (upper or plain not in common) and re.match(r"\s*:", text[end : end + 2]) and (not text[:s].strip() or text[:s].rstrip(" ").endswith((">>", "[", "\n", ")", "]", "-")) or text[max(0, s - 6) : s].strip()[-2:].isdigit()):
                     ambiguous = False
                 out.append((s, end, form, key if form == "given" else f"{key} *", *self.context(text, s, end), "name", ambiguous and form == "given", -1))
-                i = j
+                upto = j
                 continue
             # a surname before the given name: with a comma, or in a label; where nobody bears that surname the name begins later
             if self.inverted(text, words, i):
@@ -294,11 +300,11 @@ class Reader:
                 label = not text[:s].strip(" >[<\n") or text[:s].rstrip(" ").endswith((">>", "[", "]", "\n", ")", "-"))
                 if label and re.match(r"\s*[:\]]|\s-\s|\s\(", text[given_at.end() : given_at.end() + 3]):
                     out.append((s, given_at.end(), "full", f"{clean(given_at.group())} *", *self.context(text, s, given_at.end()), "name", False, -1))
-                    i += 2
+                    upto = i + 2
                     continue
                 if "," in text[e : given_at.start()] and self.extend(text, words, i + 1)[1] == i + 2:
                     out.append((s, self.shorten(given_at), "comma", key, *self.context(text, s, given_at.end()), "", False, given_at.start()))
-                    i += 2
+                    upto = i + 2
                     continue
             if upper and len(raw) >= 3 and key not in common and plain not in common:
                 end, j = self.shorten(m), i + 1
@@ -306,9 +312,8 @@ class Reader:
                 if len(follows) > 2 and follows[0].isupper() and clean(follows) not in common and clean(follows) not in given and follows.lower() not in _TITLE_SET and not self.inverted(text, words, j):
                     end, j = self.shorten(words[j]), j + 1
                 out.append((s, end, "cap", key, *self.context(text, s, end), "", False, -1))
-                i = j
+                upto = j
                 continue
-            i += 1
         return out
 
     def inverted(self, text: str, words: list[re.Match], i: int) -> bool:
@@ -348,7 +353,9 @@ class Reader:
         return end, j
 
     def candidates(self, text: str) -> list[tuple]:
-        low = lower_words(text)
+        spelled = _NAME_TOKEN.findall(text)
+        low = lower_words(spelled)
+        self.hesitant = not low.isdisjoint(_FILLER_SET)
         mails = emails(text, low)
         out = [(s, e, "email", text[s:e].rpartition("@")[2].strip().lower()[:60] or "email", *self.context(text, s, e), "email", False, -1) for s, e in mails]
         places = self.streets(text, mails, low)
@@ -358,7 +365,7 @@ class Reader:
         taken = sorted(mails + places)
         out += self.numbers(text, taken, low)
         out += self.unseeded(text, taken, low)
-        return out + self.names(text, taken)
+        return out + self.names(text, taken, spelled)
 
 
 def _candidates(given: set[str] | None, common: set[str]):
@@ -388,15 +395,27 @@ def with_given(texts: DataFrame, given: DataFrame) -> DataFrame:
     return hashed.join(here, "h", "left").withColumn("given_here", F.coalesce("given_here", F.array().cast("array<string>"))).drop("h")
 
 
+def _count_lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flush(total: Counter, size: int) -> pd.DataFrame:
+        rows = [(w, n) for w, n in total.items() if w[0].islower() or len(w) < 3]
+        return pd.DataFrame([*rows, ("\u0000", size)], columns=["word", "n"])
+
+    total, size = Counter(), 0
+    for pdf in batches:
+        for text in pdf["text"]:
+            total.update(_NAME_TOKEN.findall(_MAIL.sub(" ", text) if "@" in text else text))
+            size += 1 + len(text) // 6
+        if len(total) > 500_000:
+            yield flush(total, size)
+            total, size = Counter(), 0
+    yield flush(total, size)
+
+
 def common_words(texts: DataFrame) -> set[str]:
-    """Words that stand in lower case at COMMON_RATE or more, over all texts; at most 1 / COMMON_RATE of them. Counted inside the JVM."""
-    bare = F.regexp_replace("text", r"\S*@\S*", " ")
-    # character classes only: a group repeated over a very long text would exhaust the matcher's stack
-    words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(r"([\p{L}'’\-]+)"), F.lit(1))).alias("word")).select(F.btrim("word", F.lit("'’-")).alias("word"))
-    first = F.substring("word", 1, 1)
-    lower = words.filter("word <> ''").filter((F.lower(first) == first) | (F.char_length("word") < 3)).groupBy("word").agg(F.count("*").alias("n"))
-    total = texts.agg(F.sum(F.expr("1 + char_length(text) div 6"))).first()[0] or 1
-    kept = lower.filter(F.col("n") >= F.lit(total * COMMON_RATE)).select("word").toLocalIterator()
+    """Words that stand in lower case at COMMON_RATE or more, over all texts; at most 1 / COMMON_RATE of them."""
+    counts = cut(texts.select("text").mapInPandas(_count_lower, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.filter(F.col("word") == "\u0000").agg(F.sum("n")).first()[0] or 1
+    kept = counts.filter(F.col("n") >= F.lit(total * COMMON_RATE)).filter(F.col("word") != "\u0000").select("word").toLocalIterator()
     return {w for r in kept for w in (r.word.lower(), folded(r.word))}
 
 
