@@ -90,6 +90,14 @@ def entity_detail(entities: DataFrame, aliases: DataFrame, identifiers: DataFram
     return one.join(names, "entity_id", "left").join(ids, "entity_id", "left").join(facts, "entity_id", "left")
 
 
+def panel(edges: DataFrame, nodes: DataFrame, entity_id: str) -> DataFrame:
+    """(relation, direction, other_id, other_name): the edges at one entity with who is at their other end, `Unknown` where nobody is."""
+    here = hops(edges.filter("is_active") if "is_active" in edges.columns else edges).filter(F.col("here") == entity_id)
+    names = nodes.select(F.col("entity_id").alias("there"), "canonical_name")
+    shown = here.join(names, "there", "left").select("relation", "direction", F.col("there").alias("other_id"), F.coalesce("canonical_name", F.lit("Unknown")).alias("other_name"))
+    return shown.distinct().orderBy("relation", "direction", "other_name", "other_id")
+
+
 def overview(entities: DataFrame, edges: DataFrame, *, nodes: int = OVERVIEW_NODES) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the most recent active entities and the active edges between them; `nodes` has `truncated`."""
     chosen = entities.filter("status = 'active'").orderBy(F.desc("updated_at"), "entity_id").limit(nodes).select(F.col("entity_id").alias("id"), F.col("canonical_name").alias("name"), F.col("type_key").alias("type"))

@@ -69,6 +69,22 @@ def not_processing(queue: DataFrame, outcome: DataFrame) -> DataFrame:
     return outcome.select("note_id").distinct().join(queue.filter("state = 'processing'"), "note_id", "left_anti")
 
 
+def settle(queue: DataFrame, outcome: DataFrame, *, now=None) -> DataFrame:
+    """`finish`, but an outcome of a row that isn't processing, or isn't there, is an error."""
+    bad = [r.note_id for r in not_processing(queue, outcome).limit(5).collect()]
+    if bad:
+        raise ValueError(f"not being processed: {', '.join(map(str, bad))}")
+    return finish(queue, outcome, now=now)
+
+
+def begin(state: DataFrame, source: str, *, now=None) -> DataFrame:
+    """sync_state when a pass begins: its start is noted, mark and last error stay."""
+    now = F.current_timestamp() if now is None else F.lit(now)
+    spark = state.sparkSession
+    new = spark.createDataFrame([(source,)], "source_key string").withColumn("last_started_at", now.cast("timestamp"))
+    return upsert(state, new, ["source_key"]).select("source_key", F.col("watermark").cast("timestamp").alias("watermark"), "last_started_at", F.col("last_completed_at").cast("timestamp").alias("last_completed_at"), "last_error")
+
+
 def recover(queue: DataFrame) -> DataFrame:
     """Interrupted rows wait again."""
     return queue.withColumn("state", F.when(F.col("state") == "processing", "pending").otherwise(F.col("state")))
@@ -91,7 +107,7 @@ def counts(queue: DataFrame) -> DataFrame:
 
 def skippable(claimed: DataFrame, notes: DataFrame) -> DataFrame:
     """Claimed notes whose content was processed before and isn't forced."""
-    same = notes.filter(F.col("processed_hash").eqNullSafe(F.col("content_hash"))).select("note_id")
+    same = notes.filter(F.col("processed_hash") == F.col("content_hash")).select("note_id")
     return claimed.filter(~F.col("force_reprocess")).join(same, "note_id", "left_semi")
 
 

@@ -6,5 +6,10 @@ def note(i):
 
 
 def service(path, params):
+    if path == "/folders":
+        return 200, {}, {"folders": [{"id": "fol_0", "object": "folder", "name": "A"}, {"id": "fol_1", "name": "B", "parent_folder_id": "fol_0"}], "hasMore": False}
+    if path.startswith("/notes/"):
+        known = path.removeprefix("/notes/") in {f"not_{i}" for i in range(4)}
+        return (200, {}, note(int(path[-1]))) if known else (404, {}, {})
     at = int(params.get("cursor") or 0)
     return 200, {}, {"notes": [note(at), note(at + 1)], "hasMore": at == 0, "cursor": "2" if at == 0 else None}

@@ -32,7 +32,7 @@ def test_engine_end_to_end(spark, tmp_path):
         ev = [e["evidence_id"] for e in json.loads(evidence)]
         return json.dumps(
             {
-                "ontology": {"entity_types": [], "relation_types": []},
+                "ontology": {"entity_types": [{"key": "person", "display_name": "Person", "description": "A person", "identity_scope": "global", "fields": [{"key": "role", "display_name": "Role", "description": "", "data_type": "string", "is_identifier": False}]}], "relation_types": []},
                 "entities": [
                     {"local_id": "p", "type_key": "person", "name": "Alex Choi", "identifiers": [{"field_key": "email", "value": "alex@x"}], "evidence_ids": ev, "properties": [{"field_key": "role", "value": "Approver", "evidence_ids": ev, "confidence": 0.9}]},
                     {"local_id": "m", "type_key": "meeting", "name": title, "identifiers": [], "evidence_ids": ev, "properties": []},
@@ -41,7 +41,10 @@ def test_engine_end_to_end(spark, tmp_path):
             }
         )
 
-    assert engine.process(details, model) == {"completed": 1, "skipped": 0, "failed": 2}
+    assert engine.process(details, model, max_attempts=2) == {"completed": 1, "skipped": 0, "failed": 2}
+    assert {r.note_id: r.attempts for r in engine.table("queue").collect()} == {"not_1": 1, "not_2": 2, "not_3": 2}
+    assert engine.table("extraction_runs").select("note_id", "state", "prompt_version", "input_tokens").collect() == [("not_1", "complete", "v1", 0)]
+    assert engine.table("ontology_revisions").count() == 2 and engine.table("entity_identifiers").filter("normalized_value = 'alex@x'").count() == 1
     assert engine.table("evidence").filter("note_id = 'not_2'").count() == 1  # evidence survives a failed extraction
     status = engine.status()
     assert (status["complete"], status["failed"], status["watermark"]) == (1, 2, T)
@@ -51,6 +54,8 @@ def test_engine_end_to_end(spark, tmp_path):
     walk = engine.traverse(person, depth=99).collect()
     assert [(r.relation_key, r.direction, r.depth) for r in walk] == [("attended", "outgoing", 1)]
     detail = engine.entity(person).first()
+    assert [(r.relation, r.other_name) for r in engine.panel(person).collect()] == [("attended", "Quarterly budget")]
+    assert engine.record(person).first().status == "active" and [(i.field_key, i.raw_value) for i in detail.identifiers] == [("email", "alex@x")]
     assert detail.aliases == ["Alex Choi"] and detail.properties[0].citation.note_title == "Quarterly budget"
     assert engine.evidence(detail.properties[0].citation.evidence_id).count() == 1
     n_edges = engine.table("edges").count()
@@ -118,10 +123,45 @@ def test_data_source(spark):
 def test_strict_json(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('{"id": "a", "n": 1}\n')
-    assert paged.strict_json(spark, str(path), "id string, n int", allowed={"id", "n"}).collect() == [("a", 1)]
+    assert paged.strict_json(spark, str(path), "id string, n int").collect() == [("a", 1)]
     path.write_text('{"id": "a", "more": 1}\n')
     with pytest.raises(Exception):
-        paged.strict_json(spark, str(path), "id string", allowed={"id"}).collect()
+        paged.strict_json(spark, str(path), "id string").collect()
+
+
+def test_strict_json_looks_inside(spark, tmp_path):
+    path, schema = tmp_path / "y.jsonl", "id string, owner struct<email:string>, items array<struct<a:int>>"
+    path.write_text('{"id": "a", "owner": {"email": "x"}, "items": [{"a": 1}, {}]}\n{"id": "b"}\n')
+    assert [r.id for r in paged.strict_json(spark, str(path), schema).collect()] == ["a", "b"]
+    for bad in ('{"id": "a", "owner": {"email": "x", "more": 1}}', '{"id": "a", "items": [{"a": 1, "b": 2}]}', "{", "[]"):
+        path.write_text(bad + "\n")
+        with pytest.raises(Exception):
+            paged.strict_json(spark, str(path), schema).collect()
+
+
+def test_steps_after_an_attempt():
+    step = paged.next_step
+    assert step((200, {}, {"a": 1}), 0, 4).answer == {"a": 1} and step((404, {}, {}), 0, 4).fault == "status 404"
+    assert step((503, {}, {}), 3, 4).wait == 8.0 and step((503, {}, {}), 9, 10).wait == 30.0 and step((503, {"Retry-After": "-2"}, {}), 0, 4).wait == 0.0
+    assert step((503, {"Retry-After": "soon"}, {}), 1, 4).wait == 2.0 and step((503, {}, {}), 4, 4).fault == "status 503" and step(OSError("gone"), 4, 4).fault == "gone"
+    at = dt.datetime(2026, 1, 2, 3, 4, 5, tzinfo=dt.timezone(dt.timedelta(hours=2)))
+    assert paged.utc(at) == "2026-01-02T01:04:05Z" and paged.utc(at.replace(microsecond=7)) == "2026-01-02T01:04:05.000007Z"
+
+
+def test_filters_and_folders_reach_the_service(spark):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    reader = paged.NoteFeedReader({"transport": "tests.paged_service:service"})
+    at = dt.datetime(2026, 1, 2, tzinfo=dt.timezone.utc)
+    asked = [GreaterThan(("updated_at",), at), LessThanOrEqual(("created_at",), at), EqualTo(("id",), "x")]
+    assert list(reader.pushFilters(asked)) == asked
+    assert reader.params == {"updated_after": "2026-01-02T00:00:00Z", "created_before": "2026-01-02T00:00:00.000001Z"}
+    paged.register(spark)
+    source = lambda f: spark.read.format(f).option("transport", "tests.paged_service:service").option("rate", "1000000").load()
+    assert source("note_feed").filter("updated_at > timestamp '2020-01-01'").count() == 4
+    assert {(r.id, r.parent_folder_id) for r in source("folder_feed").collect()} == {("fol_0", None), ("fol_1", "fol_0")}
+    got = {r.id: (r.body, r.error) for r in paged.with_details(spark.createDataFrame([("not_1",), ("bad",), ("not_9",)], "id string"), "tests.paged_service:service", rate=1e6).collect()}
+    assert json.loads(got["not_1"][0])["id"] == "not_1" and got["bad"][0] is None and got["not_9"][1] == "status 404"
 
 
 def test_command_line(spark, tmp_path, capsys):
