@@ -92,3 +92,8 @@ def circle_layout(index: Column, count: Column) -> tuple[Column, Column]:
     angle = index * F.lit(2.399963)
     radius = F.lit(55) + F.lit(265) * F.sqrt((index + 1) / count)
     return radius * F.cos(angle), radius * F.sin(angle)
+
+
+def json_items(text: Column) -> Column:
+    """The strings of a JSON list; an empty array where it is null or no list."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

@@ -203,8 +203,8 @@ def apply(graph: dict[str, DataFrame], parsed: DataFrame, evidence: DataFrame, n
         "name": F.when(is_meeting, F.col("note_title")).otherwise(F.col("name")),
         "identifiers": F.when(is_meeting, F.array(F.struct(F.lit("note_id").alias("field_key"), F.col("note_id").alias("value")))).otherwise(F.col("identifiers")),
         "scope_note_id": F.when(F.col("identity_scope") == "note", F.col("note_id")),
-        # notes in the order of their ids' hashes, entities in their own; a note has fewer than 2^20
-        "candidate_no": F.pmod(F.xxhash64("note_id"), F.lit(2**42)) * 2**20 + F.col("at"),
+        # candidates are in the order of note and place
+        "candidate_no": F.concat_ws("\u0001", "note_id", F.lpad(F.col("at").cast("string"), 9, "0")),
     })
     rows = cut(rows)
     wrong_scope = rows.select("note_id", "candidate_no").join(scope_errors(rows.select("candidate_no", "type_key", "scope_note_id"), onto["entity_types"]), "candidate_no").select("note_id", "error")

@@ -29,11 +29,14 @@ def seed(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
-def canonical_keys(keys: DataFrame, types: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(type_key, canonical): a stored alias first, then the first member of its group that exists, else the key itself."""
+def canonical_keys(keys: DataFrame, types: DataFrame, aliases: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """(type_key, canonical): a stored alias first, then the first member of its group that exists, then the first one `proposed`, else the key."""
     spark = keys.sparkSession
     groups = spark.createDataFrame([(k, m, i) for g in EQUIVALENT for k in g for i, m in enumerate(g)], "type_key string, member string, at int")
-    existing = groups.join(types.select(F.col("type_key").alias("member")).distinct(), "member").groupBy("type_key").agg(F.min_by("member", "at").alias("group_key"))
+    members = types.select(F.col("type_key").alias("member"), F.lit(0).alias("late"))
+    if proposed is not None:
+        members = members.unionByName(proposed.select(F.col("type_key").alias("member"), F.lit(1).alias("late")))
+    existing = groups.join(members.distinct(), "member").groupBy("type_key").agg(F.min_by("member", F.struct("late", "at")).alias("group_key"))
     stored = aliases.groupBy(F.col("alias_key").alias("type_key")).agg(F.min("canonical_type_key").alias("stored"))
     joined = keys.select("type_key").distinct().join(stored, "type_key", "left").join(existing, "type_key", "left")
     return joined.select("type_key", F.coalesce("stored", "group_key", "type_key").alias("canonical"))
@@ -46,7 +49,7 @@ def evolve(ontology: dict[str, DataFrame], proposed: dict[str, DataFrame], revis
     endpoints stay. A type that is equivalent to a known one becomes its alias and only gives fields; endpoints are rewritten.
     """
     types, aliases = ontology["entity_types"], ontology["entity_type_aliases"]
-    names = canonical_keys(proposed["entity_types"], types, aliases)
+    names = canonical_keys(proposed["entity_types"], types, aliases, proposed["entity_types"])
     # of two proposed members of a group the first one known or proposed stands for both
     mapped = proposed["entity_types"].join(names, "type_key")
     new_aliases = mapped.filter("type_key <> canonical").select(F.col("type_key").alias("alias_key"), F.col("canonical").alias("canonical_type_key"), F.lit(revision).alias("created_revision"))

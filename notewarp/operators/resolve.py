@@ -77,7 +77,7 @@ def roots(parents: DataFrame) -> DataFrame:
 def resolve(candidates: DataFrame, known: dict[str, DataFrame] | None = None, *, meeting_prefix: str = MEETING_PREFIX) -> DataFrame:
     """(candidate_no, entity_id, match_source).
 
-    `candidates` is (candidate_no, type_key, name, note_id?, scope_note_id?, identifiers array<struct<field_key,value>>); `known` has the
+    `candidates` is (candidate_no of any type with an order, type_key, name, note_id?, scope_note_id?, identifiers array<struct<field_key,value>>); `known` has the
     stored tables `entities`, `entity_aliases` and `entity_identifiers`, none where nothing is stored.
     """
     spark = candidates.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewarp.operators.graph import citations, entity_detail, hops, overview, traverse
+from notewarp.operators.graph import citations, entity_detail, hops, overview, panel, traverse
 from notewarp.session import table
 
 
@@ -74,15 +74,20 @@ def hop_degrees(spark: SparkSession, root: str) -> DataFrame:
     return hops(edges(spark, root).filter("is_active")).groupBy("relation", "direction").agg(F.count("*").alias("n"))
 
 
+def relation_panel(spark: SparkSession, root: str) -> DataFrame:
+    """Who is at the other end of the relations of nation 7."""
+    return panel(edges(spark, root), nodes(spark, root), "nation:7")
+
+
 def overview_nodes(spark: SparkSession, root: str) -> DataFrame:
     """The most recent active entities."""
     return overview(nodes(spark, root), edges(spark, root))[0]
 
 
 def overview_edges(spark: SparkSession, root: str) -> DataFrame:
-    """Active edges among them."""
-    n = nodes(spark, root).filter("type_key in ('region', 'nation', 'supplier')")
-    return overview(n, edges(spark, root))[1]
+    """Active edges among the most recent entities, where places and suppliers were stored last."""
+    late = F.when(F.col("type_key").isin("region", "nation", "supplier"), F.lit("2027-01-01").cast("timestamp")).otherwise(F.col("updated_at"))
+    return overview(nodes(spark, root).withColumn("updated_at", late), edges(spark, root))[1]
 
 
 def part_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -128,6 +133,7 @@ QUERIES = {
     "traverse_nation": traverse_nation,
     "traverse_customer": traverse_customer,
     "hop_degrees": hop_degrees,
+    "relation_panel": relation_panel,
     "overview_nodes": overview_nodes,
     "overview_edges": overview_edges,
     "entity_detail": part_detail,
@@ -174,8 +180,9 @@ ORACLE = {
     "traverse_nation": _traverse_sql("nation:7", 2),
     "traverse_customer": _traverse_sql("customer:12", 3),
     "hop_degrees": f"WITH {EDGES} SELECT relation, direction, count(*) AS n FROM hop GROUP BY 1, 2",
+    "relation_panel": f"WITH {NODES}, {EDGES} SELECT DISTINCT relation, direction, there AS other_id, coalesce(canonical_name, 'Unknown') AS other_name FROM hop LEFT JOIN nodes ON entity_id = there WHERE here = 'nation:7'",
     "overview_nodes": f"WITH {NODES}, c AS (SELECT entity_id AS id, canonical_name AS name, type_key AS type FROM nodes WHERE status = 'active' ORDER BY updated_at DESC, entity_id LIMIT 300) SELECT id, name, type, (SELECT count(*) >= 300 FROM c) AS truncated FROM c",
-    "overview_edges": f"WITH {NODES}, {EDGES}, c AS (SELECT entity_id FROM nodes WHERE type_key IN ('region', 'nation', 'supplier') ORDER BY updated_at DESC, entity_id LIMIT 300) SELECT source, relation, target, ev AS evidence_id FROM edges WHERE is_active AND source IN (SELECT * FROM c) AND target IN (SELECT * FROM c)",
+    "overview_edges": f"WITH {NODES}, {EDGES}, c AS (SELECT entity_id FROM nodes WHERE status = 'active' ORDER BY CASE WHEN type_key IN ('region', 'nation', 'supplier') THEN TIMESTAMP '2027-01-01' ELSE updated_at END DESC, entity_id LIMIT 300) SELECT source, relation, target, ev AS evidence_id FROM edges WHERE is_active AND source IN (SELECT * FROM c) AND target IN (SELECT * FROM c)",
     "entity_detail": f"""WITH {_PART},
 f AS (SELECT p_partkey, unnest(['brand', 'type', 'size']) AS field_key, unnest(['{{"v":"' || p_brand || '"}}', '{{"v":"' || p_type || '"}}', '{{"v":' || p_size || '}}']) AS v FROM part WHERE p_partkey = 5)
 SELECT 'part:5' AS entity_id, 'part' AS type_key, p_name AS canonical_name, p_name AS aliases, 'partkey=5' AS identifiers,

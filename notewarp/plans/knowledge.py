@@ -41,9 +41,9 @@ def attendees(spark: SparkSession, root: str) -> DataFrame:
 
 
 def first_summary(spark: SparkSession, root: str) -> DataFrame:
-    """First active summary of each note, cut to 80 characters."""
+    """First active summary of each note."""
     e = evidence(spark, root).filter("unit_kind = 'summary' and is_active")
-    return e.groupBy("note_id").agg(F.min_by("content", F.struct("unit_index", "evidence_id")).alias("content")).select("note_id", F.substring("content", 1, 80).alias("summary"))
+    return e.groupBy("note_id").agg(F.min_by("content", F.struct("unit_index", "evidence_id")).alias("content")).withColumnRenamed("content", "summary")
 
 
 def evidence_refreshed(spark: SparkSession, root: str) -> DataFrame:
@@ -55,9 +55,9 @@ def evidence_refreshed(spark: SparkSession, root: str) -> DataFrame:
 
 
 def context(spark: SparkSession, root: str) -> DataFrame:
-    """What is shown of every note within 3000 characters; sizes instead of texts."""
+    """What is shown of every note within the budget of characters; sizes instead of texts."""
     notes = current_notes(table(spark, root, "notes")).select(F.col("id").alias("note_id"), "title")
-    got = evidence_context(evidence(spark, root), notes, budget=3000)
+    got = evidence_context(evidence(spark, root), notes)
     return got.select("note_id", "place", "evidence_id", F.char_length("content").cast("long").alias("size"))
 
 
@@ -70,18 +70,34 @@ def _types(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return types, fields
 
 
+_CONTEXT = "Company strategy: an organisation and its topic"
+
+
+def _relations(spark: SparkSession, root: str) -> DataFrame:
+    """A relation from persons to every other type, and one from every type to itself."""
+    types, _ = _types(spark, root)
+    to = types.select(F.concat(F.lit("of_"), F.col("type_key")).alias("relation_key"), F.lit("person").alias("source_type_key"), F.col("type_key").alias("target_type_key"))
+    same = types.select(F.concat(F.lit("like_"), F.col("type_key")).alias("relation_key"), F.col("type_key").alias("source_type_key"), F.col("type_key").alias("target_type_key"))
+    return to.unionByName(same).select("relation_key", F.lit("").alias("display_name"), F.lit("").alias("description"), "source_type_key", "target_type_key", F.lit(True).alias("is_directed"), F.lit(1).alias("created_revision"))
+
+
 def ontology_rows(spark: SparkSession, root: str) -> DataFrame:
     """Types with their fields, seeds first, then by the words shared with a context."""
     types, fields = _types(spark, root)
-    shown, _ = ontology_context(types, fields, spark.createDataFrame([], O.RELATIONS), "Company strategy: an organisation and its topic", rows=8)
+    shown, _ = ontology_context(types, fields, _relations(spark, root), _CONTEXT)
     return shown.select("type_key", "field_key", "is_seed", F.col("shared").cast("long").alias("shared"))
 
 
+def ontology_relations(spark: SparkSession, root: str) -> DataFrame:
+    """Relations between types that are shown when only six rows of types are."""
+    types, fields = _types(spark, root)
+    return ontology_context(types, fields, _relations(spark, root), _CONTEXT, rows=6)[1].select("relation_key", "source_type_key", "target_type_key")
+
+
 def type_equivalence(spark: SparkSession, root: str) -> DataFrame:
-    """Canonical key of every type key when only the first of a group and those outside groups exist."""
+    """Canonical key of every type key when those of the graph exist."""
     types, _ = _types(spark, root)
-    some = types.filter("type_key in ('organization', 'project', 'topic', 'person', 'meeting')")
-    return O.canonical_keys(types, some, spark.createDataFrame([], O.ALIASES))
+    return O.canonical_keys(types, types, spark.createDataFrame([], O.ALIASES))
 
 
 def missing_evidence(spark: SparkSession, root: str) -> DataFrame:
@@ -92,17 +108,22 @@ def missing_evidence(spark: SparkSession, root: str) -> DataFrame:
 
 
 def undeclared_fields(spark: SparkSession, root: str) -> DataFrame:
-    """Identifier fields of extracted entities that no entity of the type declares."""
+    """Identifier fields of extracted entities that the seed of the ontology doesn't declare."""
     used = table(spark, root, "extracted_entities").select("type_key", F.explode("identifiers.field_key").alias("field_key"))
-    return O.undeclared_fields(used, _types(spark, root)[1].filter("type_key in ('person', 'company')"), identifiers=True)
+    return O.undeclared_fields(used, O.seed(spark)["field_definitions"], identifiers=True)
 
 
 def wrong_endpoints(spark: SparkSession, root: str) -> DataFrame:
-    """`attended` relations whose source isn't a person."""
-    x = table(spark, root, "extracted_entities").select(F.concat(F.lit("x:"), F.col("record_id").cast("string")).alias("entity_id"), "type_key", "note_id")
-    relations = x.select(F.col("entity_id").alias("source"), F.lit("attended").alias("relation_key"), F.col("note_id").alias("target"))
+    """Relations between other types than declared: everybody `attended` the note's meeting, every company of a note `employs` its persons,
+    and its first person `knows` the rest, which isn't declared."""
+    x = table(spark, root, "extracted_entities").select(F.concat(F.lit("x:"), F.col("record_id").cast("string")).alias("entity_id"), "record_id", "type_key", "note_id")
+    first = x.groupBy("note_id").agg(F.min_by("entity_id", "record_id").alias("first"))
+    attended = x.select(F.col("entity_id").alias("source"), F.lit("attended").alias("relation_key"), F.col("note_id").alias("target"))
+    employs = x.join(first, "note_id").select(F.col("first").alias("source"), F.lit("employs").alias("relation_key"), F.col("entity_id").alias("target"))
+    knows = x.join(first, "note_id").filter("type_key = 'person'").select(F.col("entity_id").alias("source"), F.lit("knows").alias("relation_key"), F.col("first").alias("target"))
     ends = x.select("entity_id", "type_key").unionByName(x.select(F.col("note_id").alias("entity_id"), F.lit("meeting").alias("type_key")).distinct())
-    return O.wrong_endpoints(relations, ends, spark.createDataFrame(O.SEED_RELATIONS, O.RELATIONS))
+    declared = spark.createDataFrame([*O.SEED_RELATIONS, ("employs", "employs", "", "company", "person", True, 1)], O.RELATIONS)
+    return O.wrong_endpoints(attended.unionByName(employs).unionByName(knows), ends, declared)
 
 
 def identifier_matches(spark: SparkSession, root: str) -> DataFrame:
@@ -195,21 +216,21 @@ def queue_claimable(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queue_claimed(spark: SparkSession, root: str) -> DataFrame:
-    """States and attempts after everything claimable was claimed."""
+    """State and attempts of every note after everything claimable was claimed."""
     q, _ = Q.claim(queue_state(spark, root), now=_AT)
-    return q.groupBy("state", "attempts").agg(F.count("*").alias("n"))
+    return q.select("note_id", "state", "attempts")
 
 
 def queue_recovered(spark: SparkSession, root: str) -> DataFrame:
-    """States after interrupted rows were recovered."""
-    return Q.recover(queue_state(spark, root)).groupBy("state").agg(F.count("*").alias("n"))
+    """State of every note after interrupted rows were recovered."""
+    return Q.recover(queue_state(spark, root)).select("note_id", "state")
 
 
 def queue_reprocessed(spark: SparkSession, root: str) -> DataFrame:
-    """States after the notes of the feed's last day were queued again."""
+    """State of every note after those with a version since the mark were queued again."""
     feed = table(spark, root, "note_feed")
     last = feed.filter("id is not null").groupBy(F.col("id").alias("note_id")).agg(F.max("updated_at").alias("at")).filter("at >= timestamp_ntz '2026-07-15 09:00:00'")
-    return Q.reprocess(queue_state(spark, root), last).groupBy("state", "attempts", "force_reprocess").agg(F.count("*").alias("n"))
+    return Q.reprocess(queue_state(spark, root), last).select("note_id", "state", "attempts", "force_reprocess")
 
 
 def queue_discovered(spark: SparkSession, root: str) -> DataFrame:
@@ -237,10 +258,10 @@ def notes_upserted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def notes_hidden(spark: SparkSession, root: str) -> DataFrame:
-    """Notes by visibility after a full listing that lacks those whose newest feed row has no title."""
+    """Visibility of every note after a full listing that lacks those whose newest feed row has no title."""
     notes = flat_notes(current_notes(table(spark, root, "notes"))).select("note_id", "visibility")
     feed = table(spark, root, "note_feed").groupBy(F.col("id").alias("note_id")).agg(F.max_by("title", F.struct("updated_at", "feed_seq")).alias("title")).filter("title is not null")
-    return hide_missing(notes, feed).groupBy("visibility").agg(F.count("*").alias("n"))
+    return hide_missing(notes, feed)
 
 
 def facts_retired(spark: SparkSession, root: str) -> DataFrame:
@@ -253,8 +274,8 @@ def facts_retired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def changed_notes(spark: SparkSession, root: str) -> DataFrame:
-    """Notes of the feed that are unseen or newer than the stored row."""
-    stored = current_notes(table(spark, root, "notes")).select(F.col("id").alias("note_id"), F.col("updated_at").alias("known"))
+    """Notes of the feed that are unseen or newer than the row that was stored first."""
+    stored = table(spark, root, "notes").groupBy(F.col("id").alias("note_id")).agg(F.min("updated_at").alias("known"))
     feed = table(spark, root, "note_feed").groupBy(F.col("id").alias("note_id")).agg(F.max("updated_at").alias("newest"))
     kind = F.when(F.col("known").isNull(), "unseen").otherwise("newer")
     return feed.join(stored, "note_id", "left").filter("known is null or known < newest").select("note_id", kind.alias("change"))
@@ -308,15 +329,10 @@ def type_list(spark: SparkSession, root: str) -> DataFrame:
     return types.join(n, "type_key", "left").join(f, "type_key", "left").select("type_key", F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("fields", F.lit(0)).alias("fields"))
 
 
-def next_revision(spark: SparkSession, root: str) -> DataFrame:
-    """The revision after the greatest."""
-    return O.next_revision(table(spark, root, "entities").select(F.col("record_id").alias("revision"))).select(F.col("revision").cast("long"))
-
-
 _NAMES = (
-    "evidence_units notes_flat attendees first_summary evidence_refreshed context ontology_rows type_equivalence missing_evidence undeclared_fields wrong_endpoints identifier_matches name_matches resolved resolved_new "
+    "evidence_units notes_flat attendees first_summary evidence_refreshed context ontology_rows ontology_relations type_equivalence missing_evidence undeclared_fields wrong_endpoints identifier_matches name_matches resolved resolved_new "
     "alias_lists aliases_inserted duplicate_keys queue_counts ingestion_status queue_claimable queue_claimed queue_recovered queue_reprocessed queue_discovered feed_after_mark notes_upserted notes_hidden "
-    "facts_retired changed_notes sync_report identities normal_forms graph_layout filtered_nodes type_list next_revision"
+    "facts_retired changed_notes sync_report identities normal_forms graph_layout filtered_nodes type_list"
 ).split()
 QUERIES = {("evidence_context" if n == "context" else n): globals()[n] for n in _NAMES}
 
@@ -341,21 +357,28 @@ ORACLE = {
     "evidence_units": f"WITH {_N}, {_E} SELECT evidence_id, note_id, unit_kind, unit_index, content_hash FROM ev",
     "notes_flat": f"WITH {_N} SELECT id AS note_id, x.title AS title, x.oname AS owner_name, x.oemail AS owner_email, x.cal AS calendar_event_id, epoch_us(x.u) AS updated_us, array_to_string(list_transform(x.f, lambda f: f.id), ',') AS folder_ids FROM n0",
     "attendees": f"WITH {_N}, a AS (SELECT id, unnest(range(len(x.a))) AS place, unnest(x.a) AS a FROM n0) SELECT id AS note_id, place, a.name AS name, a.email AS email FROM a WHERE trim(a.name) <> ''",
-    "first_summary": f"WITH {_N}, {_E} SELECT note_id, substr(arg_min(content, (unit_index, evidence_id)), 1, 80) AS summary FROM ev WHERE unit_kind = 'summary' GROUP BY 1",
+    "first_summary": f"WITH {_N}, {_E} SELECT note_id, arg_min(content, (unit_index, evidence_id)) AS summary FROM ev WHERE unit_kind = 'summary' GROUP BY 1",
     "evidence_refreshed": f"""WITH {_N}, {_E}, o0 AS (SELECT DISTINCT id AS note_id, {_STRIP.format('summary_text')} AS content FROM notes), o AS (SELECT *, sha256(content) AS h FROM o0 WHERE content <> ''),
 o2 AS (SELECT 'ev_' || substr(sha256(note_id || ':summary:0:' || h), 1, 32) AS evidence_id, note_id FROM o) SELECT evidence_id, note_id, evidence_id IN (SELECT evidence_id FROM ev WHERE unit_kind = 'summary') AS is_active FROM o2""",
     "evidence_context": f"""WITH {_N}, {_E}, wt AS (SELECT id AS note_id, {_WORDS.format("concat_ws(' ', x.title, " + _S + ")")} AS w FROM n0),
 p AS (SELECT ev.*, CASE WHEN unit_kind = 'summary' THEN 0 ELSE 1 END AS k, CASE WHEN unit_kind = 'summary' THEN 0 ELSE len(list_intersect({_WORDS.format('content')}, w)) END AS shared FROM ev JOIN wt USING (note_id)),
 b AS (SELECT *, row_number() OVER o AS place, coalesce(sum(length(content)) OVER (PARTITION BY note_id ORDER BY k, shared DESC, unit_index, evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM p WINDOW o AS (PARTITION BY note_id ORDER BY k, shared DESC, unit_index, evidence_id))
-SELECT note_id, place, evidence_id, CAST(least(length(content), 3000 - before) AS BIGINT) AS size FROM b WHERE before < 3000""",
+SELECT note_id, place, evidence_id, CAST(least(length(content), 12000 - before) AS BIGINT) AS size FROM b WHERE before < 12000""",
     "ontology_rows": f"""WITH {_FIELDS}, {_TYPES}, j AS (SELECT ty.type_key, fd.field_key, ty.type_key IN ('meeting', 'person') AS is_seed,
   len(list_intersect({_WORDS.format("concat_ws(' ', ty.type_key, ty.type_key, 'a ' || ty.type_key, coalesce(fd.field_key, ''), coalesce(fd.field_key, ''))")}, {_WORDS.format("'Company strategy: an organisation and its topic'")})) AS shared FROM ty LEFT JOIN fd USING (type_key))
-SELECT type_key, field_key, is_seed, CAST(shared AS BIGINT) AS shared FROM j ORDER BY NOT is_seed, shared DESC, type_key, field_key NULLS FIRST LIMIT 8""",
-    "type_equivalence": f"WITH {_TYPES} SELECT type_key, CASE WHEN type_key IN ('company', 'organization', 'organisation', 'business') THEN 'organization' WHEN type_key IN ('project', 'initiative') THEN 'project' WHEN type_key IN ('topic', 'subject') THEN 'topic' ELSE type_key END AS canonical FROM ty",
+SELECT type_key, field_key, is_seed, CAST(shared AS BIGINT) AS shared FROM j ORDER BY NOT is_seed, shared DESC, type_key, field_key NULLS FIRST LIMIT 48""",
+    "ontology_relations": f"""WITH {_FIELDS}, {_TYPES}, j AS (SELECT ty.type_key, fd.field_key, ty.type_key IN ('meeting', 'person') AS is_seed,
+  len(list_intersect({_WORDS.format("concat_ws(' ', ty.type_key, ty.type_key, 'a ' || ty.type_key, coalesce(fd.field_key, ''), coalesce(fd.field_key, ''))")}, {_WORDS.format("'Company strategy: an organisation and its topic'")})) AS shared FROM ty LEFT JOIN fd USING (type_key)),
+c AS (SELECT type_key FROM j ORDER BY NOT is_seed, shared DESC, type_key, field_key NULLS FIRST LIMIT 6), r AS (SELECT 'of_' || type_key AS relation_key, 'person' AS s, type_key AS t FROM ty UNION ALL SELECT 'like_' || type_key, type_key, type_key FROM ty)
+SELECT relation_key, s AS source_type_key, t AS target_type_key FROM r WHERE s IN (SELECT * FROM c) AND t IN (SELECT * FROM c) ORDER BY 1 LIMIT 6""",
+    "type_equivalence": f"WITH {_TYPES} SELECT type_key, CASE WHEN type_key IN ('company', 'organization', 'organisation', 'business') THEN (SELECT arg_min(t.type_key, CASE t.type_key WHEN 'company' THEN 0 WHEN 'organization' THEN 1 WHEN 'organisation' THEN 2 ELSE 3 END) FROM ty t WHERE t.type_key IN ('company', 'organization', 'organisation', 'business')) WHEN type_key IN ('project', 'initiative') THEN 'project' WHEN type_key IN ('topic', 'subject') THEN 'topic' ELSE type_key END AS canonical FROM ty",
     "missing_evidence": "WITH c AS (SELECT DISTINCT note_id, unnest(evidence_ids) AS evidence_id FROM extracted_entities) SELECT note_id, string_agg(evidence_id, ',' ORDER BY evidence_id) AS missing FROM c WHERE NOT EXISTS (SELECT 1 FROM citations k WHERE k.note_id = c.note_id AND k.evidence_id = c.evidence_id) GROUP BY 1",
-    "undeclared_fields": f"WITH {_FIELDS}, u AS (SELECT DISTINCT type_key, unnest(list_transform(identifiers, lambda i: i.field_key)) AS field_key FROM extracted_entities) SELECT type_key, field_key FROM u WHERE NOT EXISTS (SELECT 1 FROM fd WHERE fd.type_key = u.type_key AND fd.field_key = u.field_key AND fd.type_key IN ('person', 'company'))",
-    "wrong_endpoints": "SELECT 'x:' || record_id AS source, 'attended' AS relation_key, note_id AS target FROM extracted_entities WHERE type_key <> 'person'",
+    "undeclared_fields": "WITH u AS (SELECT DISTINCT type_key, unnest(list_transform(identifiers, lambda i: i.field_key)) AS field_key FROM extracted_entities) SELECT type_key, field_key FROM u WHERE (type_key, field_key) NOT IN (('meeting', 'note_id'), ('person', 'email'))",
+    "wrong_endpoints": """WITH f AS (SELECT note_id, min(record_id) AS r, arg_min(type_key, record_id) AS t FROM extracted_entities GROUP BY 1)
+SELECT 'x:' || record_id AS source, 'attended' AS relation_key, note_id AS target FROM extracted_entities WHERE type_key <> 'person'
+UNION ALL SELECT 'x:' || r, 'employs', 'x:' || record_id FROM extracted_entities JOIN f USING (note_id) WHERE NOT (t = 'company' AND type_key = 'person')
+UNION ALL SELECT 'x:' || record_id, 'knows', 'x:' || r FROM extracted_entities JOIN f USING (note_id) WHERE type_key = 'person'""",
     "identifier_matches": """WITH k AS (SELECT entity_id, type_key, unnest(identifiers) AS i FROM entities WHERE status = 'active'), a AS (SELECT record_id, type_key, unnest(identifiers) AS i FROM extracted_entities),
 h AS (SELECT a.record_id, count(DISTINCT k.entity_id) AS n, min(k.entity_id) AS m FROM a JOIN k ON k.type_key = a.type_key AND k.i.field_key = a.i.field_key AND lower(trim(k.i.raw_value)) = lower(trim(a.i.value)) GROUP BY 1)
 SELECT record_id, n, CASE WHEN n = 1 THEN m END AS entity_id FROM h""",
@@ -385,21 +408,22 @@ SELECT record_id, coalesce((SELECT min(root) FROM r WHERE r.no = c.record_id), r
     "queue_counts": f"WITH {_Q0} SELECT s AS state, (SELECT count(*) FROM q WHERE q.state = s) AS n FROM (SELECT unnest(['pending', 'processing', 'complete', 'failed']) AS s)",
     "ingestion_status": f"WITH {_Q0} SELECT (SELECT epoch_us(max(watermark)) FROM sync_state) AS watermark_us, count(*) FILTER (WHERE state = 'pending') AS pending, count(*) FILTER (WHERE state = 'processing') AS processing, count(*) FILTER (WHERE state = 'complete') AS complete, count(*) FILTER (WHERE state = 'failed') AS failed FROM q",
     "queue_claimable": f"WITH {_Q0} SELECT note_id, state, attempts FROM q WHERE state IN ('pending', 'failed') AND attempts < 5 ORDER BY updated_at, queued_at, note_id LIMIT 100",
-    "queue_claimed": f"WITH {_Q0}, c AS (SELECT CASE WHEN state IN ('pending', 'failed') AND attempts < 5 THEN 'processing' ELSE state END AS state, CASE WHEN state IN ('pending', 'failed') AND attempts < 5 THEN attempts + 1 ELSE attempts END AS attempts FROM q) SELECT state, attempts, count(*) AS n FROM c GROUP BY 1, 2",
-    "queue_recovered": f"WITH {_Q0} SELECT CASE WHEN state = 'processing' THEN 'pending' ELSE state END AS state, count(*) AS n FROM q GROUP BY 1",
-    "queue_reprocessed": f"WITH {_Q0}, l AS (SELECT id FROM note_feed GROUP BY 1 HAVING max(updated_at) >= TIMESTAMP '2026-07-15 09:00:00'), c AS (SELECT CASE WHEN l.id IS NULL THEN state ELSE 'pending' END AS state, CASE WHEN l.id IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN l.id IS NULL THEN force_reprocess ELSE true END AS force_reprocess FROM q LEFT JOIN l ON l.id = q.note_id) SELECT state, attempts, force_reprocess, count(*) AS n FROM c GROUP BY 1, 2, 3",
+    "queue_claimed": f"WITH {_Q0}, c AS (SELECT note_id, CASE WHEN state IN ('pending', 'failed') AND attempts < 5 THEN 'processing' ELSE state END AS state, CASE WHEN state IN ('pending', 'failed') AND attempts < 5 THEN attempts + 1 ELSE attempts END AS attempts FROM q) SELECT note_id, state, attempts FROM c",
+    "queue_recovered": f"WITH {_Q0} SELECT note_id, CASE WHEN state = 'processing' THEN 'pending' ELSE state END AS state FROM q",
+    "queue_reprocessed": f"WITH {_Q0}, l AS (SELECT id FROM note_feed GROUP BY 1 HAVING max(updated_at) >= TIMESTAMP '2026-07-15 09:00:00'), c AS (SELECT q.note_id, CASE WHEN l.id IS NULL THEN state ELSE 'pending' END AS state, CASE WHEN l.id IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN l.id IS NULL THEN force_reprocess ELSE true END AS force_reprocess FROM q LEFT JOIN l ON l.id = q.note_id) SELECT note_id, state, attempts, force_reprocess FROM c",
     "queue_discovered": f"WITH {_Q0}, f AS (SELECT id AS note_id, max(updated_at) AS v FROM note_feed GROUP BY 1) SELECT coalesce(q.note_id, f.note_id) AS note_id, epoch_us(CASE WHEN q.note_id IS NULL OR q.remote_updated_at < f.v THEN f.v ELSE q.remote_updated_at END) AS version_us, CASE WHEN q.note_id IS NULL OR q.remote_updated_at < f.v THEN 'pending' ELSE q.state END AS state, CASE WHEN q.note_id IS NULL OR q.remote_updated_at < f.v THEN 0 ELSE q.attempts END AS attempts, CASE WHEN q.note_id IS NULL OR q.remote_updated_at < f.v THEN false ELSE q.force_reprocess END AS force_reprocess FROM q FULL JOIN f USING (note_id)",
     "feed_after_mark": "SELECT count(*) AS n, count(DISTINCT id) AS notes, epoch_us(max(updated_at)) AS mark_us FROM note_feed WHERE updated_at > (SELECT watermark FROM sync_state)",
     "notes_upserted": f"WITH {_N}, f AS (SELECT id, arg_max({{'t': title, 'c': created_at, 'u': updated_at}}, (updated_at, feed_seq)) AS y FROM note_feed GROUP BY 1) SELECT coalesce(n0.id, f.id) AS note_id, CASE WHEN f.id IS NULL THEN x.title ELSE y.t END AS title, epoch_us(CASE WHEN n0.id IS NULL THEN y.c ELSE x.c END) AS created_us, epoch_us(CASE WHEN f.id IS NULL THEN x.u ELSE y.u END) AS updated_us, x.w AS web_url FROM n0 FULL JOIN f ON f.id = n0.id",
-    "notes_hidden": f"WITH {_N}, f AS (SELECT id, arg_max({{'t': title}}, (updated_at, feed_seq)) AS y FROM note_feed GROUP BY 1) SELECT CASE WHEN y.t IS NULL THEN 'hidden' ELSE 'active' END AS visibility, count(*) AS n FROM n0 LEFT JOIN f USING (id) GROUP BY 1",
+    "notes_hidden": f"WITH {_N}, f AS (SELECT id, arg_max({{'t': title}}, (updated_at, feed_seq)) AS y FROM note_feed GROUP BY 1) SELECT n0.id AS note_id, CASE WHEN y.t IS NULL THEN 'hidden' ELSE 'active' END AS visibility FROM n0 LEFT JOIN f USING (id)",
     "facts_retired": "WITH f AS (SELECT id, max(updated_at) AS v FROM note_feed GROUP BY 1), q AS (SELECT note_id, max(remote_updated_at) AS w FROM processing_queue GROUP BY 1), s AS (SELECT f.id FROM f LEFT JOIN q ON q.note_id = f.id WHERE w IS NULL OR w < v) SELECT citation_no, note_id, note_id NOT IN (SELECT id FROM s) AS is_active FROM citations",
-    "changed_notes": f"WITH {_N}, f AS (SELECT id, max(updated_at) AS v FROM note_feed GROUP BY 1) SELECT f.id AS note_id, CASE WHEN n0.id IS NULL THEN 'unseen' ELSE 'newer' END AS change FROM f LEFT JOIN n0 USING (id) WHERE n0.id IS NULL OR x.u < v",
+    "changed_notes": "WITH n AS (SELECT id, min(updated_at) AS u FROM notes GROUP BY 1), f AS (SELECT id, max(updated_at) AS v FROM note_feed GROUP BY 1) SELECT f.id AS note_id, CASE WHEN n.id IS NULL THEN 'unseen' ELSE 'newer' END AS change FROM f LEFT JOIN n USING (id) WHERE n.id IS NULL OR u < v",
     "sync_report": "WITH p AS (SELECT id, updated_at, count(*) AS n FROM note_feed GROUP BY 1, 2) SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS versions, count(DISTINCT id) AS notes, count(*) FILTER (WHERE n > 1) AS redelivered FROM p",
     "identities": f"""WITH h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('entity:' || entity_id)) AS h FROM entities)
 SELECT record_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id5,
 sha256(canonical_name) AS digest, 'entity:' || type_key || ':' || {_SQ.format('canonical_name')} AS group_key, CASE WHEN length(canonical_name) > 28 THEN substr(canonical_name, 1, 26) || '…' ELSE canonical_name END AS label,
 CAST(ceil(length(canonical_name) / 4) AS BIGINT) AS tokens, regexp_matches(type_key, '^[a-z][a-z0-9_]*$') AS is_key, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS created FROM h""",
+    "graph_layout": """WITH h AS (SELECT n_nationkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(n_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: ((a * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM nation)
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(abs(h) % 8 AS BIGINT) AS colour, round((55 + 265 * sqrt((n_nationkey + 1) / 25)) * cos(n_nationkey * 2.399963), 6) AS x, round((55 + 265 * sqrt((n_nationkey + 1) / 25)) * sin(n_nationkey * 2.399963), 6) AS y FROM h""",
     "filtered_nodes": "SELECT record_id, canonical_name, type_key FROM entities WHERE contains(lower(canonical_name || ' ' || type_key), 'son')",
     "type_list": f"WITH {_FIELDS}, {_TYPES} SELECT ty.type_key, (SELECT count(*) FROM entities e WHERE e.type_key = ty.type_key) AS entities, (SELECT count(*) FROM fd WHERE fd.type_key = ty.type_key) AS fields FROM ty",
-    "next_revision": "SELECT max(record_id) + 1 AS revision FROM entities",
 }
