@@ -8,18 +8,20 @@ come back through a loop edge on itself; ties go by id, relation and direction.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notewarp.functions.scalar import clamp
-from notewarp.session import cut_counted
+from notewarp.session import cut, cut_counted
 
 # Bounds of a traversal and of the overview.
 DEFAULT_DEPTH, MAX_DEPTH = 2, 3
 DEFAULT_LIMIT, MAX_LIMIT = 100, 100
 OVERVIEW_NODES = 300
-#: Paths up to which a step sends them to every task (some 100 bytes each).
-BROADCAST_PATHS = 100_000
+#: Nodes up to which a front is sent to every task (some 100 bytes each).
+BROADCAST_FRONT = 100_000
 
 
 def hops(edges: DataFrame) -> DataFrame:
@@ -29,27 +31,40 @@ def hops(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def traverse(edges: DataFrame, nodes: DataFrame, start: str, *, depth: int = DEFAULT_DEPTH, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def expansion(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from a front (here, ...) to its hops (the front's columns, there, relation, direction, evidence_id)."""
+    step = hops(edges.filter("is_active") if "is_active" in edges.columns else edges)
+    return lambda front: front.join(step, "here")
+
+
+def traverse(edges: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFrame, start: str, *, depth: int = DEFAULT_DEPTH, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """(entity_id, canonical_name, type_key, relation_key, direction, depth, evidence_id) of the neighbours on simple paths from `start`.
 
-    `edges` may have is_active, `nodes` (entity_id, canonical_name, type_key) may have status; inactive nodes are walked through, not shown.
+    `edges` may have is_active, or is a function that expands a front; `nodes` (entity_id, canonical_name, type_key) may have status;
+    inactive nodes are walked through, not shown.
+
+    A node is expanded once, at its least depth: what a later path through it reaches has been reached before. Of the nodes before it a
+    front keeps the least and the greatest only: a hop that leads back to one of them is still on a simple path through the other. So
+    paths are never listed, and a front has one row a node; with at most MAX_DEPTH steps this is exact.
     """
-    if "is_active" in edges.columns:
-        edges = edges.filter("is_active")
-    step = hops(edges)
-    walk = step.filter(F.col("here") == start).select("there", "relation", "direction", F.lit(1).alias("depth"), "evidence_id", F.array(F.lit(start), F.col("there")).alias("path"))
-    walks = walk
+    expand = edges if callable(edges) else expansion(edges)
+    spark = nodes.sparkSession
+    kept = ["there", "relation", "direction", "evidence_id"]
+    first = cut(expand(spark.createDataFrame([(start,)], "here string")).select(*kept))
+    walks = first.withColumn("depth", F.lit(1))
+    reached = first.filter(F.col("there") != start).select(F.col("there").alias("here")).distinct()
+    front, seen = reached.select("here", F.lit(None).cast("string").alias("b1"), F.lit(None).cast("string").alias("b2")), reached
     for d in range(2, clamp(depth, 1, MAX_DEPTH) + 1):
-        # paths only grow from distinct (node, path) pairs: parallel edges multiply nothing. A small front is sent to the edges,
-        # which are then only scanned; a large one is joined by a shuffle
-        front, n = cut_counted(walk.select(F.col("there").alias("here"), "path").distinct())
-        front = F.broadcast(front) if n <= BROADCAST_PATHS else front
-        walk = (
-            front.join(step, "here")
-            .filter(~F.array_contains("path", F.col("there")))
-            .select("there", "relation", "direction", F.lit(d).alias("depth"), "evidence_id", F.concat("path", F.array("there")).alias("path"))
-        )
-        walks = walks.unionByName(walk)
+        # a small front is sent to the edges, which are then only scanned; a large one is joined by a shuffle
+        front, n = cut_counted(front)
+        walk = expand(F.broadcast(front) if n <= BROADCAST_FRONT else front)
+        back = (F.col("there") == F.col("b1")) & (F.col("b2").isNull() | (F.col("b2") == F.col("b1")))
+        walk = cut(walk.filter((F.col("there") != start) & (F.col("there") != F.col("here")) & ~F.coalesce(back, F.lit(False))).select("here", *kept))
+        walks = walks.unionByName(walk.select(*kept, F.lit(d).alias("depth")))
+        if d < MAX_DEPTH:
+            ways = walk.groupBy("there").agg(F.min("here").alias("b1"), F.max("here").alias("b2"))
+            front = ways.join(seen.withColumnRenamed("here", "there"), "there", "left_anti").select(F.col("there").alias("here"), "b1", "b2")
+            seen = seen.unionByName(front.select("here"))
     near = walks.groupBy("there", "relation", "direction").agg(F.min("depth").alias("depth"), F.min_by("evidence_id", F.struct("depth", "evidence_id")).alias("evidence_id"))
     if "status" in nodes.columns:
         nodes = nodes.filter("status = 'active'")

@@ -37,36 +37,61 @@ def nodes(spark: SparkSession, root: str) -> DataFrame:
     return rows
 
 
+def _key(*columns: str):
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
+
+
+#: (table, type and key of the source, relation, type and key of the target, columns of the evidence id, its prefix).
+RELATIONS = [
+    ("customer", "customer", "c_custkey", "located_in", "nation", "c_nationkey", ("c_custkey",), "c:"),
+    ("supplier", "supplier", "s_suppkey", "located_in", "nation", "s_nationkey", ("s_suppkey",), "s:"),
+    ("nation", "nation", "n_nationkey", "part_of", "region", "n_regionkey", ("n_nationkey",), "n:"),
+    ("orders", "customer", "o_custkey", "placed", "orders", "o_orderkey", ("o_orderkey",), "o:"),
+    ("lineitem", "orders", "l_orderkey", "contains", "part", "l_partkey", ("l_orderkey", "l_linenumber"), "l:"),
+    ("lineitem", "supplier", "l_suppkey", "supplies", "part", "l_partkey", ("l_orderkey", "l_linenumber"), "l:"),
+]
+
+
+def _active(name: str):
+    return F.col("l_returnflag") != "R" if name == "lineitem" else F.lit(True)
+
+
 def edges(spark: SparkSession, root: str) -> DataFrame:
     """(source, relation, target, evidence_id, is_active) between those entities."""
-    to = lambda name, col: F.concat(F.lit(f"{name}:"), F.col(col).cast("string"))
+    rows = None
+    for name, of, key, relation, to, other, evidence, prefix in RELATIONS:
+        part = table(spark, root, name).select(
+            F.concat(F.lit(f"{of}:"), _key(key)).alias("source"), F.lit(relation).alias("relation"), F.concat(F.lit(f"{to}:"), _key(other)).alias("target"), F.concat(F.lit(prefix), _key(*evidence)).alias("evidence_id"), _active(name).alias("is_active")
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
-    def kind(name: str, source, relation: str, target, evidence, active=None) -> DataFrame:
-        return table(spark, root, name).select(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"), evidence.alias("evidence_id"), (active if active is not None else F.lit(True)).alias("is_active"))
 
-    line = F.concat_ws(":", F.lit("l"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    all_of = [
-        kind("customer", to("customer", "c_custkey"), "located_in", to("nation", "c_nationkey"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string"))),
-        kind("supplier", to("supplier", "s_suppkey"), "located_in", to("nation", "s_nationkey"), F.concat(F.lit("s:"), F.col("s_suppkey").cast("string"))),
-        kind("nation", to("nation", "n_nationkey"), "part_of", to("region", "n_regionkey"), F.concat(F.lit("n:"), F.col("n_nationkey").cast("string"))),
-        kind("orders", to("customer", "o_custkey"), "placed", to("orders", "o_orderkey"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))),
-        kind("lineitem", to("orders", "l_orderkey"), "contains", to("part", "l_partkey"), line, F.col("l_returnflag") != "R"),
-        kind("lineitem", to("supplier", "l_suppkey"), "supplies", to("part", "l_partkey"), line, F.col("l_returnflag") != "R"),
-    ]
-    rows = all_of[0]
-    for r in all_of[1:]:
-        rows = rows.unionByName(r)
-    return rows
+def expand(spark: SparkSession, root: str):
+    """The hops of a front by typed keys: each table is scanned once per end of a relation and joined on its numbers; ids are spelled afterwards."""
+
+    def hops_of(front: DataFrame) -> DataFrame:
+        typed = front.withColumns({"__type": F.substring_index("here", ":", 1), "__key": F.substring_index("here", ":", -1).cast("long")})
+        rows = None
+        for name, of, key, relation, to, other, evidence, prefix in RELATIONS:
+            for direction, here_type, here, there_type, there in (("outgoing", of, key, to, other), ("incoming", to, other, of, key)):
+                t = table(spark, root, name).filter(_active(name))
+                found = t.join(typed.filter(F.col("__type") == here_type), F.col(here) == F.col("__key"))
+                part = found.select(*front.columns, F.concat(F.lit(f"{there_type}:"), _key(there)).alias("there"), F.lit(relation).alias("relation"), F.lit(direction).alias("direction"), F.concat(F.lit(prefix), _key(*evidence)).alias("evidence_id"))
+                rows = part if rows is None else rows.unionByName(part)
+        return rows
+
+    return hops_of
 
 
 def traverse_nation(spark: SparkSession, root: str) -> DataFrame:
     """Two steps around nation 7."""
-    return traverse(edges(spark, root), nodes(spark, root), "nation:7")
+    return traverse(expand(spark, root), nodes(spark, root), "nation:7")
 
 
 def traverse_customer(spark: SparkSession, root: str) -> DataFrame:
     """Three steps around customer 12."""
-    return traverse(edges(spark, root), nodes(spark, root), "customer:12", depth=99)
+    return traverse(expand(spark, root), nodes(spark, root), "customer:12", depth=99)
 
 
 def hop_degrees(spark: SparkSession, root: str) -> DataFrame:
