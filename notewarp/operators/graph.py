@@ -21,7 +21,7 @@ DEFAULT_DEPTH, MAX_DEPTH = 2, 3
 DEFAULT_LIMIT, MAX_LIMIT = 100, 100
 OVERVIEW_NODES = 300
 #: Nodes up to which a front is sent to every task (some 100 bytes each).
-BROADCAST_FRONT = 100_000
+BROADCAST_PATHS = 100_000
 
 
 def hops(edges: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def traverse(edges: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFra
     for d in range(2, clamp(depth, 1, MAX_DEPTH) + 1):
         # a small front is sent to the edges, which are then only scanned; a large one is joined by a shuffle
         front, n = cut_counted(front)
-        walk = expand(F.broadcast(front) if n <= BROADCAST_FRONT else front)
+        walk = expand(F.broadcast(front) if n <= BROADCAST_PATHS else front)
         back = (F.col("there") == F.col("b1")) & (F.col("b2").isNull() | (F.col("b2") == F.col("b1")))
         walk = cut(walk.filter((F.col("there") != start) & (F.col("there") != F.col("here")) & ~F.coalesce(back, F.lit(False))).select("here", *kept))
         walks = walks.unionByName(walk.select(*kept, F.lit(d).alias("depth")))

@@ -75,3 +75,32 @@ def test_layout(spark, n):
     x, y = spark.range(1).select(*S.circle_layout(F.lit(n), F.lit(25))).first()
     r = 55 + 265 * math.sqrt((n + 1) / 25)
     assert (x, y) == pytest.approx((r * math.cos(n * 2.399963), r * math.sin(n * 2.399963)))
+
+
+def simple_paths(edges, start, depth):
+    """(there, relation, direction) -> (least depth, least evidence at it), by listing all simple paths."""
+    steps = [(s, t, r, "outgoing", e) for s, r, t, e in edges] + [(t, s, r, "incoming", e) for s, r, t, e in edges]
+    best, paths = {}, [(start,)]
+    for d in range(1, depth + 1):
+        longer = []
+        for path in paths:
+            for here, there, relation, direction, evidence in steps:
+                if here == path[-1] and (d == 1 or there not in path):
+                    key = (there, relation, direction)
+                    best[key] = min(best.get(key, (d, evidence)), (d, evidence))
+                    longer.append((*path, there))
+        paths = list(dict.fromkeys(longer))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_traversal_equals_listing_simple_paths(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = [(rng.choice("abcdefgh"), rng.choice("rs"), rng.choice("abcdefgh"), f"e{i}") for i in range(11 + 2 * seed)] + [("a", "r", "a", "loop"), ("a", "r", "b", "x"), ("b", "r", "a", "y")]
+    frame = spark.createDataFrame(edges, "source string, relation string, target string, evidence_id string")
+    nodes = spark.createDataFrame([(c, c, "t") for c in "abcdefgh"], "entity_id string, canonical_name string, type_key string")
+    for depth in (1, 2, 3):
+        got = {(r.entity_id, r.relation_key, r.direction): (r.depth, r.evidence_id) for r in traverse(frame, nodes, "a", depth=depth).collect()}
+        assert got == simple_paths(edges, "a", depth)
