@@ -29,7 +29,7 @@ def p2_check(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """(note_id, first_segment_id, last_segment_id) of every speaker turn."""
-    return turns.speaker_turns(table(spark, root, "transcript_segments")).select("note_id", "first_segment_id", "last_segment_id")
+    return turns.speaker_turns(table(spark, root, "transcript_segments"), text=False).select("note_id", "first_segment_id", "last_segment_id")
 
 
 def p3_turns(spark: SparkSession, root: str) -> DataFrame:

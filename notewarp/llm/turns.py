@@ -447,9 +447,11 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"segment_id": pd.Series(ids, dtype="int64"), "voice": pd.Series(voices, dtype="object")})
 
 
-def voiced_segments(segments: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """(note_id, segment_id, source, start_time, end_time, spoken, voice) of all segments with speech."""
-    parsed = cut(parsed_segments(segments))
+def voiced_segments(segments: DataFrame, *, block: int = BLOCK, text: bool = True) -> DataFrame:
+    """(note_id, segment_id, source, start_time, end_time, spoken, voice) of all segments with speech; without `text` there is no `spoken`."""
+    parsed = parsed_segments(segments)
+    # texts that nobody asks for are neither written nor joined
+    parsed = cut(parsed if text else parsed.drop("spoken"))
     named = F.col("label").isNotNull() | F.col("name").isNotNull()
     spellings = parsed.filter(named).groupBy("note_id", "label", "name", "source").agg(F.count("*").alias("n"))
     per_note = spellings.groupBy("note_id").agg(F.collect_list(F.struct("label", "name", "source", "n")).alias("spellings"))
@@ -459,7 +461,7 @@ def voiced_segments(segments: DataFrame, *, block: int = BLOCK) -> DataFrame:
         (parsed["note_id"] == voices["note_id"]) & F.col("label").eqNullSafe(F.col("l")) & F.col("name").eqNullSafe(F.col("n")) & F.col("source").eqNullSafe(F.col("s")),
     ).select(parsed["*"], "voice")
     rows = known.unionByName(parsed.filter(~named).withColumn("voice", F.lit(None).cast("string")))
-    columns = ["note_id", "segment_id", "source", "start_time", "end_time", "spoken", "voice"]
+    columns = ["note_id", "segment_id", "source", "start_time", "end_time", *(["spoken"] if text else []), "voice"]
     rows = cut(in_buckets(rows))
     return rows.filter("voice is not null").select(columns).unionByName(inferred(rows, voices, block).select(columns))
 
@@ -516,19 +518,23 @@ def inferred(rows: DataFrame, voices: DataFrame, block: int = BLOCK) -> DataFram
     return unknown.drop("voice").join(decoded, "segment_id")
 
 
-def speaker_turns(segments: DataFrame) -> DataFrame:
-    """(note_id, turn_no, voice, first_segment_id, last_segment_id, start_time, end_time, n_segments, text), a row per turn."""
-    rows = in_buckets(cut(voiced_segments(segments)))
+def speaker_turns(segments: DataFrame, *, text: bool = True) -> DataFrame:
+    """(note_id, turn_no, voice, first_segment_id, last_segment_id, start_time, end_time, n_segments, text, speaker), a row per turn; `text` on demand."""
+    rows = in_buckets(cut(voiced_segments(segments, text=text)))
     runs = numbered_runs(rows, "note_id", "bucket", ["at", "segment_id"], "voice")
     place = F.struct("at", "segment_id")
-    turns = runs.withColumn("clean", _clean("spoken")).groupBy("note_id", "run").agg(
+    said = []
+    if text:
+        runs = runs.withColumn("clean", _clean("spoken"))
+        said = [F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "segment_id", "clean"))), lambda s: s["clean"]), " ").alias("text")]
+    turns = runs.groupBy("note_id", "run").agg(
         F.first("voice").alias("voice"),
         F.min_by("segment_id", place).alias("first_segment_id"),
         F.max_by("segment_id", place).alias("last_segment_id"),
         F.min("start_time").alias("start_time"),
         F.max(F.greatest("start_time", "end_time")).alias("end_time"),
         F.count("*").alias("n_segments"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "segment_id", "clean"))), lambda s: s["clean"]), " ").alias("text"),
+        *said,
     )
     speaker = F.when(F.col("voice").startswith("L"), F.concat(F.lit("Speaker "), F.upper(F.substring("voice", 2, 40)))).when(F.col("voice").startswith("N"), F.initcap(F.substring("voice", 2, 200)))
     return turns.withColumn("speaker", speaker).withColumnRenamed("run", "turn_no")
