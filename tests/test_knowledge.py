@@ -216,3 +216,20 @@ def test_scopes_are_checked(spark):
     types = spark.createDataFrame([("person", "global"), ("decision", "note")], "type_key string, identity_scope string")
     c = spark.createDataFrame([(1, "person", None), (2, "person", "n"), (3, "decision", " "), (4, "decision", None), (5, "x", None)], "candidate_no long, type_key string, scope_note_id string")
     assert {r.candidate_no: r.error for r in scope_errors(c, types).collect()} == {2: "scope not allowed", 4: "scope missing", 5: "unknown type"}
+
+
+def test_only_what_is_being_processed_can_end(spark):
+    queue = spark.createDataFrame([("a", "processing"), ("b", "pending"), ("c", "processing")], "note_id string, state string").selectExpr("*", "timestamp '2026-01-01' as remote_updated_at", "1 as attempts", "cast(null as string) as last_error", "false as force_reprocess", "timestamp '2026-01-01' as queued_at", "timestamp '2026-01-01' as updated_at")
+    outcome = lambda *rows: spark.createDataFrame(list(rows), "note_id string, error string")
+    done = {r.note_id: (r.state, r.last_error) for r in Q.settle(queue, outcome(("a", None), ("c", "bad"))).collect()}
+    assert done == {"a": ("complete", None), "b": ("pending", None), "c": ("failed", "bad")}
+    for wrong in ("b", "nobody"):
+        with pytest.raises(ValueError, match=wrong):
+            Q.settle(queue, outcome(("a", None), (wrong, None)))
+    state = spark.createDataFrame([], "source_key string, watermark timestamp, last_started_at timestamp, last_completed_at timestamp, last_error string")
+    begun = Q.begin(state, "notes", now="2026-02-01 00:00:00").first()
+    assert begun.source_key == "notes" and begun.last_started_at == dt.datetime(2026, 2, 1) and begun.watermark is None
+    # what was never materialised is not skipped
+    claimed = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "note_id string, force_reprocess boolean")
+    notes = spark.createDataFrame([("a", None, None), ("b", "h", "h"), ("c", "h", "h")], "note_id string, content_hash string, processed_hash string")
+    assert [r.note_id for r in Q.skippable(claimed, notes).collect()] == ["b"]

@@ -91,3 +91,38 @@ def test_fusion_ranks_streams_apart(spark):
     b = spark.createDataFrame([("y", "o9", "T  ", -9.0)], "kind string, object_id string, title string, bm25 double")
     got = fuse([a, b], "t", limit=3).collect()
     assert [r.object_id for r in got] == ["o0", "o9", "o1"] and got[0].score == pytest.approx(1 + 1 / 61)
+
+
+def test_an_updated_index_equals_the_scan_of_what_is_left(spark, tmp_path, monkeypatch):
+    from notewarp.operators import search as S
+
+    monkeypatch.setattr(S, "MOST_SEGMENTS", 3)
+    index = TextIndex(spark, f"file://{tmp_path}/u")
+    assert not index.exists() and index.search("budget").collect() == []
+    words = ["budget", "plan", "café", "cafe", "quarterly", "review"]
+    now = {f"d{i}": (words[i % 6], " ".join(words[(i * k) % 6] for k in range(1, 5))) for i in range(12)}
+    frame = lambda rows: spark.createDataFrame([(k, *v) for k, v in rows.items()], "id string, title string, body string")
+    index.build(frame(now), "id", ["title", "body"], buckets=4)
+
+    def check():
+        docs = frame(now)
+        for query in ("budget", "cafe", "quarterly review", "plan", "gone"):
+            want = {r.id: r.bm25 for r in bm25(docs, "id", ["title", "body"], query_phrases(query)).collect()}
+            assert {r.doc: r.bm25 for r in index.search(query, limit=None).collect()} == pytest.approx(want, rel=1e-9)
+        only = {r.id for r in bm25(docs, "id", ["title", "body"], query_phrases("budget"), only=["title"]).collect()}
+        assert {r.doc for r in index.search("budget", only=["title"], limit=None).collect()} == only
+
+    check()
+    for step in range(4):
+        changed = {f"d{step}": ("plan", "budget budget review"), f"new{step}": ("Café gone", "quarterly review of the plan")}
+        lost = [f"d{step + 6}", "never there"] + ([f"new{step - 1}"] if step else [])
+        now |= changed
+        for k in lost:
+            now.pop(k, None)
+        index.update(frame(changed), "id", gone=spark.createDataFrame([(k,) for k in lost], "id string"))
+        check()
+    assert len(index._manifests.read()["segments"]) <= 3
+    back = {"d6": ("budget", "again")}
+    now |= back
+    index.update(frame(back), "id")
+    check()
