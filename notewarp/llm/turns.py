@@ -5,13 +5,15 @@
    without speech are dropped.
 3. Per note the distinct spellings of labels and names become voices: spellings of one name are clustered, and a label and a
    name on one segment are joined. Only distinct spellings are grouped, never segments.
-4. Every segment without a label goes through a hidden Markov speaker model of its note. States are the voices it can be: whoever is named
-   on the microphone (persons, or labels where nobody is named), one further voice for each other source, and one for the microphone
-   where it has no voice. Emissions are the source (a voice that can't be on it has probability 0) and each participant's language
-   profile (language, fillers, sentence form, length); transitions are those counted between labelled neighbours, smoothed. Labelled
-   segments pin the chain, so every stretch between two pins is decoded by itself (Viterbi). A stretch of more than BLOCK segments is
-   cut into parts; each part gives the best score from every first to every last state, those are put together, and each part is then
-   decoded between the states that the best path has at its ends: the result is that of the whole stretch.
+4. A hidden Markov speaker model of the note decides what spellings leave open; what has one possible voice gets that voice and serves
+   the model as an observation. Transitions are those counted between neighbours, smoothed; emissions are each participant's language
+   profile (language, fillers, sentence form, length) and whether a label, a name or both are written.
+   a. A label that is never written with a name, and a person never written with a label, may be one voice: the likelihoods of the
+      note with both as one voice and as two are compared (`links_of`).
+   b. A segment without a label may be any of several people on the microphone (persons, or labels where nobody is named). Known voices
+      pin the chain, so every stretch between two pins is decoded by itself (Viterbi). A stretch of more than BLOCK segments is
+      cut into parts; each part gives the best score from every first to every last state, those are put together, and each part is
+      then decoded between the states that the best path has at its ends: the result is that of the whole stretch.
 5. Segments are put in order of (start_time, segment_id) and runs of one voice become turns.
 
 Defined results: null text is empty text; null note ids are ignored; a null start sorts last; ties in start_time go by segment_id;
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from math import exp, lgamma, log
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from notewarp.llm.names import distance, parts
-from notewarp.operators.ordered import numbered_runs
-from notewarp.session import cut
+from notewarp.operators.ordered import numbered_runs, with_previous
+from notewarp.session import cut, cut_counted
 
 #: Seconds of one window bucket.
 BUCKET_S = 600
@@ -43,6 +46,10 @@ UNTIMED_BITS = 14
 BLOCK = 2000
 #: Weight, in transitions, of what holds for the whole note in a voice's own transitions; added count of a trait; score of the impossible.
 SMOOTHING, TRAIT_COUNT, NEVER = 4.0, 0.5, -1e9
+#: Probability that a voice is never named, or never labelled, in a note that writes labels and names together.
+BARE_VOICE = 0.05
+#: A label and a name that never meet are joined if the note is more than this many times as likely with one voice.
+LIKELIER = 2.0
 
 # Fillers and words that give a language away.
 FILLERS = "mm-hmm mhm uh-huh uh um er erm hmm hm ah äh ähm öhm euh heu hum eh em ehm"
@@ -308,8 +315,88 @@ def _voices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for note_id, rows in zip(pdf["note_id"], pdf["spellings"]):
             rows = list(rows)
-            out += [(note_id, r["label"], r["name"], r["source"], v) for r, v in zip(rows, voices_of(rows))]
-        yield pd.DataFrame(out, columns=["note_id", "label", "name", "source", "voice"])
+            out += [(note_id, r["label"], r["name"], r["source"], r["n"], v) for r, v in zip(rows, voices_of(rows))]
+        yield pd.DataFrame(out, columns=["note_id", "label", "name", "source", "n", "voice"])
+
+
+def _evidence(counts: dict, usual, weight: float) -> float:
+    """Log likelihood of outcomes whose probabilities are unknown but like `usual`, with the weight of that many observations."""
+    if not counts:
+        return 0.0
+    return lgamma(weight) - lgamma(weight + sum(counts.values())) + sum(lgamma(weight * usual(k) + n) - lgamma(weight * usual(k)) for k, n in counts.items())
+
+
+def links_of(forms: list, traits: list, moves: list) -> dict[str, str]:
+    """Label never written with a name -> the person, never written with a label, whose voice it is by the note's speaker model.
+
+    `forms` has of each voice the segments with `both`, with a label only (`labels`) and with a name only (`names`), and its sources.
+    """
+    labels = sorted((f for f in forms if not f["both"] and not f["names"]), key=lambda f: f["voice"])
+    persons = sorted((f for f in forms if not f["both"] and not f["labels"]), key=lambda f: f["voice"])
+    written = {k: 1.0 + sum(f[k] for f in forms if f["both"]) for k in ("both", "labels", "names")}
+    rate = {k: log(n / sum(written.values())) for k, n in written.items()}
+    rows: dict[str, Counter] = defaultdict(Counter)
+    for m in moves:
+        rows[m["a"]][m["b"]] += m["n"]
+    into: dict[str, set] = defaultdict(set)
+    for a, row in rows.items():
+        for b in row:
+            into[b].add(a)
+    n_voices = len({f["voice"] for f in forms} | set(rows) | set(into))
+    total = sum(row.total() for row in rows.values())
+    stay = (sum(row[a] for a, row in rows.items()) + 1.0) / (total + 2.0)
+
+    def leaving(a: str, row: dict, n: int) -> float:
+        return _evidence(row, lambda b: stay if a == b else (1 - stay) / max(1, n - 1), SMOOTHING)
+
+    apart = {a: leaving(a, row, n_voices) for a, row in rows.items()}
+    fewer = {a: leaving(a, row, n_voices - 1) for a, row in rows.items()}
+    base = sum(fewer.values()) - sum(apart.values())
+
+    def merged(row: dict, label: str, person: str) -> Counter:
+        out = Counter(row)
+        out[person] += out.pop(label, 0)
+        return +out
+
+    everywhere: Counter = Counter()
+    own: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+    for t in traits:
+        everywhere[t["trait"]] += t["n"]
+        own[t["voice"]][t["trait"][0]][t["trait"]] += t["n"]
+    of_kind = Counter()
+    for trait, n in everywhere.items():
+        of_kind[trait[0]] += n
+
+    def spoken(counts: dict) -> float:
+        return _evidence(counts, lambda t: everywhere[t] / of_kind[t[0]], SMOOTHING)
+
+    def bare(f: dict, form: str) -> float:
+        return log(BARE_VOICE + (1 - BARE_VOICE) * exp(f[form] * rate[form]))
+
+    gains = []
+    for f in labels:
+        can_be = [g for g in persons if set(f["sources"]) & set(g["sources"])]
+        for g in can_be:
+            a, b = f["voice"], g["voice"]
+            # each of them is as likely beforehand
+            gain = base - log(len(can_be)) + f["labels"] * rate["labels"] + g["names"] * rate["names"] - bare(f, "labels") - bare(g, "names")
+            for x in (into[a] & into[b]) - {a, b}:
+                gain += leaving(x, merged(rows[x], a, b), n_voices - 1) - fewer[x]
+            gain += leaving(b, merged(rows.get(a, Counter()) + rows.get(b, Counter()), a, b), n_voices - 1) - fewer.get(a, 0.0) - fewer.get(b, 0.0)
+            for kind in own[a].keys() | own[b].keys():
+                gain += spoken(own[a][kind] + own[b][kind]) - spoken(own[a][kind]) - spoken(own[b][kind])
+            gains.append((-gain, a, b))
+    links: dict[str, str] = {}
+    for gain, a, b in sorted(gains):
+        if -gain > log(LIKELIER) and a not in links and b not in links.values():
+            links[a] = b
+    return links
+
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = [(r.note_id, a, b) for r in pdf.itertuples(index=False) for a, b in links_of(list(r.forms), list(r.traits), list(r.moves)).items()]
+        yield pd.DataFrame(out, columns=["note_id", "voice", "person"])
 
 
 class SpeakerModel:
@@ -455,26 +542,66 @@ def voiced_segments(segments: DataFrame, *, block: int = BLOCK, text: bool = Tru
     named = F.col("label").isNotNull() | F.col("name").isNotNull()
     spellings = parsed.filter(named).groupBy("note_id", "label", "name", "source").agg(F.count("*").alias("n"))
     per_note = spellings.groupBy("note_id").agg(F.collect_list(F.struct("label", "name", "source", "n")).alias("spellings"))
-    voices = cut(per_note.mapInPandas(_voices, "note_id string, label string, name string, source string, voice string"))
+    voices = cut(per_note.mapInPandas(_voices, "note_id string, label string, name string, source string, n long, voice string"))
     known = parsed.filter(named).join(
-        voices.select("note_id", F.col("label").alias("l"), F.col("name").alias("n"), F.col("source").alias("s"), "voice"),
-        (parsed["note_id"] == voices["note_id"]) & F.col("label").eqNullSafe(F.col("l")) & F.col("name").eqNullSafe(F.col("n")) & F.col("source").eqNullSafe(F.col("s")),
+        voices.select("note_id", F.col("label").alias("l"), F.col("name").alias("nm"), F.col("source").alias("s"), "voice"),
+        (parsed["note_id"] == voices["note_id"]) & F.col("label").eqNullSafe(F.col("l")) & F.col("name").eqNullSafe(F.col("nm")) & F.col("source").eqNullSafe(F.col("s")),
     ).select(parsed["*"], "voice")
-    rows = known.unionByName(parsed.filter(~named).withColumn("voice", F.lit(None).cast("string")))
+    # without a label: one further voice of another source, the only voice of the microphone, or open
+    bare = parsed.filter(~named).join(on_microphone(voices), "note_id", "left")
+    mic = F.col("source").eqNullSafe("microphone") & F.col("on_mic").isNotNull()
+    only = F.when(~mic, F.concat(F.lit("-"), F.coalesce("source", F.lit("?")))).when(F.size("on_mic") == 1, F.col("on_mic")[0])
+    rows, n_open = cut_counted(in_buckets(known.unionByName(bare.withColumn("voice", only).drop("on_mic"))), F.col("voice").isNull())
+    rows, voices = linked(rows, voices)
     columns = ["note_id", "segment_id", "source", "start_time", "end_time", *(["spoken"] if text else []), "voice"]
-    rows = cut(in_buckets(rows))
+    if not n_open:
+        return rows.select(columns)
+    rows = cut(rows)
     return rows.filter("voice is not null").select(columns).unionByName(inferred(rows, voices, block).select(columns))
 
 
+def on_microphone(voices: DataFrame) -> DataFrame:
+    """(note_id, on_mic) of notes whose microphone has voices: persons, or labels where nobody is named there."""
+    mic = voices.filter("source = 'microphone'").groupBy("note_id").agg(F.collect_set(F.when(F.col("voice").startswith("N"), F.col("voice"))).alias("persons"), F.collect_set("voice").alias("all"))
+    return mic.select("note_id", F.when(F.size("persons") > 0, F.col("persons")).otherwise(F.col("all")).alias("on_mic"))
+
+
+def profiles_and_moves(pinned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per note the traits of its voices, and what voice follows what (`previous` is the voice of the row before, if known)."""
+    counted = pinned.select("note_id", "voice", F.explode(F.split("profile", r"\|")).alias("trait")).groupBy("note_id", "voice", "trait").agg(F.count("*").alias("n"))
+    moved = pinned.filter("previous is not null").groupBy("note_id", F.col("previous").alias("a"), F.col("voice").alias("b")).agg(F.count("*").alias("n"))
+    return counted.groupBy("note_id").agg(F.collect_list(F.struct("voice", "trait", "n")).alias("traits")), moved.groupBy("note_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("moves"))
+
+
+def linked(rows: DataFrame, voices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` and `voices`, with the person's voice for labels never written with a name that the speaker model takes for that person's."""
+    label, name = F.col("label").isNotNull(), F.col("name").isNotNull()
+    count = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    forms = voices.groupBy("note_id", "voice").agg(count(label & name).alias("both"), count(label & ~name).alias("labels"), count(~label & name).alias("names"), F.collect_set(F.coalesce("source", F.lit("?"))).alias("sources"))
+    forms = forms.groupBy("note_id").agg(F.collect_list(F.struct("voice", "both", "labels", "names", "sources")).alias("forms"))
+    # labels and names are spellings of the same voices where a note writes some of them together
+    forms, n_notes = cut_counted(forms.filter("exists(forms, f -> f.both > 0) and exists(forms, f -> f.both = 0 and f.names = 0) and exists(forms, f -> f.both = 0 and f.labels = 0)"))
+    if not n_notes:
+        return rows, voices
+    said = rows.join(forms.select("note_id"), "note_id", "left_semi").select("note_id", "segment_id", "profile", "voice", "at", "bucket")
+    traits, moves = profiles_and_moves(cut(with_previous(said, "note_id", "bucket", ["at", "segment_id"], "voice", "previous")).filter("voice is not null"))
+    links, n_links = cut_counted(with_model(forms, traits, moves).mapInPandas(_links, "note_id string, voice string, person string"))
+    if not n_links:
+        return rows, voices
+    renamed = lambda df: df.join(links, ["note_id", "voice"], "left").withColumn("voice", F.coalesce("person", "voice")).drop("person")
+    return renamed(rows), renamed(voices)
+
+
+def with_model(notes: DataFrame, traits: DataFrame, moves: DataFrame) -> DataFrame:
+    """`notes` with their traits and moves, empty where there are none."""
+    none = {"traits": "array<struct<voice:string,trait:string,n:bigint>>", "moves": "array<struct<a:string,b:string,n:bigint>>"}
+    return notes.join(traits, "note_id", "left").join(moves, "note_id", "left").withColumns({k: F.coalesce(k, F.array().cast(t)) for k, t in none.items()})
+
+
 def inferred(rows: DataFrame, voices: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows without a voice, with the one the hidden Markov model gives them."""
+    """The rows without a voice, which have several to choose from, with the one the hidden Markov model gives them."""
     unknown = rows.filter("voice is null")
-    # voices of the microphone: persons, or labels where nobody is named there
-    mic = voices.filter("source = 'microphone'").groupBy("note_id").agg(F.collect_set(F.when(F.col("voice").startswith("N"), F.col("voice"))).alias("persons"), F.collect_set("voice").alias("all"))
-    mic = mic.select("note_id", F.when(F.size("persons") > 0, F.col("persons")).otherwise(F.col("all")).alias("on_mic"))
-    sources = unknown.groupBy("note_id").agg(F.collect_set(F.concat(F.lit("-"), F.coalesce("source", F.lit("?")))).alias("further"))
-    none = F.array().cast("array<string>")
-    states = sources.join(mic, "note_id", "left").select("note_id", F.when(F.col("on_mic").isNull(), F.col("further")).otherwise(F.array_union("on_mic", F.array_remove("further", "-microphone"))).alias("states"))
+    states = on_microphone(voices).withColumnRenamed("on_mic", "states").join(unknown.select("note_id").distinct(), "note_id", "left_semi")
     rows = rows.join(states.select("note_id"), "note_id", "left_semi").select("note_id", "segment_id", "source", "profile", "voice", "at", "bucket")
     # place of every row among the pins and among the rows without a voice, and the voice before it: one sort inside buckets, one row a bucket
     inside = W.partitionBy("note_id", "bucket").orderBy("at", "segment_id")
@@ -488,13 +615,7 @@ def inferred(rows: DataFrame, voices: DataFrame, block: int = BLOCK) -> DataFram
     placed = placed.join(ends, ["note_id", "bucket"]).select("note_id", "segment_id", "source", "profile", "voice", "at", (F.col("pin") + F.col("pins")).alias("pin"), (F.col("nth") + F.col("gaps")).alias("nth"), F.coalesce("own", "end")["voice"].alias("previous"))
     placed = cut(placed)
     pinned = placed.filter("voice is not null")
-    counted = pinned.select("note_id", "voice", F.explode(F.split("profile", r"\|")).alias("trait")).groupBy("note_id", "voice", "trait").agg(F.count("*").alias("n"))
-    traits = counted.groupBy("note_id").agg(F.collect_list(F.struct("voice", "trait", "n")).alias("traits"))
-    moved = pinned.filter("previous is not null").groupBy("note_id", F.col("previous").alias("a"), F.col("voice").alias("b")).agg(F.count("*").alias("n"))
-    moves = moved.groupBy("note_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("moves"))
-    model = states.join(traits, "note_id", "left").join(moves, "note_id", "left").select(
-        "note_id", "states", F.coalesce("traits", F.array().cast("array<struct<voice:string,trait:string,n:bigint>>")).alias("traits"), F.coalesce("moves", F.array().cast("array<struct<a:string,b:string,n:bigint>>")).alias("moves")
-    )
+    model = with_model(states, *profiles_and_moves(pinned))
     gaps = placed.filter("voice is null")
     starts = gaps.groupBy("note_id", "pin").agg(F.min("nth").alias("first_nth"))
     gaps = gaps.join(starts, ["note_id", "pin"]).withColumn("part", F.expr(f"(nth - first_nth) div {block}"))

@@ -186,3 +186,38 @@ def test_the_model_recovers_held_out_labels(spark, block):
     hidden = [i for i in truth if rows[i][2][2] is None]
     right = sum(got[i] == "N" + who[truth[i]][0].lower() for i in hidden)
     assert len(got) == 240 and right >= 0.95 * len(hidden)
+
+
+def test_the_model_joins_a_label_and_a_name_that_never_meet(spark):
+    said = {"a": "The plan is on the table {}.", "b": "el proyecto está en la mesa {}", "c": "das ist nicht für mich und wir {}"}
+    forms = {"a": [("a", "Ana Uno"), ("a", None), (None, "Ana Uno")], "b": [("b", None), (None, "Bob Two")], "c": [("c", "Cid Tres"), (None, "Cid Tres"), ("c", None)]}
+    # the other note's label and name are two people's, who speak much and unalike
+    others = {"a": ("a", "Ana Uno"), "b": ("b", None), "c": (None, "Dan Four")}
+    rows, i = [], 0
+    for who in "acbacaabca":
+        for k in range(2 if who == "b" else 4):
+            i += 1
+            rows.append(seg(i, said[who].format(i), label=forms[who][k % len(forms[who])][0], name=forms[who][k % len(forms[who])][1], note="one"))
+    for k in range(40):
+        who = "acbacbabcb"[k // 4]
+        rows.append(seg(100 + k, said[who].format(k), label=others[who][0], name=others[who][1], note="two"))
+    # without a label and a name on one segment nothing says that both are written of one voice
+    rows += [seg(201, "The plan", label="1", note="unsaid"), seg(202, "The plan too", name="Ana Uno", note="unsaid")]
+    # nor is one segment of each enough
+    rows += [seg(301, "The plan", label="1", name="Ana Uno", note="thin"), seg(302, "The plan too", label="2", note="thin"), seg(303, "The plan is", name="Bob Two", note="thin")]
+    got = {"one": [], "two": [], "unsaid": [], "thin": []}
+    for r in turns.speaker_turns(spark.createDataFrame(rows, SEG)).orderBy("note_id", "turn_no").collect():
+        got[r.note_id].append((r.first_segment_id, r.last_segment_id))
+    assert got["one"] == [(1, 4), (5, 8), (9, 10), (11, 14), (15, 18), (19, 26), (27, 28), (29, 32), (33, 36)]
+    assert got["two"] == [(100 + 4 * b, 103 + 4 * b) for b in range(10)]
+    assert got["unsaid"] == [(201, 201), (202, 202)] and got["thin"] == [(301, 301), (302, 302), (303, 303)]
+
+
+def test_what_has_one_possible_voice_is_left_to_no_model(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("nothing is open")
+
+    monkeypatch.setattr(turns, "inferred", never)
+    rows = [seg(1, "named words", name="Olga Ralmapomro"), seg(2, "mine"), seg(3, "far", source="speaker"), seg(4, "alone", note="m"), seg(5, "where", source=None, note="m")]
+    got = {r.segment_id: r.voice for r in turns.voiced_segments(spark.createDataFrame(rows, SEG)).collect()}
+    assert got == {1: "Nolga ralmapomro", 2: "Nolga ralmapomro", 3: "-speaker", 4: "-microphone", 5: "-?"}
