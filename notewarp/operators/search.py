@@ -1,9 +1,9 @@
 """Full-text search: phrase matching, BM25, rank fusion; over a scan, or over a stored inverted index.
 
-The scan needs no shuffle: a document's tokens stay in its row, phrase frequencies are counted there, and the corpus
-statistics (documents, tokens, documents per phrase) come back as one aggregated row. The stored index is a list of segments, each
-partitioned by a hash of the term: a query reads the partitions of its terms only, and an update writes a segment of the changed
-documents only. What a later segment has changed counts no more in earlier ones.
+The scan needs no shuffle and reads texts once: a document's tokens stay in its row, phrase frequencies are counted there and written
+with its length, and the corpus statistics (documents, tokens, documents per phrase) come back as one aggregated row. The stored index
+is a list of segments, each partitioned by a hash of the term: a query reads the partitions of its terms only, and an update writes a
+segment of the changed documents only. What a later segment has changed counts no more in earlier ones.
 
 Defined results: an empty query, or one with a word without letters and digits, finds nothing; null texts are empty; documents
 without an id are ignored; ties in score go by id; extra columns are ignored.
@@ -31,13 +31,17 @@ RESULT = "kind string, object_id string, title string, snippet string, score dou
 
 
 def phrase_frequency(words: Column, phrase: list[str]) -> Column:
-    """Occurrences of adjacent tokens in an array of tokens."""
+    """Occurrences of adjacent tokens in an array of tokens, overlapping ones too."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda t: t == phrase[0]))
-    wanted = F.array(*[F.lit(t) for t in phrase])
-    n = len(phrase)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.slice(words, i, n) == wanted)
-    return F.when(F.size(words) >= n, F.size(starts)).otherwise(0)
+
+    def begins(t: Column, i: Column) -> Column:
+        here = t == phrase[0]
+        for k, later in enumerate(phrase[1:], 1):
+            here = here & (F.get(words, i + k) == later)
+        return here
+
+    return F.size(F.filter(words, begins))
 
 
 def inverse_frequency(documents: int, having: int) -> float:
@@ -54,7 +58,8 @@ def bm25(docs: DataFrame, id_col: str, columns: list[str], phrases: list[list[st
     words = docs.filter(F.col(id_col).isNotNull()).select(id_col, *[tokens(F.col(c)).alias(c) for c in columns])
     length = sum((F.size(c) for c in columns), F.lit(0))
     counts = [sum((phrase_frequency(F.col(c), p) for c in (only or columns)), F.lit(0)).alias(f"f{i}") for i, p in enumerate(phrases)]
-    rows = words.select(id_col, length.alias("length"), *counts)
+    # written, since a filter on the counts would be moved below the tokens, where a phrase makes them again at each place it is looked for
+    rows = cut(words.select(id_col, length.alias("length"), *counts))
     names = [f"f{i}" for i in range(len(phrases))]
     stats = rows.agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), *[F.count(F.when(F.col(f) > 0, 1)).alias(f) for f in names]).first()
     n = stats["n"] or 0

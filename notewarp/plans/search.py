@@ -53,7 +53,9 @@ def search(notes: DataFrame, evidence: DataFrame, entities: DataFrame, query: st
 
 def corpora(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Notes, evidence (citations) and entities of the tables."""
-    notes = current_notes(table(spark, root, "notes")).select(F.col("id").alias("note_id"), "title", F.col("summary_text").alias("summary"))
+    # what isn't searched is not carried through the choice of the current row
+    details = table(spark, root, "notes").select("id", "updated_at", "detail_no", "title", "summary_text")
+    notes = current_notes(details).select(F.col("id").alias("note_id"), "title", F.col("summary_text").alias("summary"))
     evidence = table(spark, root, "citations").select("evidence_id", "note_id", "note_title", F.col("excerpt").alias("content"))
     evidence = evidence.groupBy("evidence_id").agg(F.min_by(F.struct("note_id", "note_title", "content"), F.struct("note_id", "content")).alias("e")).select("evidence_id", "e.*")
     entities = table(spark, root, "entities").filter("status = 'active'")

@@ -1,3 +1,4 @@
+import math
 import sqlite3
 
 import pytest
@@ -126,3 +127,24 @@ def test_an_updated_index_equals_the_scan_of_what_is_left(spark, tmp_path, monke
     now |= back
     index.update(frame(back), "id")
     check()
+
+
+def test_texts_are_tokenized_once(spark):
+    from notewarp.plans.search import bm25_phrase
+
+    texts = ["a b a b a", "a a a", "b", "a", "", None, "b a", "x " * 3000 + "a b"]
+    docs = spark.createDataFrame([(i, "a b", t) for i, t in enumerate(texts)], SCHEMA)
+    for query in ("a-b", "a-a", "a-b-a", "a-b a"):
+        phrases = query_phrases(query)
+        words = [(t or "").split() for t in texts]
+        freq = [[sum(w[k : k + len(p)] == p for k in range(len(w))) for p in phrases] for w in words]
+        length = [2 + len(w) for w in words]
+        idf = [max(math.log((len(texts) - d + 0.5) / (d + 0.5)), 1e-6) for d in (sum(f[i] > 0 for f in freq) for i in range(len(phrases)))]
+        norm = [1.2 * (0.25 + 0.75 * n * len(texts) / sum(length)) for n in length]
+        want = {k: -sum(i * x * 2.2 / (x + norm[k]) for i, x in zip(idf, f)) for k, f in enumerate(freq) if all(f)}
+        found = bm25(docs, "id", ["title", "body"], phrases, only=["body"])
+        assert {r.id: r.bm25 for r in found.collect()} == pytest.approx(want, rel=1e-9)
+        # what comes after the statistics reads counts, not texts
+        assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    plan = bm25_phrase(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "summary_markdown" not in plan
